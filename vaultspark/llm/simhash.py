@@ -203,6 +203,7 @@ def _near(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
     held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        now[2] = now[2].view(np.uint64)  # bitwise_count of a signed number counts its absolute value
         if not len(now[0]):
             continue
         if held and now[0][-1] == held[0][0][-1]:  # the run goes on past this batch
