@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, simhash
+from vaultspark.llm import bpe, embedding_dedup, permutation_index, simhash
 from vaultspark.llm.common import table
 
 
@@ -30,5 +30,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_simhash)}
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for every vec_id divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_simhash, op7_embedding_dedup, op10_permutation_index)}
 ORACLES: dict[str, str] = {}
