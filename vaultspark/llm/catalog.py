@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, embedding_dedup, permutation_index, simhash
+from vaultspark.llm import bpe, chat, embedding_dedup, html_text, mixing, permutation_index, simhash, toxicity
 from vaultspark.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each, by the contract's weights."""
+    return mixing.annotate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats every conversation and one made of control strings, and reads the result back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(own)))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -35,11 +48,25 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all embeddings for every vec_id divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_index.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_simhash, op7_embedding_dedup, op10_permutation_index)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op5_simhash, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index)}
 ORACLES: dict[str, str] = {}

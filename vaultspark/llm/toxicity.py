@@ -111,6 +111,7 @@ class Model:
 
     def inputs(self, words: Words) -> np.ndarray:
         p, total = self.p, np.zeros((words.size + 1, GRAM_DIM), np.float32)
+        # Rows that few texts of the sample use are zero throughout, see learn_rows.
         for a in range(0, words.size, 8192):  # bounded gathers
             b = min(a + 8192, words.size)
             lo, hi = words.starts[a], words.starts[b] if b < words.size else len(words.grams)
@@ -215,6 +216,28 @@ class Model:
         return (score, share / total[owner], owner, kept, words) if keep else score
 
 
+LEAST_TEXTS = 3  # texts of the sample that must use a row of the tables
+
+
+def learn_rows(model: Model, texts: list[str | None], y: np.ndarray) -> dict[str, np.ndarray]:
+    """Sets the first number of each table row to the z-score of its use in toxic against other texts; rows that
+    fewer than LEAST_TEXTS texts use are zeroed, so that no text is learned by its own words. Returns the rows in use.
+    """
+    used = {name: np.zeros((2, len(model.p[name]))) for name in ("word", "gram")}
+    for t, label in zip(texts, y):
+        words = Words(sorted(set(TOKEN.findall(t.lower())))) if t else Words([])
+        for name, rows in (("word", words.whole), ("gram", words.grams)):
+            used[name][int(label), np.unique(rows)] += 1
+    n1, n0, kept = float(y.sum()), float(len(y) - y.sum()), {}
+    for name, (clean, toxic) in used.items():
+        kept[name] = clean + toxic >= LEAST_TEXTS
+        share = (clean + toxic + 1) / (n1 + n0 + 2)
+        z = (toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        model.p[name][:, 0] = np.clip(z / 6, -1.5, 3)
+        model.p[name][~kept[name]] = 0
+    return kept
+
+
 def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fits a model; with one class only, every score is that class's constant."""
     model, y = Model(seed), np.array(toxic, dtype=np.float32)
@@ -226,6 +249,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     first, second, step = {}, {}, 0
     for k, v in model.p.items():
         first[k], second[k] = np.zeros_like(v), np.zeros_like(v)
+    kept_rows = learn_rows(model, texts, y)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     least = max(1, min(BATCH, len(y) // 12))
     batches = epochs * -(-len(y) // least)
@@ -240,6 +264,9 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
             rate = RATE * (1 - step / (batches + 1)) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             for name, g in grads.items():
                 at, g = g if isinstance(g, tuple) else (slice(None), g)
+                if name in kept_rows:
+                    known = kept_rows[name][at]
+                    at, g = at[known], g[known]
                 first[name][at] = m = 0.9 * first[name][at] + 0.1 * g
                 second[name][at] = v = 0.99 * second[name][at] + 0.01 * g * g
                 model.p[name][at] -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
