@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 900  # labelled texts of each class that are learned from, at most
-EPOCHS, BATCH, RATE = 6, 48, 0.02
+EPOCHS, BATCH, RATE = 6, 48, 0.04
 WINDOW, STRIDE = 48, 36  # words; neighbours share a quarter
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 10, 8, 6
 GRAMS = (3, 4, 5)
