@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, chat, embedding_dedup, html_text, mixing, permutation_index, simhash, toxicity
+from vaultspark.llm import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, permutation_index, simhash, toxicity
 from vaultspark.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line of any document within one edit."""
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.9."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -68,5 +73,5 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op5_simhash, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index)}
 ORACLES: dict[str, str] = {}
