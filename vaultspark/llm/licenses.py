@@ -36,7 +36,7 @@ TEMPLATES = (
 THRESHOLD = 0.8
 TOKEN = "[a-z0-9]+"
 #: Words too common to be anchors while others will do.
-COMMON = frozenset("a any and are as by code copy deal except file files following form forms free in is may not of or person provided subject that the this to under use v with without work you".split())
+COMMON = frozenset("a any and are as by code copy deal except file files following form free in is may not of or person provided subject that the this to under use v with work you".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.(txt|md|rst))?$"
 
 
