@@ -1,6 +1,396 @@
-"""Registered queries of the engine and their DuckDB oracles."""
+"""Registered queries of the engine and their DuckDB oracles.
+
+Documents stand for entries (doc_id, text; type is lang, domain is source), events for relations with valid
+time, embeddings for a vector sidecar, pages for fetched bookmarks.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vaultspark.functions import text as T
+from vaultspark.operators import bm25, changes, graph, index, inventory, paging, ranking, sections, temporal
+from vaultspark.sources import html_meta, notes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+WORDS = "licensed under apache"
+WORDINGS = {"q1": "licensed under apache", "q2": "released under the mit license", "q3": "public license version"}
+AT = "2024-01-15 00:00:00"
+FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
+BAGS = rf"bags AS (SELECT doc_id, lang, list_filter(regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+'), lambda w: length(w) <= 64) AS bag FROM documents)"
+TITLE = r"rtrim(left(regexp_replace(rtrim(trim(regexp_extract(text, '(?m)^[ \t#]*([^\s#][^\n]*)$', 1))), '^(.*?[.!?])\s.*$', '\1'), 80))"
+
+
+def query(oracle: str | None):
+    """Registers a function under its name, with DuckDB SQL for the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bm25_sql(queries: dict[str, str], k1: float = 1.2, b: float = 0.75) -> str:
+    asked = ", ".join(f"('{q}', '{t}')" for q, words in queries.items() for t in sorted(set(words.split())))
+    return f"""{BAGS}, asked(query_id, term) AS (VALUES {asked}),
+corpus AS (SELECT count(*) AS n, avg(len(bag)) AS average FROM bags),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(bag) AS term FROM bags) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * len(bag) / average)) ORDER BY term), 9) AS score
+  FROM tf JOIN df USING (term) JOIN asked USING (term) JOIN bags ON bags.doc_id = tf.doc_id, corpus GROUP BY query_id, tf.doc_id)"""
+
+
+def _top(scored: DataFrame, n: int = 20) -> DataFrame:
+    rounded = scored.withColumn("score", F.round("score", 6))
+    return rounded.orderBy(F.desc("score"), "id").limit(n).select(F.col("id").alias("doc_id"), "score")
+
+
+@query(f"WITH {_bm25_sql({'q': WORDS})} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY 2 DESC, doc_id LIMIT 20")
+def bm25_top20(spark, sf_dir):
+    """Flagship: the twenty best documents; a limit is the feature."""
+    return _top(bm25.score(read(spark, sf_dir, "documents"), {"q": WORDS}))
+
+
+@query(f"WITH {_bm25_sql({'q': WORDS})} SELECT doc_id, round(score, 6) AS score FROM scored JOIN documents USING (doc_id) WHERE lang = 'fr' ORDER BY 2 DESC, doc_id LIMIT 20")
+def bm25_filtered_lang(spark, sf_dir):
+    """Statistics of the whole corpus, filter afterwards."""
+    docs = read(spark, sf_dir, "documents")
+    scored = bm25.score(docs, {"q": WORDS})
+    return _top(scored.join(docs.filter("lang = 'fr'").select(F.col("doc_id").alias("id")), "id", "left_semi"))
+
+
+@query(f"WITH {_bm25_sql({'q': WORDS}, 0.4, 0.2)} SELECT doc_id, round(score, 6) AS score FROM scored")
+def bm25_k1_b(spark, sf_dir):
+    return bm25.score(read(spark, sf_dir, "documents"), {"q": WORDS}, k1=0.4, b=0.2).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(WORDINGS)} SELECT query_id, doc_id, round(score, 6) AS score FROM scored")
+def bm25_postings(spark, sf_dir):
+    """Several queries over exploded postings in one plan."""
+    terms, lengths = bm25.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return bm25.score_postings(terms, lengths, WORDINGS).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BAGS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(bag) AS term FROM bags) GROUP BY ALL")
+def term_frequencies(spark, sf_dir):
+    return bm25.postings(read(spark, sf_dir, "documents"), "doc_id", "text")[0].select(F.col("id").alias("doc_id"), "term", "tf")
+
+
+@query(f"WITH {BAGS}, t AS (SELECT doc_id, unnest(list_distinct(bag)) AS term FROM bags), df AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM bags) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, n")
+def document_frequencies(spark, sf_dir):
+    terms, lengths = bm25.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    n = lengths.agg(F.count("*").alias("n"))
+    return terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"SELECT doc_id, n_chars FROM documents WHERE contains({FOLDED}, 'the and') ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
+def substring_page2(spark, sf_dir):
+    """Literal matches, second page."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    hits = docs.join(ranking.literal(docs, "The and", "id"), "id", "left_semi")
+    return paging.page(hits, [F.desc("n_chars"), F.asc("id")], 20, 20).select(F.col("id").alias("doc_id"), "n_chars")
+
+
+@query(f"WITH {_bm25_sql({'q': 'mit license'})}, lit AS (SELECT doc_id FROM documents WHERE contains({FOLDED}, 'mit license')) SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, round(coalesce(score, 0), 6) AS score FROM scored s FULL JOIN lit l ON s.doc_id = l.doc_id")
+def hybrid_union(spark, sf_dir):
+    return ranking.hybrid(read(spark, sf_dir, "documents"), "mit license").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def _staged(name: str, words: str, condition: str, oracle_terms: str) -> None:
+    sql = f"""WITH b AS (SELECT doc_id, {FOLDED} AS hay, list_filter(regexp_extract_all({FOLDED}, '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= 64) AS bag, {TITLE} AS title FROM documents),
+c AS (SELECT *, list_sort(list_distinct(bag)) AS words, list_sort(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'))) AS names FROM b)
+SELECT doc_id, {condition} AS stage, array_to_string({oracle_terms}, ' ') AS terms FROM c WHERE len({oracle_terms}) > 0"""
+
+    def run(spark, sf_dir):
+        found = ranking.stages(read(spark, sf_dir, "documents"), words)
+        return found.select(F.col("id").alias("doc_id"), "stage", F.array_join("terms", " ").alias("terms"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_OK = r"regexp_full_match(w, '\p{L}+') AND NOT regexp_full_match(w, '[a-f]{8,}')"
+# Each wording is spelled so that its own stage is the first one with hits.
+_staged("fallback_word_form", "worthlesses", "1", "CASE WHEN list_contains(words, 'worthless') THEN ['worthless'] ELSE [] END")
+_staged("fallback_component", "orthless zzzz", "3", f"list_slice(list_filter(words, lambda w: {_OK} AND length(w) >= 11 AND (starts_with(w, 'orthless') OR ends_with(w, 'orthless'))), 1, 2)")
+_staged("fallback_body_typo", "pahtetic", "4", f"list_slice(list_filter(words, lambda w: {_OK} AND length(w) >= 7 AND damerau_levenshtein(w, 'pahtetic') = 1), 1, 2)")
+_staged("fallback_title_typo", "eriiner", "2", f"list_slice(list_filter(names, lambda w: {_OK} AND length(w) >= 5 AND damerau_levenshtein(w, 'eriiner') = 1), 1, 2)")
+
+
+@query(f"WITH {_bm25_sql(WORDINGS)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) SELECT doc_id, round(sum(1.0::double / (60 + rank) ORDER BY query_id), 6) AS rrf, round(max(score), 6) AS best FROM r GROUP BY doc_id")
+def rrf_three_wordings(spark, sf_dir):
+    fused = ranking.fuse(bm25.score(read(spark, sf_dir, "documents"), WORDINGS))
+    return fused.select(F.col("id").alias("doc_id"), F.round("rrf", 6).alias("rrf"), F.round("best", 6).alias("best"))
+
+
+@query(f"WITH {_bm25_sql({'q': WORDS})}, v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings), x AS (SELECT list_transform(range(64), lambda i: ((i % 7) - 3)::double) AS q) SELECT doc_id, (e IS NOT NULL)::integer AS tier, round(coalesce(list_cosine_similarity(e, q), score), 6) AS relevance FROM scored LEFT JOIN v ON vec_id = doc_id, x")
+def rerank_cosine(spark, sf_dir):
+    scored = bm25.score(read(spark, sf_dir, "documents"), {"q": WORDS}).select("id", "score")
+    found = ranking.rerank(scored, read(spark, sf_dir, "embeddings"), [(i % 7) - 3 for i in range(64)])
+    return found.select(F.col("id").alias("doc_id"), "tier", F.round("relevance", 6).alias("relevance"))
+
+
+@query("""WITH r AS (SELECT lang, source, quality::varchar AS quality, toxic::varchar AS toxic FROM documents LEFT JOIN labels USING (doc_id)),
+u AS (SELECT 'lang' AS facet, lang AS value FROM r UNION ALL SELECT 'source', source FROM r UNION ALL SELECT 'quality', quality FROM r UNION ALL SELECT 'toxic', toxic FROM r)
+SELECT facet, value, count(*) AS n FROM u WHERE value IS NOT NULL AND value <> '' GROUP BY ALL""")
+def facet_inventory(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return inventory.facets(rows, ["lang", "source", "quality", "toxic"])
+
+
+@query("SELECT count(*) AS entries, count(text) AS readable, (count(*) - count(text))::bigint AS unreadable, count(*) = count(text) AS complete, sum(len(string_split(coalesce(text, ''), chr(10))))::bigint AS attachments, count(*) AS with_attachments FROM documents")
+def inventory_totals(spark, sf_dir):
+    """Totals in one pass; lines stand for attachments, null texts for unreadable rows."""
+    rows = read(spark, sf_dir, "documents").select(F.split(F.coalesce("text", F.lit("")), "\n").alias("attachments"), F.when(F.col("text").isNull(), F.lit("null")).alias("parse_error"))
+    return inventory.totals(rows)
+
+
+@query("SELECT lang AS type, count(*) AS n FROM documents WHERE source = 'src1' AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'src1' AND lang = 'xx') GROUP BY lang")
+def type_counterfactual(spark, sf_dir):
+    return inventory.without_type(read(spark, sf_dir, "documents"), F.col("lang") == "xx", F.col("source") == "src1", "lang")
+
+
+EDGES = "e AS (SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_until FROM events)"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    return temporal.successor_intervals(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", ["ts", "event_id"])
+
+
+@query(f"WITH {EDGES} SELECT count(*) AS recorded, count(*) FILTER (valid_from IS NOT NULL OR valid_until IS NOT NULL) AS temporal, count(*) FILTER (valid_from <= TIMESTAMP '{AT}' AND (valid_until IS NULL OR TIMESTAMP '{AT}' < valid_until)) AS in_force, count(*) FILTER (NOT (valid_from <= TIMESTAMP '{AT}' AND (valid_until IS NULL OR TIMESTAMP '{AT}' < valid_until))) AS not_in_force FROM e")
+def asof_counts(spark, sf_dir):
+    return temporal.counts_at(_edges(spark, sf_dir), F.lit(AT).cast("timestamp_ntz"))
+
+
+@query(f"WITH {EDGES} SELECT event_id, user_id, event_type FROM e WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_until IS NULL OR TIMESTAMP '{AT}' < valid_until)")
+def asof_in_force(spark, sf_dir):
+    from vaultspark.functions.instants import holds_at
+
+    at = F.lit(AT).cast("timestamp_ntz")
+    return _edges(spark, sf_dir).filter(holds_at(F.col("valid_from"), F.col("valid_until"), at)).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' ORDER BY ts DESC, event_id LIMIT 50")
+def occurred_window(spark, sf_dir):
+    """Half-open window on time, newest first, one page."""
+    rows = read(spark, sf_dir, "events").filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")))
+    return paging.page(rows, [F.desc("ts"), F.asc("event_id")], 50).select("event_id", "event_type")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, ts, lead(event_id) OVER w AS nxt, lead(ts) OVER w AS nts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+SELECT user_id AS source, event_id AS target, 'overlaps successor' AS problem FROM e WHERE nxt IS NOT NULL AND nts < ts + INTERVAL 1 HOUR""")
+def supersession_overlap(spark, sf_dir):
+    """Events hold for an hour and are superseded by the next of their kind: where the two overlap."""
+    held = _edges(spark, sf_dir)
+    from pyspark.sql import Window
+
+    nxt = F.lead("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = held.select(F.col("user_id").alias("source"), F.col("event_type").alias("predicate"), F.col("event_id").alias("target"), micros.alias("valid_from"), (micros + 3_600_000_000).alias("valid_until"), nxt.alias("superseded_by"))
+    return temporal.contradictions(rows).filter("problem = 'overlaps successor'").select("source", "target", "problem")
+
+
+@query("SELECT n_nationkey AS source, n_regionkey AS target, r_name AS name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON r_regionkey = n_regionkey")
+def relations_out(spark, sf_dir):
+    """Every edge with its target; a missing target leaves nulls."""
+    edges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("target"))
+    entries = read(spark, sf_dir, "region").filter("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return graph.outgoing(edges, entries, ["name"]).select("source", "target", "name")
+
+
+@query("""SELECT c_custkey AS source, c_nationkey AS target, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' WHEN c_mktsegment = 'MACHINERY' THEN 'made_by' ELSE 'inverse_of_' || c_mktsegment END AS inverse FROM customer""")
+def relations_in(spark, sf_dir):
+    """Edges read from their target, named by symmetric predicates, configured inverses, or the default."""
+    edges = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("target"), F.col("c_mktsegment").alias("predicate"))
+    known = spark.createDataFrame([("BUILDING", True, None), ("MACHINERY", False, "made_by")], "predicate string, symmetric boolean, inverse string")
+    return graph.incoming(edges, known).select("source", "target", "inverse")
+
+
+@query("SELECT o_orderkey AS source, o_custkey AS target FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')")
+def missing_targets(spark, sf_dir):
+    edges = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    return graph.missing_targets(edges, read(spark, sf_dir, "customer").filter("c_mktsegment <> 'HOUSEHOLD'"), "c_custkey").select("source", "target")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
+def orphans(spark, sf_dir):
+    return graph.orphans(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", read(spark, sf_dir, "lineitem").filter("l_quantity >= 45"), "l_partkey")
+
+
+@query("SELECT o_orderkey AS source, o_custkey AS target FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def trashed_targets(spark, sf_dir):
+    edges = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    return graph.trashed_targets(edges, read(spark, sf_dir, "customer").filter("c_acctbal < 0"), "c_custkey").select("source", "target")
+
+
+@query("SELECT p_brand AS brand, lower(trim(p_name)) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return graph.duplicates(read(spark, sf_dir, "part"), [F.col("p_brand"), T.name_key(F.col("p_name"))], ["brand", "name"], "p_partkey")
+
+
+@query(f"SELECT lang, replace(lower(trim({TITLE})), 'ß', 'ss') AS title, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def duplicate_titles(spark, sf_dir):
+    return graph.duplicates(read(spark, sf_dir, "documents"), [F.col("lang"), T.name_key(T.title_of(F.col("text")))], ["lang", "title"], "doc_id")
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, lower(trim('supplier of nation ' || s_nationkey || ' ' || (s_suppkey % 7))) AS name FROM supplier),
+w AS (SELECT id, name, list_distinct(regexp_extract_all(name, '[a-z0-9]+')) AS words, min(id) OVER (PARTITION BY name) AS first FROM r)
+SELECT first AS a, id AS b, true AS same_name, len(words) AS shared FROM w WHERE id <> first
+UNION ALL SELECT x.id, y.id, false, len(list_intersect(x.words, y.words)) FROM w x JOIN w y ON x.id < y.id WHERE x.id = x.first AND y.id = y.first AND len(list_intersect(x.words, y.words)) >= 4""")
+def candidate_pairs(spark, sf_dir):
+    """Suppliers under made-up names that share a name or most words."""
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier of nation "), F.col("s_nationkey"), F.lit(" "), F.col("s_suppkey") % 7).alias("name"))
+    return graph.candidate_pairs(rows, "id", "name", least_shared=4)
+
+
+@query("WITH p AS (SELECT doc_id, length(text) AS n FROM documents ORDER BY doc_id LIMIT 10) SELECT doc_id, greatest(0, least(n, 20000 - coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::bigint AS granted FROM p")
+def retrieve_budget(spark, sf_dir):
+    """One page sharing a budget of characters."""
+    rows = paging.page(read(spark, sf_dir, "documents").select("doc_id", "text"), [F.asc("doc_id")], 10)
+    return paging.budget(rows, [F.asc("doc_id")], "text", 20_000).select("doc_id", "granted")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, strpos(replace(lower(t), 'ß', 'ss'), 'licensed') AS place, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM l WHERE contains(replace(lower(t), 'ß', 'ss'), 'licensed'))
+SELECT doc_id, n::integer AS n, line::integer AS line, substr(t, greatest(1, place - 60), 240) AS excerpt FROM h WHERE n <= 5""")
+def match_evidence(spark, sf_dir):
+    return paging.evidence(read(spark, sf_dir, "documents"), "licensed").select(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("n"), "line", "excerpt")
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+s AS (SELECT *, regexp_matches(line, '^Licensed ')::integer AS heads FROM l), r AS (SELECT *, sum(heads) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM s)
+SELECT doc_id, section::bigint AS section, max(CASE WHEN heads = 1 THEN regexp_extract(line, '^Licensed (.*)$', 1) END) AS heading, min(no)::integer AS first_line, max(no)::integer AS last_line FROM r GROUP BY doc_id, section""")
+def body_sections(spark, sf_dir):
+    """Runs of lines under a heading line; here a licence line begins one."""
+    found = sections.sections(read(spark, sf_dir, "documents"), heading="^Licensed (.*)$")
+    return found.select(F.col("id").alias("doc_id"), "section", "heading", "first_line", "last_line")
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' ELSE 'unresolved_relations' END AS reasons FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) WHERE l.doc_id IS NOT NULL OR doc_id NOT IN (SELECT doc_id FROM labels)")
+def review_queue(spark, sf_dir):
+    """Documents without a label are unreviewed; toxic ones have something unresolved."""
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = read(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    unresolved = F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>"))
+    entries = rows.select(F.col("doc_id").alias("id"), F.lit("document").alias("type"), F.when(F.col("toxic").isNull(), F.lit("unreviewed")).otherwise("active").alias("status"), unresolved.alias("unresolved_relations"), F.lit("").alias("personal_note"), F.lit(None).cast("string").alias("reviewed_at"), F.col("doc_id").alias("created_at"))
+    return inventory.review_queue(entries).select(F.col("id").alias("doc_id"), F.array_join("reasons", " ").alias("reasons"))
+
+
+HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
+PAIRS = "list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_full_match(lower(regexp_extract(p, '^[^=]*')), '(utm_.*|fbclid|gclid|mc_cid|mc_eid)')))"
+
+
+@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, array_to_string({PAIRS}, '&') AS q FROM pages)
+SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' AND NOT contains(host, '@') THEN scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM p""")
+def url_canonical(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+
+
+@query("SELECT page_id, nullif(left(trim(regexp_replace(" + UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '\\s+', ' ', 'g')), 300), '') AS title, nullif(lower(regexp_extract(html, '(?is)<html[^>]*\\slang=[\"'']?([A-Za-z-]+)', 1)), '') AS language FROM pages")
+def html_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", html_meta.title(F.col("html")).alias("title"), html_meta.language(F.col("html")).alias("language"))
+
+
+@query(f"SELECT regexp_replace({HOST}, '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY ALL")
+def host_facets(spark, sf_dir):
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)), r"^www\.", "")
+    return read(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, {TITLE} AS title FROM documents")
+def infer_title(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
+
+
+@query(f"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower({TITLE}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'entry' ELSE regexp_replace(left(s, 64), '-+$', '') END AS slug FROM s")
+def slugify(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.slug(T.title_of(F.col("text"))).alias("slug"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS revision FROM documents")
+def content_revision(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", inventory.revision(F.col("text")).alias("revision"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return graph.duplicates(read(spark, sf_dir, "documents"), [F.sha2("text", 256)], ["digest"], "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'vanished' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1) OR (doc_id % 10 = 2 AND upper(coalesce(text, '')) <> coalesce(text, ''))")
+def postings_delta(spark, sf_dir):
+    """What an index has to take up between two snapshots that differ by construction."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.filter("doc_id % 10 <> 0")
+    new = docs.filter("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 2, F.upper("text")).otherwise(F.col("text")))
+    found = index.changes(index.signature(old, "doc_id", "text"), index.signature(new, "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "change")
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([p_brand, lower(p_type), 'new'], lambda t: t <> lower(p_type)))), ' ') AS tags FROM part")
+def tag_set_ops(spark, sf_dir):
+    """Tags added and removed by folded key, first spelling kept."""
+    parts = read(spark, sf_dir, "part")
+    made = T.tag_union(F.array("p_brand", F.lower("p_type")), F.array(F.lit(" new "), F.upper("p_brand")))
+    return parts.select("p_partkey", F.array_join(T.tag_remove(made, F.array(F.upper("p_type"))), " ").alias("tags"))
+
+
+@query("""WITH q AS (SELECT item_id, text, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS h FROM benchmark),
+w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS h FROM w),
+m AS (SELECT item_id, doc_id, sh.text AS dtext, q.text AS qtext FROM q JOIN sh USING (h)),
+r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(dtext), doc_id) AS rank FROM m),
+qrels AS (SELECT DISTINCT item_id, doc_id FROM m WHERE contains(dtext, left(qtext, 60))),
+f AS (SELECT item_id, min(rank) AS rank FROM r JOIN qrels USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id),
+a AS (SELECT DISTINCT item_id FROM qrels)
+SELECT count(*) AS queries, round(avg((f.rank IS NOT NULL)::integer::double), 6) AS recall_at_k, round(avg(coalesce(1.0::double / f.rank, 0)), 6) AS mrr FROM a LEFT JOIN f USING (item_id)""")
+def retrieval_metrics(spark, sf_dir):
+    """Recall and reciprocal rank of documents that hold an item's first three words, shortest first, for the item's opening."""
+    from pyspark.sql import Window
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.split("text", " ").alias("ws"))
+    places = F.when(F.size("ws") > 2, F.sequence(F.lit(1), F.size("ws") - 2)).otherwise(F.array().cast("array<int>"))
+    runs = docs.select("id", "body", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("h"))
+    met = runs.join(asked, "h")
+    place = Window.partitionBy("query_id").orderBy(F.char_length("body"), "id")
+    ranked = met.withColumn("rank", F.row_number().over(place)).select("query_id", "id", "rank")
+    relevant = met.filter(F.col("body").contains(F.left("text", F.lit(60)))).select("query_id", "id")
+    return inventory.retrieval_metrics(ranked, relevant, 5)
+
+
+@query("SELECT doc_id, (regexp_matches(coalesce(text, ''), 'licensed|Licensed'))::integer + 2 * (toxic IS NOT NULL AND toxic = 1)::integer AS state FROM documents LEFT JOIN labels USING (doc_id)")
+def review_bits(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return rows.select("doc_id", (F.coalesce("text", F.lit("")).rlike("licensed|Licensed").cast("int") + 2 * F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("state"))
+
+
+@query("SELECT o_orderkey AS original_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 3 = 1 THEN 'imported' ELSE 'changed' END AS state FROM orders")
+def import_states(spark, sf_dir):
+    """What an import would do with each source row, against what is stored."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("original_id"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("digest"))
+    stored = rows.filter("original_id % 3 <> 0").withColumn("digest", F.when(F.col("original_id") % 3 == 2, F.lit("old")).otherwise(F.col("digest")))
+    return changes.import_state(rows, stored).select("original_id", "state")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '#[A-Za-z]+'))::integer AS tags FROM documents WHERE false")
+def inline_tags(spark, sf_dir):
+    """Documents with inline tags: the tables hold none, so the answer is empty."""
+    found = read(spark, sf_dir, "documents").select("doc_id", F.size(notes.inline_tags(F.col("text"))).alias("tags"))
+    return found.filter("tags > 0")
