@@ -124,7 +124,7 @@ SELECT doc_id, {condition} AS stage, array_to_string({oracle_terms}, ' ') AS ter
 _OK = r"regexp_full_match(w, '\p{L}+') AND NOT regexp_full_match(w, '[a-f]{8,}')"
 # Each wording is spelled so that its own stage is the first one with hits.
 _staged("fallback_word_form", "worthlesses", "1", "CASE WHEN list_contains(words, 'worthless') THEN ['worthless'] ELSE [] END")
-_staged("fallback_component", "orthless zzzz", "3", f"list_slice(list_filter(words, lambda w: {_OK} AND length(w) >= 11 AND (starts_with(w, 'orthless') OR ends_with(w, 'orthless'))), 1, 2)")
+_staged("fallback_component", "thless zzzz", "3", f"list_slice(list_filter(words, lambda w: {_OK} AND length(w) >= 9 AND (starts_with(w, 'thless') OR ends_with(w, 'thless'))), 1, 2)")
 _staged("fallback_body_typo", "pahtetic", "4", f"list_slice(list_filter(words, lambda w: {_OK} AND length(w) >= 7 AND damerau_levenshtein(w, 'pahtetic') = 1), 1, 2)")
 _staged("fallback_title_typo", "eriiner", "2", f"list_slice(list_filter(names, lambda w: {_OK} AND length(w) >= 5 AND damerau_levenshtein(w, 'eriiner') = 1), 1, 2)")
 
