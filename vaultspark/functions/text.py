@@ -45,11 +45,10 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def _first_two(terms: list[str], words: Column, test) -> Column:
-    """At most two words that pass test(term, word), in (term, word) order."""
-    ordered = F.array_sort(F.array_distinct(words))
+    """At most two words that pass test(term, word), in (term, word) order; words are sorted and different."""
 
     def passing(term: str) -> Column:
-        return F.filter(ordered, lambda w: test(term, w))
+        return F.filter(words, lambda w: test(term, w))
 
     found = F.flatten(F.array(*map(passing, sorted(set(terms))))) if terms else F.array().cast("array<string>")
     return F.slice(F.array_distinct(found), 1, 2)
@@ -61,26 +60,34 @@ def _loose(term: str, least: int) -> bool:
 
 def typo_terms(terms: list[str], words: Column, least: int = 5) -> Column:
     """Words one edit from a term; five letters for titles and aliases, seven for bodies. At most two."""
-    return _first_two([t for t in terms if _loose(t, least)], words, lambda t, w: eligible(w, least) & (w != t) & one_edit(w, F.lit(t)))
+    return _first_two([t for t in terms if _loose(t, least)], words, lambda t, w: F.char_length(w).between(max(least, len(t) - 1), len(t) + 1) & (w != t) & eligible(w, least) & one_edit(w, F.lit(t)))
 
 
 def component_terms(terms: list[str], words: Column) -> Column:
     """Longer words that begin or end with a term: term of six or more, word of nine and three longer. At most two."""
-    return _first_two([t for t in terms if _loose(t, 6)], words, lambda t, w: eligible(w, 9) & (F.char_length(w) >= len(t) + 3) & (w.startswith(t) | w.endswith(t)))
+    return _first_two([t for t in terms if _loose(t, 6)], words, lambda t, w: (w.startswith(t) | w.endswith(t)) & (F.char_length(w) >= len(t) + 3) & eligible(w, 9))
 
 
 def _starting(words: Column, prefix: str) -> Column:
     return F.filter(words, lambda w: w.startswith(prefix))
 
 
-def word_form_terms(terms: list[str], words: Column) -> Column:
-    """Other forms of a term in the text, first hit only.
+def vocabulary(bag: Column) -> Column:
+    """Sorted different words. The tolerant rules read it often, so it belongs in a projection of its own."""
+    return F.array_sort(F.array_distinct(bag))
+
+
+def letters_only(words: Column) -> Column:
+    return F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
+
+
+def word_form_terms(terms: list[str], letters: Column) -> Column:
+    """Other forms of a term among the sorted alphabetic words of a text, first hit only.
 
     A term of five letters or more meets the term with an ending, or without one if five letters stay. Else it
     is split into two parts of five or more, at least one a whole word of the text, each standing for the first
     word that begins with it; two different words make the hit.
     """
-    letters = F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))))
     none = F.array().cast("array<string>")
     hits = []
     for t in sorted({t for t in terms if t.isalpha() and len(t) >= 5}):

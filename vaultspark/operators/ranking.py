@@ -48,13 +48,14 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
     rows = docs if keep is None else docs.filter(keep)
     body = F.coalesce(F.col(text), F.lit(""))
     name = T.title_of(body) if title is None else F.coalesce(F.col(title), F.lit(""))
-    bag = rows.select(F.col(key).alias("id"), T.fold(body).alias("hay"), T.tokens(body).alias("bag"), T.tokens(name).alias("names"))
+    bag = rows.select(F.col(key).alias("id"), T.fold(body).alias("hay"), T.vocabulary(T.tokens(body)).alias("words"), T.vocabulary(T.tokens(name)).alias("names"))
+    bag = bag.withColumn("letters", T.letters_only(F.col("words")))
     none = F.array().cast("array<string>")
     forms, typos, parts, slips = none, none, none, none
     if len(terms) <= MOST_TERMS:
-        forms, parts = T.word_form_terms(terms, F.col("bag")), T.component_terms(terms, F.col("bag"))
-        typos, slips = T.typo_terms(terms, F.col("names"), 5), T.typo_terms(terms, F.col("bag"), 7)
-    hit = F.arrays_overlap("bag", F.array(*map(F.lit, terms))) if terms else F.lit(False)
+        forms, parts = T.word_form_terms(terms, F.col("letters")), T.component_terms(terms, F.col("letters"))
+        typos, slips = T.typo_terms(terms, F.col("names"), 5), T.typo_terms(terms, F.col("letters"), 7)
+    hit = F.arrays_overlap("words", F.array(*map(F.lit, terms))) if terms else F.lit(False)
     first = F.when(hit | F.col("hay").contains(query.casefold()), F.struct(F.lit(0).alias("stage"), none.alias("terms")))
     for k, found in enumerate((forms, typos, parts, slips), 1):
         first = first.when(F.size(found) > 0, F.struct(F.lit(k).alias("stage"), found.alias("terms")))
