@@ -12,7 +12,8 @@ INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|z|[+-]\d{2}
 def instant(c: Column) -> Column:
     """Microseconds since 1970 of an ISO text with offset; null for anything else, times without offset included."""
     spaced = F.regexp_replace(F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2}) ", "$1T"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    return F.when(c.rlike(INSTANT), F.unix_micros(F.try_to_timestamp(F.upper(spaced))))
+    with_seconds = F.regexp_replace(F.upper(spaced), r"T(\d{2}:\d{2})(?=[Z+-])", "T$1:00")
+    return F.when(c.rlike(INSTANT), F.unix_micros(F.try_to_timestamp(with_seconds)))
 
 
 def holds_at(start: Column, stop: Column, at: Column) -> Column:
