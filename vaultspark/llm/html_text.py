@@ -25,6 +25,8 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template svg math iframe object button select option textarea datalist title head canvas audio video map".split())
 BOXES = frozenset("nav footer aside form dialog menu fieldset".split())
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table td ul li blockquote center p span address".split())
+#: Elements that can be a content region; paragraphs and lists are only parts of one.
+REGIONS = frozenset("article body center div main section table td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -76,7 +78,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             _, _, box, article, main, header = self.open[-1]
-            self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.open), box or header and not self.heading, article, main))
+            self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.open if x[0] in REGIONS or not x[1]), box or header and not self.heading, article, main))
             self.tags = 0
         self.text.clear()
 
