@@ -53,7 +53,7 @@ def test_targets_and_taken_words(spark, monkeypatch):
         assert r.source_size == sums[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s])
         assert r.taken <= 2 * r.size and all(0 <= x < 5 for x in r.shards)
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 5 for s in sums)
+    assert all(abs(taken[s] - want[s]) <= 89 for s in sums)  # less than a document, and none here is longer
     again = mixing.annotate(df.repartition(7), shards=5).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     rows = mixing.mix(df, shards=5)
