@@ -31,7 +31,7 @@ def changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("id", kind.alias("change")).filter("change is not null")
 
 
-def _write(spark: SparkSession, folder: str, postings: DataFrame, lengths: DataFrame, fingerprint: str) -> None:
+def write(spark: SparkSession, folder: str, postings: DataFrame, lengths: DataFrame, fingerprint: str) -> None:
     name = uuid.uuid4().hex
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
     at = f"{folder}/snapshots/{name}"
@@ -43,7 +43,7 @@ def _write(spark: SparkSession, folder: str, postings: DataFrame, lengths: DataF
 
 def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "") -> None:
     postings, lengths = bm25.postings(docs, key, text)
-    _write(docs.sparkSession, folder, postings, lengths.join(signature(docs, key, text), "id"), fingerprint)
+    write(docs.sparkSession, folder, postings, lengths.join(signature(docs, key, text), "id"), fingerprint)
 
 
 def manifest(spark: SparkSession, folder: str) -> dict | None:
@@ -100,7 +100,7 @@ def refresh(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text
         new = docs.join(delta.filter("change <> 'vanished'").select(F.col("id").alias(key)), key, "left_semi")
         more_postings, more_lengths = bm25.postings(new, key, text)
         more_lengths = more_lengths.join(signature(new, key, text), "id")
-        _write(spark, folder, postings.join(delta, "id", "left_anti").unionByName(more_postings), lengths.join(delta, "id", "left_anti").unionByName(more_lengths), fingerprint)
+        write(spark, folder, postings.join(delta, "id", "left_anti").unionByName(more_postings), lengths.join(delta, "id", "left_anti").unionByName(more_lengths), fingerprint)
         return "patched"
     finally:
         delta.unpersist()
