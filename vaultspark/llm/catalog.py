@@ -86,4 +86,22 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op4_licenses, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index)}
-ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle()}
+_LOOSE = r"<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<ROLE:|<\\*</ROLE>>"
+
+ORACLES: dict[str, str] = {
+    "op2_chat": f"""
+WITH own AS (SELECT * FROM (VALUES (-7::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM own),
+s AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_LOOSE}')) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE length('<<ROLE:' || role || '>>') + 11 END AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::bigint AS formatted_chars
+FROM s GROUP BY conv_id""",
+    "op4_licenses": licenses.oracle(),
+    "op6_line_dedup": line_dedup.oracle(),
+    "op7_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+x AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, x.b FROM r JOIN x ON r.b = x.a),
+n AS (SELECT a, count(*) AS n FROM x GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::bigint AS n_links, c AS component_id, vec_id = c AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
+}

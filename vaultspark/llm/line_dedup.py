@@ -167,3 +167,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Da
     joined = docs.join(found, docs[key] == found["_doc"], "left")
     kept = F.expr(f"array_join(filter(transform(split(`{text}`, '\\n'), (x, i) -> if(array_contains(_dropped, i), null, x)), x -> x is not null), '\\n')")
     return joined.select(*[F.when(F.col("_dropped").isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns])
+
+
+def oracle() -> str:
+    """DuckDB SQL for report() of documents at threshold one: halves meet, single edits are spelled out, links are closed."""
+    half = lambda n, i: f"left(line, cast({n} as integer) // 2)" if i == 0 else f"right(line, {n} - {n} // 2)"
+    own = " UNION ALL ".join(f"SELECT line, n, n AS m, {i} AS i, {half('n', i)} AS part FROM d" for i in (0, 1))
+    probe = " UNION ALL ".join(f"SELECT line, n, n - 1 AS m, {i} AS i, {half('(n - 1)', i)} AS part FROM d" for i in (0, 1))
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT doc_id, no, line FROM l WHERE length(line) >= {MIN_CHARS}),
+d AS (SELECT line, length(line) AS n, min({{'doc': doc_id, 'no': no}}) AS first FROM e GROUP BY line),
+own AS ({own}), probe AS ({probe}),
+met AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n FROM own a JOIN (SELECT * FROM own UNION ALL SELECT * FROM probe) b ON a.m = b.m AND a.i = b.i AND a.part = b.part AND a.line <> b.line),
+near AS (SELECT a, b FROM met WHERE CASE WHEN length(b) = n THEN len(list_filter(range(1, n + 1), lambda k: a[k] <> b[k])) <= 1 ELSE len(list_filter(range(1, n + 2), lambda k: left(b, k - 1) || substr(b, k + 1) = a)) > 0 END),
+x AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+r(a, b) AS (SELECT line, line FROM d UNION SELECT r.a, x.b FROM r JOIN x ON r.b = x.a),
+keep AS (SELECT r.a AS line, min(d.first) AS first FROM r JOIN d ON d.line = r.b GROUP BY r.a),
+gone AS (SELECT doc_id, list_sort(list(no)) AS dropped FROM e JOIN keep USING (line) WHERE {{'doc': doc_id, 'no': no}} <> first GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint AS n_lines, coalesce(len(dropped), 0)::bigint AS n_dropped, coalesce(dropped, [])::integer[] AS dropped
+FROM documents LEFT JOIN gone USING (doc_id)"""
