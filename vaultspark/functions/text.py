@@ -113,16 +113,16 @@ def name_key(c: Column) -> Column:
 
 def title_of(c: Column) -> Column:
     """First line with anything on it, without heading marks, up to the first sentence's end, 80 characters at most."""
-    line = F.regexp_replace(F.trim(F.regexp_extract(c, r"(?m)^[ \t#]*([^\s#][^\n]*)$", 1)), r"\s+$", "")
-    return F.rtrim(F.left(F.regexp_replace(line, r"^(.*?[.!?])\s.*$", "$1"), F.lit(80)))
+    line = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"^\s*(\S[^\n]*)", 1), r"\s+$", ""), r"^#+\s*", "")
+    title = F.rtrim(F.left(F.regexp_replace(line, r"^(.*?[.!?])\s.*$", "$1"), F.lit(80)))
+    return F.when(c.rlike(r"\S"), title).when(c.isNotNull(), F.lit("Untitled"))
 
 
 def slug(c: Column) -> Column:
     """Lower-case ASCII words joined by hyphens, 64 characters at most; `entry` where none is left."""
     plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     made = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7f]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.regexp_replace(F.left(made, F.lit(64)), "-+$", "")
-    return F.when(cut == "", F.lit("entry")).otherwise(cut)
+    return F.when(made == "", F.lit("entry")).otherwise(F.left(made, F.lit(64)))
 
 
 TRACKING = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$"  # fixed values: query names that do not identify a page

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BEGIN, END = "<!-- web:begin -->", "<!-- web:end -->"
+#: Fence around fetched text; a collection that uses other markers passes its own.
+BEGIN, END = "<!-- web-content -->", "<!-- /web-content -->"
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", heading: str = r"^#{1,6}\s+(.*)$") -> DataFrame:
@@ -16,15 +17,15 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", heading:
     return run.groupBy("id", "section").agg(F.max(F.when(F.col("heads") == 1, F.regexp_extract("line", heading, 1))).alias("heading"), (F.min("no") + 1).alias("first_line"), (F.max("no") + 1).alias("last_line"))
 
 
-def fence(text: str) -> str:
+def fence(text: str, begin: str = BEGIN, end: str = END) -> str:
     """Fetched text between its markers."""
-    return f"{BEGIN}\n{text}\n{END}"
+    return f"{begin}\n{text}\n{end}"
 
 
-def has_web(body):
-    return F.coalesce(F.col(body).contains(BEGIN), F.lit(False))
+def has_web(body: str, begin: str = BEGIN):
+    return F.coalesce(F.col(body).contains(begin), F.lit(False))
 
 
-def searchable(body):
+def searchable(body: str, begin: str = BEGIN, end: str = END):
     """The body without fence markers; what is between them stays."""
-    return F.regexp_replace(F.col(body), rf"\n?({BEGIN}|{END})", "")
+    return F.replace(F.replace(F.col(body), F.lit(begin), F.lit("")), F.lit(end), F.lit(""))

@@ -23,7 +23,7 @@ WORDINGS = {"q1": "licensed under apache", "q2": "released under the mit license
 AT = "2024-01-15 00:00:00"
 FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
 BAGS = rf"bags AS (SELECT doc_id, lang, list_filter(regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+'), lambda w: length(w) <= 64) AS bag FROM documents)"
-TITLE = r"rtrim(left(regexp_replace(rtrim(trim(regexp_extract(text, '(?m)^[ \t#]*([^\s#][^\n]*)$', 1))), '^(.*?[.!?])\s.*$', '\1'), 80))"
+TITLE = r"CASE WHEN regexp_matches(text, '\S') THEN rtrim(left(regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, '^\s*(\S[^\n]*)', 1), '\s+$', ''), '^#+\s*', ''), '^(.*?[.!?])\s.*$', '\1'), 80)) WHEN text IS NOT NULL THEN 'Untitled' END"
 
 
 def query(oracle: str | None):
@@ -317,7 +317,7 @@ def infer_title(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
 
 
-@query(f"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower({TITLE}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'entry' ELSE regexp_replace(left(s, 64), '-+$', '') END AS slug FROM s")
+@query(f"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower({TITLE}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'entry' ELSE left(s, 64) END AS slug FROM s")
 def slugify(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.slug(T.title_of(F.col("text"))).alias("slug"))
 

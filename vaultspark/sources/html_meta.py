@@ -46,9 +46,12 @@ def meta(html: Column, *names: str) -> Column:
 
 
 def kind_of(og_type: Column) -> Column:
-    """Bookmark kind of an og:type."""
+    """Bookmark kind of an og:type; null for types that say nothing."""
     t = F.lower(F.trim(og_type))
-    return F.when(t.startswith("article"), F.lit("article")).when(t.startswith("video"), F.lit("video")).when(t.startswith("music"), F.lit("audio")).when(t.startswith("book"), F.lit("book")).when(t.isin("website", "profile"), F.lit("website")).otherwise(F.lit("other"))
+    return (
+        F.when(t.isin("article", "blog", "blog.post"), F.lit("article")).when(t == "website", F.lit("website"))
+        .when((t == "product") | t.startswith("product."), F.lit("product")).when((t == "video") | t.startswith("video."), F.lit("video"))
+    )
 
 
 def metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
