@@ -56,11 +56,13 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
         forms, parts = T.word_form_terms(terms, F.col("letters")), T.component_terms(terms, F.col("letters"))
         typos, slips = T.typo_terms(terms, F.col("names"), 5), T.typo_terms(terms, F.col("letters"), 7)
     hit = F.arrays_overlap("words", F.array(*map(F.lit, terms))) if terms else F.lit(False)
-    first = F.when(hit | F.col("hay").contains(query.casefold()), F.struct(F.lit(0).alias("stage"), none.alias("terms")))
-    for k, found in enumerate((forms, typos, parts, slips), 1):
-        first = first.when(F.size(found) > 0, F.struct(F.lit(k).alias("stage"), found.alias("terms")))
+    found = bag.select("id", (hit | F.col("hay").contains(query.casefold())).alias("hit"), *[x.alias(f"t{k}") for k, x in enumerate((forms, typos, parts, slips), 1)])
+    first = F.when(F.col("hit"), F.struct(F.lit(0).alias("stage"), none.alias("terms")))
+    for k in range(1, 5):
+        first = first.when(F.size(f"t{k}") > 0, F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("terms")))
+    # A filter here would be pushed below the projections and compute every column again; an exploded array is not.
+    staged = found.select("id", F.explode(F.array_compact(F.array(first))).alias("s")).select("id", "s.stage", "s.terms")
     # The gate is one number, so it is an aggregate of its own, not a window over one partition.
-    staged = bag.select("id", first.alias("s")).filter("s is not null").select("id", "s.stage", "s.terms")
     lowest = staged.agg(F.min("stage").alias("lowest"))
     return staged.join(F.broadcast(lowest), F.col("stage") == F.col("lowest")).select("id", "stage", "terms")
 
