@@ -63,6 +63,13 @@ class Vocabulary:
         self.shorter = [-1] * len(self.bytes_of)
         for text, i in self.usable.items():
             self.shorter[i] = next((j for k in range(len(text) - 1, 0, -1) if (j := self.usable.get(text[:k], -1)) >= 0), -1)
+        #: The longest entry that begins each path of the trie.
+        self.best: dict[str, int] = {}
+        for text in self.usable:
+            last = -1
+            for k in range(1, len(text) + 1):
+                last = self.usable.get(text[:k], last)
+                self.best[text[:k]] = last
         self.fit_memo.clear()
 
     def _stable(self, left: int, right: int) -> bool:
@@ -130,13 +137,7 @@ class Vocabulary:
     def _longest(self, text: str, pos: int) -> int:
         """Id of the longest entry that starts at pos, or -1."""
         rest = text[pos : pos + self.most]
-        size = self.automaton.longest_prefix(rest)
-        while size:
-            i = self.usable.get(rest[:size])
-            if i is not None:
-                return i
-            size -= 1
-        return -1
+        return self.best.get(rest[: self.automaton.longest_prefix(rest)], -1)
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a run between safe borders; two generations of a bounded memo keep frequent ones."""
@@ -209,6 +210,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array([v.decode(x.as_py() or []) for x in column], pa.binary())
+        filled = column.fill_null([]) if column.null_count else column
+        flat, ends = filled.values.to_numpy(zero_copy_only=False).tolist(), filled.offsets.to_pylist()  # plain ints, made once for the batch
+        return pa.array([v.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
 
     return df.withColumn(out, bytes_of(F.col(ids)))
