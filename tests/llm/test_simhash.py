@@ -90,3 +90,35 @@ def test_keep_one_leaves_clean_rows_and_one_of_each_group(spark):
     assert kept.count(None) == 1
     assert simhash.keep_one(df).columns == df.columns
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def shingled(words, size=5):
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def jaccard(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def varied(r, words, text, n):
+    text = list(text)
+    for p in r.sample(range(len(text)), n):
+        text[p] = r.choice(words)
+    return text
+
+
+def test_keep_one_finds_variants_by_their_original(spark, monkeypatch):
+    """Variants are like the original and not like each other; the original comes last and is no root by itself."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(20_000)]
+    docs = []
+    for first in (0, 1000):
+        original = [r.choice(words) for _ in range(300)]
+        variants = [v for v in (varied(r, words, original, 6) for _ in range(200)) if jaccard(original, v) >= 0.8]
+        docs += [(first + k, v) for k, v in enumerate(variants)] + [(first + 999, original)]
+    docs += [(3000 + k, [r.choice(words) for _ in range(100)] + docs[0][1][:40]) for k in range(30)]  # one passage, else different
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    want = groups([i for i, _ in docs], [(i, j) for i, a in docs for j, b in docs if i < j and (i // 1000 == j // 1000) and jaccard(a, b) >= 0.8])
+    assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == sorted(set(want.values())) == [0, 1000, *range(3000, 3030)]

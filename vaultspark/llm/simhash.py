@@ -11,10 +11,18 @@ side needs its own codewords only, which is what makes candidates rare.
 Groups of equal keys are read in key order from a sorted partition. Inside a group, links are followed
 breadth-first and each fingerprint is reported once, so n fingerprints that are all near each other give
 n - 1 links and not n(n - 1) / 2; what was reached is never compared again.
+
+`keep_one` needs every pair of some Jaccard similarity, which no radius vouches for and a forest of unverified
+links does not keep together. What fingerprints miss comes from an exact prefix filter: of n shingles in one
+global order, sets as similar as t share one of their first n - ceil(t n) + 1. The order is by hash, shingles
+that a sample finds in many documents last; it decides the cost and never the result. Few documents under a
+shingle are paired out; many are compared with a few pivots a round, which then leave, until all that is left
+under the shingle is connected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +37,9 @@ from vaultspark.llm.components import components
 GOLAY = 0b101011100011
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (shift, bits), padded with zeros to 23
 PAIRS = ((0, 1), (0, 2), (1, 2))
+HOT = 16  # documents under a shingle that are still paired out
+PIVOTS, ROUNDS = 8, 12  # pivots of a hotter shingle in a round; after the rounds, what is left is paired out
+SAMPLE, OFTEN, LATE = 64, 3, 50_000  # shingles in OFTEN of every SAMPLE-th document come late in the order, LATE at most
 
 
 def _remainders() -> np.ndarray:
@@ -113,25 +124,41 @@ def _bits(hashes: np.ndarray) -> int:
     return int(set_.view(np.uint64)[0]) if len(hashes) else 0
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+def _prefix(hashes: np.ndarray, similarity: float, late: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of different shingles, and those of which a set as similar shares one: hashes in order, `late` ones last."""
+    rows = np.unique(hashes)
+    last = np.isin(rows, late)
+    rows = np.concatenate([rows[~last], rows[last]])
+    return len(rows), rows[: len(rows) - math.ceil(similarity * len(rows) - 1e-9) + 1]
+
+
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, late: np.ndarray | None = None) -> DataFrame:
     """(key, fp long, digest long) of every row, repeats included; null texts count as empty.
 
+    With `similarity`, also (n int, prefix array<long>): how many different shingles, and those that _prefix gives.
+
     Words are runs of anything but ASCII white space, after lower-casing A-Z; fewer words than `size` form
     one shingle. `digest` is XXH64 of the words joined by spaces, to tell equal texts from equal fingerprints.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint" + (", n int, prefix array<bigint>" if similarity else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fp, digest = [], []
+            fp, digest, n, prefix = [], [], [], []
             for t in batch.column(1):
                 words = _words(t.as_py())
-                fp.append(_bits(_shingle_hashes(words, size)))
+                hashes = _shingle_hashes(words, size)
+                fp.append(_bits(hashes))
+                if similarity:
+                    many, first = _prefix(hashes, similarity, late)
+                    n.append(many)
+                    prefix.append(first.view(np.int64))
                 digest.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             as_long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, digest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long], names=[key, "fp", "digest"])
+            more = [pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))] if similarity else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long, *more], names=[key, "fp", "digest", "n", "prefix"][: 3 + len(more)])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -200,21 +227,25 @@ def _near(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
+    for k, ids, fps in _runs(batches):
+        yield links(k, ids, fps.view(np.uint64))  # bitwise_count of a signed number counts its absolute value
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, dealt anew so that no run of equal values of the first goes on past a piece."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        now[2] = now[2].view(np.uint64)  # bitwise_count of a signed number counts its absolute value
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(now[0]):
             continue
         if held and now[0][-1] == held[0][0][-1]:  # the run goes on past this batch
             held.append(now)
             continue
         last = int(np.searchsorted(now[0], now[0][-1]))
-        ready = [np.concatenate([h[i] for h in held] + [now[i][:last]]) for i in range(3)]
+        yield [np.concatenate([h[i] for h in held] + [x[:last]]) for i, x in enumerate(now)]
         held = [[x[last:] for x in now]]
-        yield links(*ready)
     if held:
-        yield links(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def links(classes: DataFrame, radius: int = 3, reach: int | None = None) -> DataFrame:
@@ -247,17 +278,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, reach: int = 14) -> DataFrame:
     """Rows of df without near-duplicates: of each group the row with the smallest key stays.
 
-    Documents link if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more;
-    candidates are fingerprints within `radius` bits (all are found) and up to `reach` bits where they share a
-    key. Equal word sequences always link. Documents without words are one group. Columns stay as they are;
-    rows with a null key stay; of rows that repeat a key one stays.
+    Documents link if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more, and
+    every such pair ends in one group: candidates are fingerprints within `radius` bits, or `reach` where they share
+    a key, and then all that an exact prefix filter leaves and that is not connected yet. Equal word sequences
+    always link. Documents without words are one group. Columns stay as they are; rows with a null key stay; of
+    rows that repeat a key one stays.
     """
-    prints = cut(fingerprints(df, key, text, size))
-    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id")).filter("id is not null"))
+    prints = cut(fingerprints(df, key, text, size, similarity, _often(df, key, text, size)))
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("id is not null"))
     maybe = cut(links(classes, radius, reach))
-    ends = maybe.selectExpr("a as id").union(maybe.selectExpr("b as id")).distinct()
+    met = cut(_met(classes, similarity))
+    pairs, hot = met.filter("k is null").select("a", "b").distinct(), met.filter("k is not null").select("k", F.col("a").alias("id"), "n")
+    ends = maybe.selectExpr("a as id").union(maybe.selectExpr("b as id")).union(met.selectExpr("a as id")).union(met.selectExpr("b as id").filter("id is not null")).distinct()
     sets = cut(shingle_sets(df.join(ends, df[key] == ends["id"], "left_semi"), key, text, size).dropDuplicates([key]))
-    sided = maybe.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -268,12 +301,84 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             out.append(both >= similarity * (len(p) + len(q) - both))
         return pa.array(out, pa.bool_())
 
-    found = components(sided.filter(alike("x", "y")).select("a", "b"))
+    def verified(some: DataFrame) -> DataFrame:
+        sided = some.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+        return cut(sided.filter(alike("x", "y")).select("a", "b"))
+
+    linked = verified(maybe)
+    near = cut(components(linked))
+    sided = pairs.join(maybe, ["a", "b"], "left_anti").join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left")
+    linked = linked.unionByName(verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
+    found = components(_pivoted(hot, linked, verified, similarity))
     losers = found.filter("id <> component").select("id")
     gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col(key).isNotNull() & ((F.col(key) != F.col("first")) | F.col("id").isNotNull())).select(F.col(key).alias("gone_key")).distinct()
     return df.join(gone, df[key] == gone["gone_key"], "left_anti")
 
 
+def _often(df: DataFrame, key: str, text: str, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that a sample of the documents holds often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingle_hashes(_words(t.as_py()), size)).view(np.int64))], names=["k"])
+
+    some = df.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(text).mapInArrow(run, "k bigint")
+    often = some.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "k").limit(LATE)
+    return np.sort(np.array([r["k"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+
+
+def _met(classes: DataFrame, similarity: float) -> DataFrame:
+    """(null, a, b, null) of classes (id, n, prefix) under one shingle; (k, id, null, n) where it has more than HOT of them."""
+
+    def pair_out(k: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(k)])
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size in range(2, HOT + 1):
+            at = starts[sizes == size]
+            for i in range(size if len(at) else 0):
+                for j in range(i):
+                    left.append(at + i)
+                    right.append(at + j)
+        a, b = np.concatenate(left), np.concatenate(right)
+        fits = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+        a, b = ids[a[fits]], ids[b[fits]]
+        many = np.repeat(sizes > HOT, sizes)
+        columns = [
+            pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(k[many], pa.int64())]),
+            pa.array(np.r_[np.maximum(a, b), ids[many]], pa.int64()),
+            pa.concat_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.nulls(int(many.sum()), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(n[many], pa.int32())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "a", "b", "n"])
+
+    keyed = classes.select(F.explode("prefix").alias("k"), "id", "n").repartition(F.col("k")).sortWithinPartitions("k")
+    return keyed.mapInArrow(lambda batches: (pair_out(*run) for run in _runs(batches)), "k bigint, a bigint, b bigint, n int")
+
+
+def _pivoted(hot: DataFrame, linked: DataFrame, verified, similarity: float) -> DataFrame:
+    """linked (a, b) with verified links that connect all that is similar under one k of hot (k, id, n).
+
+    Pivots are compared with every member of another component and then leave. Members of the largest component
+    go first, as what one of them found may be what all others are alike to.
+    """
+    for turn in range(ROUNDS + 1):
+        if hot.isEmpty():
+            break
+        named = cut(hot.join(components(linked), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
+        parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
+        top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
+        now = cut(named.join(parted, "k", "left_semi").join(top, "k"))
+        rank = F.struct((F.col("c") != F.col("top")).alias("out"), F.xxhash64("id").alias("h"), "id", "n", "c")
+        pivots = now.groupBy("k", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("lot")).agg(F.min(rank).alias("p")).select("k", "p.id", "p.n", "p.c")
+        pivots = cut(pivots if turn < ROUNDS else now.select("k", "id", "n", "c"))
+        sided = pivots.toDF("k", "p", "pn", "pc").join(now, "k").filter((F.col("pc") != F.col("c")) & (F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9))
+        linked = linked.unionByName(verified(sided.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
+        hot = cut(now.select("k", "id", "n").join(pivots.select("k", "id"), ["k", "id"], "left_anti"))
+    return linked
+
+
 def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(key, shingles array<int>): the sorted set of 32-bit hashes of each row's shingles."""
 
