@@ -122,3 +122,16 @@ def test_keep_one_finds_variants_by_their_original(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
     want = groups([i for i, _ in docs], [(i, j) for i, a in docs for j, b in docs if i < j and (i // 1000 == j // 1000) and jaccard(a, b) >= 0.8])
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == sorted(set(want.values())) == [0, 1000, *range(3000, 3030)]
+
+
+def test_keep_one_finds_every_pair_at_the_similarity(spark):
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(20_000)]
+    docs, gone = [], []
+    for i in range(0, 300, 2):
+        a = [r.choice(words) for _ in range(r.randint(6, 300))]
+        b = varied(r, words, a, r.randint(1, min(len(a), 9)))
+        docs += [(i, a), (i + 1, b)]
+        gone += [i + 1] if jaccard(a, b) >= 0.8 else []
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    assert {i for i, _ in docs} - {x.doc_id for x in simhash.keep_one(df).collect()} == set(gone) and len(gone) > 40
