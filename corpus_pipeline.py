@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go from the texts; every document stays, its n_chars following its text."""
-    kept = line_dedup.dedup(docs)
+    """Lines that repeat an earlier line go from the texts, equal ones of any length but empty; every document stays, its n_chars following its text."""
+    kept = line_dedup.dedup(docs, exact_chars=1)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

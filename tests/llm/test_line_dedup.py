@@ -70,3 +70,13 @@ def test_empty_table_and_report(spark):
     df = spark.createDataFrame([(1, "a line that is long enough\nx"), (2, "a line that is long enough"), (3, None)], "doc_id long, text string")
     assert sorted(tuple(r)[:3] for r in line_dedup.report(df).collect()) == [(1, 2, 0), (2, 1, 1), (3, 0, 0)]
     assert line_dedup.report(df.limit(0)).count() == 0 and line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_stage_drops_equal_short_lines(spark):
+    """Short lines go if they are equal, stay if they are one edit apart; empty lines always stay."""
+    import corpus_pipeline
+
+    docs = [(1, "Les.\n\nshort\nshort"), (2, "Les.\n\nLet.\nx"), (3, "x\nshort\n"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: ("Les.\n\nshort", 11), 2: ("\nLet.\nx", 7), 3: ("", 0), 4: (None, None), 5: ("", 0)}

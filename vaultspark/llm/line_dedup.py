@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import cut
 from vaultspark.llm.components import components
 
-MIN_CHARS = 20  # shorter lines are no evidence of copying and are never compared
+MIN_CHARS = 20  # shorter lines are no evidence of copying and are never compared by edits
 HOT = 24  # different lines under a key that are still paired out
 SMALL = 200_000  # rows of two longs that are broadcast at most: 3.2 MB; more are joined by shuffle
 FAN = 16
@@ -129,15 +129,17 @@ def within(a: str, b: str, threshold: int) -> Column:
     return F.expr(let("ca", chars(a), let("cb", chars(b), run)) + f" <= {t}")
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc, dropped array<int>): numbers (from 0) of the lines of each document that repeat an earlier line.
 
-    Lines of at least `min_chars` code points are linked if they are within `threshold` edits; of each connected
+    Lines of at least `min_chars` code points are linked if they are within `threshold` edits, shorter ones of at
+    least `exact_chars` (`min_chars`, if it is not given) if they are equal; of each connected
     group the first line, by key and then number, stays. Only documents that lose lines have a row. Rows with a
     null key or text have no lines; rows that repeat a key count as one document; an empty table gives no rows;
     extra columns are ignored. Lines of any length are compared whole.
     """
-    lines = lines_of(docs, key, text).filter(F.char_length("line") >= min_chars).select("doc", "no", *marks())
+    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
+    lines = lines_of(docs, key, text).filter(F.char_length("line") >= least).select("doc", "no", *marks())
     lines = cut(lines)
     distinct = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first")))
     maybe, texts = candidates(docs, key, text, threshold, min_chars)
