@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 
 from vaultspark.llm.common import cut
 from vaultspark.llm.components import components
+from vaultspark.llm.line_dedup import small
 
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GOLAY = 0b101011100011
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (shift, bits), padded with zeros to 23
 PAIRS = ((0, 1), (0, 2), (1, 2))
 HOT = 16  # documents under a shingle that are still paired out
-PIVOTS, ROUNDS = 8, 12  # pivots of a hotter shingle in a round; after the rounds, what is left is paired out
+PIVOTS, MORE = 8, 4  # pivots of a hotter shingle in the first round, and how many times as many in each further one
 SAMPLE, OFTEN, LATE = 64, 3, 50_000  # shingles in OFTEN of every SAMPLE-th document come late in the order, LATE at most
 
 
@@ -302,7 +303,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         return pa.array(out, pa.bool_())
 
     def verified(some: DataFrame) -> DataFrame:
-        sided = some.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+        some = cut(some)
+        met_here = sets.join(small(some.selectExpr(f"a as {key}").union(some.selectExpr(f"b as {key}")).distinct()), key, "left_semi")
+        sided = some.join(met_here.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(met_here.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
         return cut(sided.filter(alike("x", "y")).select("a", "b"))
 
     linked = verified(maybe)
@@ -363,16 +366,16 @@ def _pivoted(hot: DataFrame, linked: DataFrame, verified, similarity: float) ->
     Pivots are compared with every member of another component and then leave. Members of the largest component
     go first, as what one of them found may be what all others are alike to.
     """
-    for turn in range(ROUNDS + 1):
-        if hot.isEmpty():
-            break
+    lots = PIVOTS
+    while not hot.isEmpty():
         named = cut(hot.join(components(linked), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
         parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
         top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
         now = cut(named.join(parted, "k", "left_semi").join(top, "k"))
         rank = F.struct((F.col("c") != F.col("top")).alias("out"), F.xxhash64("id").alias("h"), "id", "n", "c")
-        pivots = now.groupBy("k", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("lot")).agg(F.min(rank).alias("p")).select("k", "p.id", "p.n", "p.c")
-        pivots = cut(pivots if turn < ROUNDS else now.select("k", "id", "n", "c"))
+        pivots = now.groupBy("k", F.pmod(F.xxhash64("id"), F.lit(lots)).alias("lot")).agg(F.min(rank).alias("p")).select("k", "p.id", "p.n", "p.c")
+        pivots = cut(pivots)
+        lots *= MORE
         sided = pivots.toDF("k", "p", "pn", "pc").join(now, "k").filter((F.col("pc") != F.col("c")) & (F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9))
         linked = linked.unionByName(verified(sided.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
         hot = cut(now.select("k", "id", "n").join(pivots.select("k", "id"), ["k", "id"], "left_anti"))
