@@ -42,3 +42,32 @@ def test_frame_nulls_repeats_extra_columns_and_empty(spark):
     out = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in out) == [(1, ""), (2, ""), (3, rows[2][1]), (3, rows[2][1])]
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_portions_and_generations_change_nothing(reference, monkeypatch):
+    v, r = bpe.Vocabulary(bpe_ranks(), P.PATTERN), random.Random(5)
+    monkeypatch.setattr(bpe, "RUNS_AT_ONCE", 7)  # texts of 56 characters and more go through in portions
+    monkeypatch.setattr(bpe, "MEMO_RUNS", 20)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 30)
+    texts = [" ".join("".join(r.choice("aeinrst,'") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "", "y" * 70]
+    counts, ids = v.encode_all(iter(texts))
+    at = 0
+    for t, n in zip(texts, counts.tolist()):
+        assert ids[at : at + n].tolist() == reference.encode_ordinary(t or "")
+        at += n
+    sizes, data = v.decode_all(ids, counts)
+    assert data.tobytes() == "".join(t or "" for t in texts).encode() and sizes.tolist() == [len((t or "").encode()) for t in texts]
+
+
+def bpe_ranks():
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+
+
+def test_round_trip_equals_encode_then_decode(spark):
+    rows = [(1, None), (2, ""), (3, "der Haß  \n"), (3, "der Haß  \n"), (4, "漢字 " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = bpe.round_trip(df, PATH, P.PATTERN)
+    twice = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert once._jdf.queryExecution().executedPlan().toString().count("both(") == 1  # the encoder runs once
+    assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).collect() == []

@@ -1,18 +1,21 @@
 """Operator 3: byte-level BPE encoding and decoding by a table of ranks.
 
-Bytes become Latin-1 characters so that an Aho-Corasick automaton finds every vocabulary entry at every
-position that the encoder asks about. Encoding walks the piece with the longest entry first and keeps an entry only if it may stand next
-to the one before it: two entries fit if merging, run on their bytes together, would end with exactly those
-two. That test is memoised by pair. A position from which no entry leads on is marked and never tried again,
-so each position is given up at most once and the walk is linear in the piece (the longest entry is a
-constant). The result is that of merging by rank, without merging.
+Bytes become Latin-1 characters so that one run of an Aho-Corasick automaton over many pieces, set apart by a
+character that is no byte, gives each piece's leftmost longest entries. Two entries may stand next to each other
+if merging, run on their bytes together, would end with exactly those two; that test is memoised by pair. Pieces
+whose longest entries all fit are done. The others are walked from their first misfit on: the next shorter entry
+is tried, and a position from which no entry leads on is marked and never tried again, so each position is given
+up at most once and the walk is linear in the piece (the longest entry is a constant). The result is that of
+merging by rank, without merging.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,41 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Pieces never cross these runs: a word with one space before it, or white space.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 250_000, 250_000, 500_000
+#: Bounds of the memos: runs in one of two generations, their length, pairs in order, pairs met while walking.
+MEMO_RUNS, MEMO_LENGTH, MEMO_PAIRS, MEMO_WALK = 160_000, 64, 400_000, 200_000
+RUNS_AT_ONCE = 100_000  # runs that are Python objects at one time
+NEVER = 1 << 60
+
+
+class Runs:
+    """Ids of runs in one array: a dictionary from the run to its number, and where each number's ids begin."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes, self.ids, self.many, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0, 0
+
+    def add(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Takes runs up, their ids one after another in `ids`."""
+        many, used = self.many + len(names), self.used + len(ids)
+        if many > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(many, x.dtype)]) for x in (self.starts, self.sizes))
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(used, np.int32)])
+        self.starts[self.many : many] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.many : many] = sizes
+        self.ids[self.used : used] = ids
+        self.number.update(zip(names, range(self.many, many)))
+        self.many, self.used = many, used
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size of each numbered run, their ids one after another)."""
+        sizes = self.sizes[numbers].astype(np.int64)
+        return sizes, self.ids[spread(self.starts[numbers], sizes)]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then the same for the next."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Vocabulary:
@@ -33,144 +70,253 @@ class Vocabulary:
         import ahocorasick
         import regex
 
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for raw, i in ranks.items():
-            self.bytes_of[i] = raw
+        many = max(ranks.values(), default=-1) + 1
         self.ids = {raw.decode("latin-1"): i for raw, i in ranks.items()}
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.fit_memo: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.usable: dict[str, int] = {}
-        self.automaton = ahocorasick.Automaton()
+        by_id = [b""] * many
+        for raw, i in ranks.items():
+            by_id[i] = raw
+        self.length = [len(raw) for raw in by_id]
+        self.lengths = np.array(self.length, np.int64)
+        self.data, self.at = np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(self.lengths) - self.lengths
+        #: The two entries that an entry is merged from (itself, if from none) and the entry of two, by both.
+        self.left, self.right = np.arange(many), np.arange(many)
+        self.merged: dict[int, int] = {}
+        self.walked: dict[int, bool] = {}
+        self.automaton, usable = ahocorasick.Automaton(), {}
         for text, i in sorted(self.ids.items(), key=lambda x: x[1]):
             if len(text) > 1:
                 for k in range(1, len(text)):
                     left, right = self.ids.get(text[:k], i), self.ids.get(text[k:], i)
-                    if left < i and right < i and self._stable(left, right):
-                        self.halves[i], self.merged[left, right] = (left, right), i
+                    if left < i and right < i and self._fits(left, right):
+                        self.left[i], self.right[i], self.merged[left << 20 | right] = left, right, i
                         break
                 else:
                     continue  # merging never makes it; only a whole piece can be this entry
             self.automaton.add_word(text, i)
-            self.usable[text] = i
-        self.most = max(map(len, self.usable), default=0)
-        self.length = [len(raw) for raw in self.bytes_of]
+            usable[text] = i
+        if usable:
+            self.automaton.make_automaton()
         #: The longest entry that starts an entry, or -1: what to try after it.
-        self.shorter = [-1] * len(self.bytes_of)
-        for text, i in self.usable.items():
-            self.shorter[i] = next((j for k in range(len(text) - 1, 0, -1) if (j := self.usable.get(text[:k], -1)) >= 0), -1)
-        #: The longest entry that begins each path of the trie.
-        self.best: dict[str, int] = {}
-        for text in self.usable:
-            last = -1
-            for k in range(1, len(text) + 1):
-                last = self.usable.get(text[:k], last)
-                self.best[text[:k]] = last
-        self.fit_memo.clear()
-
-    def _stable(self, left: int, right: int) -> bool:
+        self.shorter = [-1] * many
+        for text, i in usable.items():
+            self.shorter[i] = next((j for k in range(len(text) - 1, 0, -1) if (j := usable.get(text[:k], -1)) >= 0), -1)
+        self.walked.clear()
+        order = sorted(self.merged.items())
+        self.across = np.array([k for k, _ in order] + [NEVER], np.int64), np.array([i for _, i in order] + [NEVER], np.int64)
+        self.pairs, self.fit = np.empty(0, np.int64), np.empty(0, bool)
+        self.new, self.old = Runs(), Runs()
+
+    def _fits(self, left: int, right: int) -> bool:
         """Would merging by rank leave left | right as they are, given bytes(left) + bytes(right)?
 
         Undo the later of the two entries' last merges, again and again, watching only the pair that touches
         the border: a merge across it that comes before the undone one would have come first.
         """
         key = left << 20 | right
-        known = self.fit_memo.get(key)
+        known = self.walked.get(key)
         if known is not None:
             return known
-        a, b, before, answer = left, right, 1 << 60, True
+        a, b, before, answer = left, right, NEVER, True
         while True:
-            across = self.merged.get((a, b))
-            if across is not None and across < before:
+            if self.merged.get(a << 20 | b, NEVER) < before:
                 answer = False
                 break
-            a_parts, b_parts = self.halves.get(a), self.halves.get(b)
-            if a_parts is None and b_parts is None:
+            a_last, b_first = int(self.right[a]), int(self.left[b])
+            if a_last == a and b_first == b:
                 break
             # At equal ranks the left one merges first, so the right one is undone first.
-            if b_parts is None or a_parts is not None and a > b:
-                before, a = a, a_parts[1]
+            if b_first == b or a_last != a and a > b:
+                before, a = a, a_last
             else:
-                before, b = b + 1, b_parts[0]
-        if len(self.fit_memo) >= MEMO_PAIRS:
-            self.fit_memo.clear()
-        self.fit_memo[key] = answer
+                before, b = b + 1, b_first
+        if len(self.walked) >= MEMO_WALK:
+            self.walked.clear()
+        self.walked[key] = answer
         return answer
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one piece, given as Latin-1 of its bytes."""
-        whole = self.ids.get(text)
-        if whole is not None:
-            return (whole,)
-        n, stable, known, shorter = len(text), self._stable, self.fit_memo.get, self.shorter
-        out: list[int] = []
-        starts: list[int] = []
-        dead = bytearray(n + 1)
-        pos, i = 0, self._longest(text, 0)
-        while pos < n:
+    def _all_fit(self, keys: np.ndarray) -> np.ndarray:
+        """_fits for many pairs left << 20 | right, through the memo of pairs."""
+        unique, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pairs, unique), max(0, len(self.pairs) - 1))
+        known = self.pairs[at] == unique if len(self.pairs) else np.zeros(len(unique), bool)
+        answer = np.ones(len(unique), bool)
+        answer[known] = self.fit[at[known]]
+        live = np.flatnonzero(~known)
+        a, b, before = unique >> 20, unique & (1 << 20) - 1, np.full(len(unique), NEVER)
+        while len(live):
+            x, y = a[live], b[live]
+            across = x << 20 | y
+            at = np.searchsorted(self.across[0], across)
+            merge = np.where(self.across[0][at] == across, self.across[1][at], NEVER)
+            bad = merge < before[live]
+            answer[live[bad]] = False
+            x_last, y_first = self.right[x], self.left[y]
+            ends = bad | (x_last == x) & (y_first == y)
+            undo_left = (y_first == y) | (x_last != x) & (x > y)
+            before[live] = np.where(undo_left, x, y + 1)
+            a[live], b[live] = np.where(undo_left, x_last, x), np.where(undo_left, y, y_first)
+            live = live[~ends]
+        if len(self.pairs) + int((~known).sum()) > MEMO_PAIRS:
+            self.pairs, self.fit = unique[:MEMO_PAIRS], answer[:MEMO_PAIRS]
+        elif not known.all():
+            pairs = np.concatenate([self.pairs, unique[~known]])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs, self.fit = pairs[order], np.concatenate([self.fit, answer[~known]])[order]
+        return answer[back]
+
+    def _walk(self, text: str, out: list[int], good: int) -> list[int]:
+        """Ids of a piece, given its leftmost longest entries, of which the first `good` fit each other."""
+        n, longest, second = len(text), self.automaton.iter_long, itemgetter(1)
+        known, fits, length, shorter = self.walked.get, self._fits, self.length, self.shorter
+        further = iter(out[good + 1 :])  # longest entries one after another, as long as each is taken
+        i, pos = out[good], 0
+        del out[good:]
+        for x in out:
+            pos += length[x]
+        first, dead = True, bytearray(n + 1)
+        while True:
             last = out[-1] if out else -1
             while i >= 0:
-                end = pos + self.length[i]
+                end = pos + length[i]
                 if not dead[end]:
                     if last < 0:
                         break
-                    fits = known(last << 20 | i)
-                    if stable(last, i) if fits is None else fits:
+                    fit = known(last << 20 | i)
+                    if fits(last, i) if fit is None else fit:
                         break
                 i = shorter[i]
+                first = False
             if i >= 0:
                 out.append(i)
-                starts.append(pos)
                 pos = end
-                i = self._longest(text, pos) if pos < n else -1
+                if pos == n:
+                    return out
+                if not first:
+                    further, first = map(second, longest(text, pos)), True
+                i = next(further)
             else:
-                if not out:
-                    raise ValueError("a byte of the text is not in the vocabulary")
                 dead[pos] = 1
-                i, pos = shorter[out.pop()], starts.pop()
-        return tuple(out)
-
-    def _longest(self, text: str, pos: int) -> int:
-        """Id of the longest entry that starts at pos, or -1."""
-        rest = text[pos : pos + self.most]
-        return self.best.get(rest[: self.automaton.longest_prefix(rest)], -1)
-
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Ids of a run between safe borders; two generations of a bounded memo keep frequent ones."""
-        found = self.old.get(text)
-        if found is None:
-            word = text.rstrip(".,!?;:")
-            if word.lstrip(" ").isalpha():  # letters and then marks: no need of the pattern
-                parts = [word, text[len(word) :]] if len(word) < len(text) else [word]
-            else:
-                parts = self.pieces.findall(text)
-            found = tuple(chain.from_iterable([self._remembered(p) for p in parts]))
-        if len(self.memo) >= MEMO_CHUNKS:
-            self.old, self.memo = self.memo, {}
-        if len(text) <= 64:
-            self.memo[text] = found
-        return found
-
-    def _remembered(self, part: str) -> tuple[int, ...]:
-        found = self.words.get(part)
-        if found is None:
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            found = self.piece(part.encode().decode("latin-1"))
-            if len(part) <= 64:
-                self.words[part] = found
-        return found
+                last = out.pop()
+                i, pos, first = shorter[last], pos - length[last], False
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, the ids one after another); pieces are Latin-1 of their bytes and not empty."""
+        sizes_in = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes_in + 1)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long("Ā".join(pieces))), np.int64).reshape(-1, 2) if self.ids else np.empty((0, 2), np.int64)
+        owner, ids = np.searchsorted(ends, found[:, 0], side="right"), found[:, 1]
+        if np.any(np.bincount(owner, weights=self.lengths[ids], minlength=len(pieces)) != sizes_in):
+            raise ValueError("a byte of the text is not in the vocabulary")
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        misfit = inner[~self._all_fit(ids[inner] << 20 | ids[inner + 1])]
+        bad, first = np.unique(owner[misfit], return_index=True)
+        starts = np.searchsorted(owner, np.arange(len(pieces) + 1))
+        counts, change, flat = np.diff(starts), {}, ids.tolist()
+        for k, at, a, b in zip(bad.tolist(), misfit[first].tolist(), starts[bad].tolist(), starts[bad + 1].tolist()):
+            change[k] = self._walk(pieces[k], flat[a:b], at - a + 1)
+        whole = self.ids.get
+        for k, i in enumerate(map(whole, pieces)):
+            if i is not None and (counts[k] > 1 or k in change):
+                change[k] = [i]
+        if not change:
+            return counts, ids
+        keep = np.ones(len(pieces), bool)
+        keep[list(change)] = False
+        new_counts = counts.copy()
+        new_counts[list(change)] = [len(x) for x in change.values()]
+        out, at = np.empty(int(new_counts.sum()), np.int64), np.cumsum(new_counts) - new_counts
+        out[spread(at[keep], counts[keep])] = ids[np.repeat(keep, counts)]
+        out[spread(at[~keep], new_counts[~keep])] = np.fromiter(chain.from_iterable(change[k] for k in sorted(change)), np.int64)
+        return new_counts, out
+
+    def _split(self, run: str) -> list[str]:
+        word = run.rstrip(".,!?;:")
+        if word.lstrip(" ").isalpha():  # letters and then marks: no need of the pattern
+            return [word, run[len(word) :]] if len(word) < len(run) else [word]
+        return self.pieces.findall(run)
+
+    def _new_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each run, the ids one after another) of runs between safe borders, not memoised."""
+        split = [self._split(r) for r in runs]
+        parts = list(chain.from_iterable(split))
+        place = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+        counts, ids = self.encode_pieces([p.encode().decode("latin-1") for p in place])
+        which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        sizes = counts[which]
+        of_run = np.add.reduceat(sizes, np.cumsum([0, *map(len, split)])[:-1]) if runs else sizes
+        return of_run, ids[spread((np.cumsum(counts) - counts)[which], sizes)]
+
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each run, the ids one after another). Two generations of a bounded memo keep frequent runs."""
+        if self.new.many >= MEMO_RUNS:
+            self.new, self.old = Runs(), self.new
+        numbers = np.fromiter(map(self.new.number.get, runs, repeat(-1)), np.int64, len(runs))
+        missed = list(dict.fromkeys([runs[k] for k in np.flatnonzero(numbers < 0).tolist()]))
+        if not missed:
+            return self.new.take(numbers)
+        before = np.fromiter(map(self.old.number.get, missed, repeat(-1)), np.int64, len(missed))
+        again, fresh = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        self.new.add([missed[k] for k in again.tolist()], *self.old.take(before[again]))
+        names = [missed[k] for k in fresh.tolist()]
+        sizes, ids = self._new_runs(names)
+        self.new.add(names, sizes, ids)
+        get = self.new.number.__getitem__
+        at = np.flatnonzero(numbers < 0)
+        numbers[at] = [get(runs[k]) for k in at.tolist()]
+        taken = self.new.take(numbers)
+        for long in [x for x in names if len(x) > MEMO_LENGTH]:
+            del self.new.number[long]  # found by no later run; its ids go with the generation
+        return taken
+
+    def encode_all(self, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, the ids one after another); null texts are empty."""
+        counts, out = [], [np.empty(0, np.int32)]
+        runs: list[str] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            sizes, ids = self.encode_runs(runs)
+            out.append(ids.astype(np.int32))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            lengths = np.diff([*owners, len(runs)])
+            stops = np.cumsum(lengths) + owners[0] if owners else lengths
+            for k, (a, b) in enumerate(zip(owners, stops.tolist())):
+                counts[len(counts) - len(owners) + k] += int(ends[b] - ends[a])
+            runs.clear()
+            owners.clear()
+
+        for text in texts:
+            counts.append(0)
+            owners.append(len(runs))
+            if text and len(text) < 8 * RUNS_AT_ONCE:
+                runs += CHUNK.findall(text)
+            elif text:
+                found = CHUNK.finditer(text)
+                while some := [m[0] for m in islice(found, RUNS_AT_ONCE)]:
+                    runs += some
+                    flush()
+                    owners.append(0)
+            if len(runs) >= RUNS_AT_ONCE:
+                flush()
+        flush()
+        return np.array(counts, np.int64), np.concatenate(out)
 
     def encode(self, text: str) -> list[int]:
-        get, chunk = self.memo.get, self.chunk
-        return list(chain.from_iterable([get(c) or chunk(c) for c in CHUNK.findall(text)]))
+        return self.encode_all(iter([text]))[1].tolist()
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of bytes of each row of `counts` ids, the bytes one after another)."""
+        lengths, out = self.lengths[ids], []
+        for k in range(0, len(ids), 1 << 17):  # bounds the index arrays
+            some = ids[k : k + (1 << 17)]
+            out.append(self.data[spread(self.at[some], lengths[k : k + (1 << 17)])])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        stops = np.cumsum(counts)
+        return ends[stops] - ends[stops - counts], np.concatenate([np.empty(0, np.uint8), *out])
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[1].tobytes()
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
@@ -186,30 +332,63 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _LOADED[key]
 
 
+def _offsets(counts: np.ndarray) -> pa.Buffer:
+    return pa.py_buffer(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+
+def _id_lists(v: Vocabulary, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    counts, ids = v.encode_all(x.as_py() for x in texts)
+    return pa.ListArray.from_buffers(pa.list_(pa.int32()), len(counts), [None, _offsets(counts)], children=[pa.array(ids, pa.int32())]), counts, ids
+
+
+def _decoded(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    sizes, data = v.decode_all(ids, counts)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, _offsets(sizes), pa.py_buffer(data)])
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with `out`, an array of int: the ids of the whole text (null and empty texts: an empty array).
 
-    One Arrow pass, no shuffle. Memory: a batch, the vocabulary and two bounded memos. Texts of any length
-    are encoded whole; repeated rows and extra columns are kept as they are; an `out` column that is there
-    already is replaced. The rank file is installed with Python on every machine, like a library.
+    One Arrow pass, no shuffle. Memory: a batch, the vocabulary and bounded memos; of a batch, only some runs are
+    Python objects at a time, and a very long text goes through in portions. Texts of any length are encoded
+    whole; repeated rows and extra columns are kept as they are; an `out` column that is there already is
+    replaced; an empty table gives no rows. The rank file is installed with Python on every machine, like a library.
     """
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        v = vocabulary(path, pattern)
-        rows = [np.array(v.encode(t) if t else (), dtype=np.int32) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+        return _id_lists(vocabulary(path, pattern), texts)[0]
 
     return df.withColumn(out, ids_of(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with `out`, the bytes that the ids stand for (null ids: empty). Binary, as ids may cut a character."""
+    """df with `out`, the bytes that the ids stand for (null and empty ids: empty). Binary, as ids may cut a character.
+
+    Repeated rows, extra columns and arrays of any length are kept as they are; an `out` column that is there
+    already is replaced; an empty table gives no rows.
+    """
 
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
-        v = vocabulary(path, pattern)
-        return pa.array([v.decode(x.as_py() or []) for x in column], pa.binary())
+        counts = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
+        return _decoded(vocabulary(path, pattern), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
 
     return df.withColumn(out, bytes_of(F.col(ids)))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the ids of the whole text and the bytes that these ids stand for: encode and decode in one Arrow pass.
+
+    Two functions in a row would run the encoder twice, once for the ids and once below the decoder. The same
+    rows as encode and then decode give, for nulls, repeats, extra columns and empty tables too.
+    """
+
+    @F.arrow_udf("struct<i:array<int>,d:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        v = vocabulary(path, pattern)
+        lists, counts, made = _id_lists(v, texts)
+        return pa.StructArray.from_arrays([lists, _decoded(v, made, counts)], names=["i", "d"])
+
+    coded = both(F.col(text))
+    return df.withColumns({ids: coded["i"], out: coded["d"]})
