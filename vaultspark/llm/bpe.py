@@ -28,7 +28,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of the memos: runs in one of two generations, their length, pairs in order, pairs met while walking.
 MEMO_RUNS, MEMO_LENGTH, MEMO_PAIRS, MEMO_WALK = 160_000, 64, 400_000, 200_000
-RUNS_AT_ONCE = 100_000  # runs that are Python objects at one time
+RUNS_AT_ONCE = 50_000  # runs that are Python objects at one time
+AT_ONCE = 1 << 17  # ids decoded together
 NEVER = 1 << 60
 
 
@@ -307,13 +308,18 @@ class Vocabulary:
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of bytes of each row of `counts` ids, the bytes one after another)."""
-        lengths, out = self.lengths[ids], []
-        for k in range(0, len(ids), 1 << 17):  # bounds the index arrays
-            some = ids[k : k + (1 << 17)]
-            out.append(self.data[spread(self.at[some], lengths[k : k + (1 << 17)])])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum(counts)
-        return ends[stops] - ends[stops - counts], np.concatenate([np.empty(0, np.uint8), *out])
+        ends, done, out = np.zeros(len(counts), np.int64), 0, []
+        for k in range(0, len(ids), AT_ONCE):  # bounds the index arrays
+            some = ids[k : k + AT_ONCE]
+            sizes = self.lengths[some]
+            out.append(self.data[spread(self.at[some], sizes)])
+            a, b = np.searchsorted(stops, [k, k + len(some)], side="right")
+            ends[a:b] = done + np.cumsum(sizes)[stops[a:b] - k - 1]
+            done += int(sizes.sum())
+        a = np.searchsorted(stops, 0, side="right")  # rows before the first id
+        ends[a:] = np.maximum.accumulate(ends[a:])
+        return np.diff(ends, prepend=0), np.concatenate([np.empty(0, np.uint8), *out])
 
     def decode(self, ids: list[int]) -> bytes:
         return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[1].tobytes()
