@@ -81,3 +81,36 @@ def test_hypergeometric_variate_has_the_right_mean(spark):
     expr = mixing._variate("100L", "30L", "40L", "(id / 4000.0D)")
     mean = spark.range(4000).select(F.expr(expr).alias("k")).agg(F.avg("k"), F.min("k"), F.max("k")).first()
     assert abs(mean[0] - 12) < 0.02 and 0 <= mean[1] and mean[2] <= 30
+
+
+def test_query_splits_at_every_size(spark):
+    """The registered query draws hypergeometric variates on the smallest tables too, and meets the targets."""
+    from vaultspark.llm import catalog
+
+    got = catalog.op1_mixing(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source").collect()
+    assert sorted(r.doc_id for r in got) == sorted(d.doc_id for d in docs)
+    used = defaultdict(set)
+    source, sums, taken, largest = dict(docs), defaultdict(int), defaultdict(int), 0
+    for r in got:
+        used[source[r.doc_id]].update(r.shards)
+        sums[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+        largest = max(largest, r.size)
+    assert {x for s in used.values() for x in s} <= set(range(mixing.LEAST_SHARDS)) and max(map(len, used.values())) > 1
+    want = filled(dict(sums))
+    for r in got:
+        s = source[r.doc_id]
+        assert r.source_size == sums[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s]) and r.taken in (0, r.size, 2 * r.size)
+    assert all(abs(taken[s] - want[s]) <= largest for s in sums)
+
+
+def test_mix_nulls_long_texts_repeats_and_clashing_names(spark):
+    schema = "doc_id long, text string, source string, uid long, of string, copy int, shard int, row string, id int, place int, part int"
+    rest = (1, "o", 2, 3, "r", 4, 5, 6)
+    docs = [(i, "w " * (i % 7), "s" if i % 2 else None, *rest) for i in range(60)] + [(60, "long " * 50_000, "t", *rest), (61, None, "t", *rest), (1, "w", "s", *rest), (None, "no key", "s", *rest)]
+    df = spark.createDataFrame(docs, schema)
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert set(got.collect()) <= set(df.collect()) and got.count() > 0
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.annotate(df.limit(0)).count() == 0

@@ -22,6 +22,7 @@ from vaultspark.llm.common import WORD, cut
 BLOCK = 256  # documents in a block, about
 RUN = 1024  # blocks in a block of blocks
 SHARD_WORDS = 25_000_000  # words of a shard, about
+LEAST_SHARDS = 8  # however few words there are, so that the tree splits at every size
 SEED = 17
 
 
@@ -124,7 +125,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     draws = passes.withColumn("d", F.col("pass") * F.col("blocks") + at)
     counted = placed.groupBy("sid").agg(F.sum(F.col("full") + F.col("drawn")).alias("draws"))
     if shards is None:
-        shards = max(1, round((per_source.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
+        shards = max(LEAST_SHARDS, round((per_source.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
     quotas = split(counted, shards, seed)
     ends = quotas.withColumn("stop", F.sum("quota").over(Window.partitionBy("sid").orderBy("shard"))).filter("quota > 0")
     dealt = ends.select("sid", "shard", F.explode(F.sequence(F.col("stop") - F.col("quota"), F.col("stop") - 1)).alias("d"))
@@ -153,9 +154,15 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **how) -> DataFrame:
-    """Rows of docs as the mix takes them, a row for each copy, gathered by shard and shuffled within it; columns stay as they are."""
-    made = plan(docs, key, text, source, seed=seed, **how).filter(F.size("shards") > 0).select(F.col("uid").alias("_uid"), F.col("source").alias("_source"), F.posexplode("shards").alias("_copy", "_shard"))
-    joined = docs.withColumn("_key", _order(key, source, text)).join(made, (F.col("_key") == F.col("_uid")) & F.col(source).eqNullSafe(F.col("_source")))
-    shuffled = joined.withColumn("_place", F.xxhash64(F.lit(seed + 2), "_uid", "_copy")).withColumn("_part", F.pmod(F.col("_place"), F.lit(16)))
+    """Rows of docs as the mix takes them, a row for each copy, gathered by shard and shuffled within it; columns stay as they are.
+
+    Null texts are empty, null sources are a source of their own, rows without a key are told apart by their
+    text; texts of any length are whole. Rows that repeat a key in a source come together. An empty table gives
+    no rows. Rows travel as one struct, so columns of any name may be there.
+    """
+    made = plan(docs, key, text, source, seed=seed, **how).filter(F.size("shards") > 0).select("uid", F.col("source").alias("of"), F.posexplode("shards").alias("copy", "shard"))
+    rows = docs.select(F.struct("*").alias("row"), _order(key, source, text).alias("id"), F.col(source).alias("from"))
+    joined = rows.join(made, (F.col("id") == F.col("uid")) & F.col("from").eqNullSafe(F.col("of")))
+    shuffled = joined.withColumn("place", F.xxhash64(F.lit(seed + 2), "uid", "copy")).withColumn("part", F.pmod(F.col("place"), F.lit(16)))
     # A shard may be more than a task holds, so it is sixteen parts, each in hash order.
-    return shuffled.repartition(F.col("_shard"), F.col("_part")).sortWithinPartitions("_shard", "_part", "_place").select(*docs.columns)
+    return shuffled.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "place").select("row.*")
