@@ -135,3 +135,13 @@ def test_keep_one_finds_every_pair_at_the_similarity(spark):
         gone += [i + 1] if jaccard(a, b) >= 0.8 else []
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
     assert {i for i, _ in docs} - {x.doc_id for x in simhash.keep_one(df).collect()} == set(gone) and len(gone) > 40
+
+
+def test_ids_of_any_size(spark):
+    ids = [(1 << 62) + 5, (1 << 62) + 9, -(1 << 63), (1 << 63) - 1, 3]
+    classes = spark.createDataFrame([(i, f) for i, f in zip(ids, (0, 1, 1 << 40, (1 << 40) + 1, (1 << 30) - 1))], "id long, fp long")
+    found = [tuple(r) for r in simhash.links(classes, 1).collect()]
+    whole = groups(ids, found)  # the last one is 30 bits from all others
+    assert len({whole[i] for i in ids[:4]}) == 1 and whole[3] == 3
+    df = spark.createDataFrame([(i, "one and the same text here") for i in ids], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {-(1 << 63)}

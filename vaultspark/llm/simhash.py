@@ -165,7 +165,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
 
 def _keys(classes: DataFrame, radius: int) -> DataFrame:
-    """(key, id, fp) with one row for each key of each class; `id` has its lowest bit set where any partner of the key counts."""
+    """(k, id, fp, own) with one row for each key of each class; `own` tells the keys any partner of which counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,11 +182,9 @@ def _keys(classes: DataFrame, radius: int) -> DataFrame:
                     mine = keys[-1] == (np.int64(p) << 24 | own[i][r] << 12 | own[j][r])
                     alone.append(mine if radius <= 3 else np.ones(len(r), bool))
                 rows = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int32)), pa.array(ids[rows] << 1 | np.concatenate(alone)), pa.array(fps[rows])], names=["k", "id", "fp"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(ids[rows]), pa.array(fps[rows]), pa.array(np.concatenate(alone))], names=["k", "id", "fp", "own"])
 
-    return classes.select("id", "fp").mapInArrow(run, "k int, id bigint, fp bigint")
+    return classes.select("id", "fp").mapInArrow(run, "k int, id bigint, fp bigint, own boolean")
 
 
 def _forest(fps: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
@@ -212,24 +210,24 @@ def _near(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
     """Links within runs of equal k of sorted batches. Runs of two go through numpy together."""
     names = ["a", "b"]
 
-    def links(k: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def links(k: np.ndarray, ids: np.ndarray, fps: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(k)])
-        owners = np.add.reduceat(ids & 1, starts) if len(k) else starts
+        owners = np.add.reduceat(own.astype(np.int64), starts) if len(k) else starts
         two = starts[(sizes == 2) & (owners > 0)]
         two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= reach]
-        a, b = [ids[two] >> 1], [ids[two + 1] >> 1]
+        a, b = [ids[two]], [ids[two + 1]]
         for s, n in zip(starts[(sizes > 2) & (owners > 0)].tolist(), sizes[(sizes > 2) & (owners > 0)].tolist()):
             i, j = _forest(fps[s : s + n], reach)
-            a.append(ids[s : s + n][i] >> 1)
-            b.append(ids[s : s + n][j] >> 1)
+            a.append(ids[s : s + n][i])
+            b.append(ids[s : s + n][j])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
-    for k, ids, fps in _runs(batches):
-        yield links(k, ids, fps.view(np.uint64))  # bitwise_count of a signed number counts its absolute value
+    for k, ids, fps, own in _runs(batches):
+        yield links(k, ids, fps.view(np.uint64), own)  # bitwise_count of a signed number counts its absolute value
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
