@@ -1,3 +1,9 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
 from vaultspark.llm import html_text
 
 LONG = "A paragraph of some length that reads like the text of an article and goes on for a while."
@@ -31,3 +37,47 @@ def test_frame(spark):
     got = sorted((r.page_id, r.text) for r in html_text.main_text(df).collect())
     assert [g[0] for g in got] == [1, 1, 2] and got[2][1] == "" and got[0][1].startswith("Head & line")
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def plain_marks(ratios, sigma=1.5):
+    """Ratios smoothed and clustered by loops over the definition."""
+    wide = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-((i - j) ** 2) / (2 * sigma**2)), ratios[j]) for j in range(len(ratios)) if abs(i - j) <= 3]
+        wide.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    low, high = min(wide), max(wide)
+    while True:
+        below, above = [x for x in wide if x < (low + high) / 2], [x for x in wide if x >= (low + high) / 2]
+        if not below or (sum(below) / len(below), sum(above) / len(above)) == (low, high):
+            return [x >= (low + high) / 2 for x in wide]
+        low, high = sum(below) / len(below), sum(above) / len(above)
+
+
+def test_marks_equal_the_plain_definition():
+    r = random.Random(4)
+    for _ in range(300):
+        lines = [("x" * r.choice((3, 20, 200)), r.randint(1, 9)) for _ in range(r.randint(1, 30))]
+        assert html_text.marks(lines).tolist() == plain_marks([len(t) / n for t, n in lines])
+
+
+LINKS = "".join(f"<li><a href=/{i}><b>Go {i}</b></a></li>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div><div><ul>{LINKS}</ul></div><div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></div><div><ul>{LINKS}</ul></div></div>", [LONG, "Short.", LONG]),
+        (f"<body><article><p><a href=/><b>More</b></a></p></article><ul>{LINKS}</ul><div><p>{LONG}</p><p>{LONG}</p></div><ul>{LINKS}</ul>", [LONG, LONG]),
+        (f"<body><ul>{LINKS}</ul><article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article><ul>{LINKS}</ul>", [LONG * 9, LONG]),
+        (f"<body><ul>{LINKS}</ul><div><p>{LONG}</p><p>{LONG}</p></div><article><ul>{LINKS}</ul></article><ul>{LINKS}</ul>", [LONG, LONG]),
+    ],
+)
+def test_clustering_chooses_the_region(page, want, monkeypatch):
+    assert html_text.extract(page).split("\n") == want
+
+
+def test_pages_change_without_clustering(monkeypatch):
+    page = f"<body><div><div><ul>{LINKS}</ul></div><div><div><p>{LONG}</p><p>Short.</p></div></div></div>"
+    whole = html_text.extract(page)
+    monkeypatch.setattr(html_text, "marks", lambda lines: np.ones(len(lines), bool))
+    assert whole.split("\n") == [LONG, "Short."] and html_text.extract(page) != whole

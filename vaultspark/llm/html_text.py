@@ -1,11 +1,12 @@
 """Operator 8: main text of raw web pages.
 
 Events of the standard library's streaming parser are turned into lines, one for each block of text, with the
-tags met in it. Text-to-tag ratios are smoothed by a Gaussian over neighbouring lines and split into two
-clusters by a threshold; lines above it mark where the content is. The content region is then the article (or
-main) element that holds marked lines, or, where a page names none, the smallest container that holds most of
-the marked text. Inside the region every block is kept, short ones too; boxes that are no part of the article
-by their tag, role or class (menus, adverts, comments and so on) are left out wherever they stand.
+tags met in it. Text-to-tag ratios of all lines are smoothed by a Gaussian over neighbouring lines and split into
+two clusters by a threshold; lines above it mark where the content is. Marked text chooses the region: the
+articles that hold a marked line, if articles hold most of the marked text, and otherwise the smallest container
+that holds most of it, or the main element around that container. Inside the region every block is kept, short
+ones too; boxes that are no part of the article by their tag, role or class (menus, adverts, comments and so on)
+are vetoed wherever they stand.
 """
 
 from __future__ import annotations
@@ -177,6 +178,15 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+MOST = 0.8  # share of the marked text that a region holds
+
+
+def marks(lines: list[tuple]) -> np.ndarray:
+    """Which lines are in the cluster of high text-to-tag ratios?"""
+    wide = smoothed(np.array([len(x[0]) / x[1] for x in lines]))
+    return wide >= threshold(wide)
+
+
 def extract(html: str | None) -> str:
     """Main text, blocks joined by newlines; empty for null, empty or text-free pages."""
     if not html:
@@ -185,36 +195,35 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
+    if not parser.lines:
+        return ""
+    marked = [x for x, mark in zip(parser.lines, marks(parser.lines)) if mark and not x[3]]
     lines = [x for x in parser.lines if not x[3]]
     if not lines:
         return ""
-    ratios = np.array([len(x[0]) / x[1] for x in lines])
-    wide = smoothed(ratios)
-    marked = wide >= threshold(wide)
-    size: dict[int, int] = {}
-    for (text, _, _, _, article, _), mark in zip(lines, marked):
-        if article and mark:
-            size[article] = size.get(article, 0) + len(text)
-    if any(x[4] for x in lines):
-        for text, _, _, _, article, _ in lines if not size else ():
-            size[article] = size.get(article, 0) + len(text) * bool(article)
-        enough = max(size.values()) / 4
-        chosen = [x for x in lines if x[4] and size.get(x[4], 0) >= enough]
-    elif any(x[5] for x in lines):
-        chosen = [x for x in lines if x[5]]
-    else:
-        weight: dict[int, int] = {}
-        for (text, _, path, *_), mark in zip(lines, marked):
-            for box in path:
-                weight[box] = weight.get(box, 0) + len(text) * bool(mark)
-        # Numbers grow with depth, so the largest number that holds most of the marked text is the smallest container.
-        best = max(box for box, n in weight.items() if n >= 0.8 * weight[0])
-        chosen = [x for x in lines if best in x[2]]
-    return "\n".join(x[0] for x in chosen)
+    weight: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    for text, _, path, _, article, _ in marked or lines:
+        for box in path:
+            weight[box] = weight.get(box, 0) + len(text)
+        if article:
+            articles[article] = articles.get(article, 0) + len(text)
+    enough = MOST * weight[0]
+    if sum(articles.values()) >= enough:
+        return "\n".join(x[0] for x in lines if x[4] in articles)
+    # Numbers grow with depth, so the largest number that holds most of the marked text is the smallest container.
+    best = max(box for box, n in weight.items() if n >= enough)
+    in_main = any(x[5] and best in x[2] for x in lines) and all(x[5] for x in lines if best in x[2])
+    return "\n".join(x[0] for x in lines if (x[5] if in_main else best in x[2]))
 
 
 def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """pages with `out`, the main text of each whole page (empty for null html). No shuffle; other columns stay."""
+    """pages with `out`, the main text of each whole page. No shuffle.
+
+    Null and empty html, and pages without text, give an empty string; pages of any length are parsed whole, one
+    at a time; repeated rows and other columns stay, but for an `out` that is there already; an empty table gives
+    no rows.
+    """
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
