@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import cut
 
 
-def _large(edges: DataFrame) -> DataFrame:
+HUB, HUBS = 1000, 100_000  # links of a hub at least, and the share of all links that makes one
+
+
+def _with_least(rows: DataFrame, links: int) -> DataFrame:
+    """rows (a, b) with `low`, the smallest b of a. The rows of a hub never meet in one task.
+
+    A hub has more than HUB rows and more than one in HUBS of all, so there are 2 x HUBS of them at most and
+    their minima are broadcast; the rows of other nodes are joined by shuffle.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    many = F.col("n") > max(HUB, links // HUBS)
+    hubs, others = least.filter(many).select("a", "low"), least.filter(~many).select("a", "low")
+    rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti")
+    return rest.join(others, "a").unionByName(rows.join(F.broadcast(hubs), "a"))
+
+
+def _large(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low"))
-    joined = both.join(least, "a").filter("b > a")
+    joined = _with_least(both, links).filter("b > a")
     return joined.select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, links: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    moved = _with_least(down, links).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 
@@ -31,15 +46,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a, b: long); component is the smallest id reachable.
 
     Self-links, repeated and reversed links are fine; rows with a null end are ignored; no links give no rows.
-    Every round is written to the shared folder. Hubs are sums in map-side aggregates; the joins that follow
-    them are plain equi-joins, whose hot keys adaptive execution splits.
+    Every step is written to the shared folder. Minima are made by map-side aggregates, and hubs are joined by
+    broadcast, see _with_least.
     """
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
     for _ in range(rounds):
         if before[0] == 0:
             break
-        now = cut(_small(_large(now)))
+        now = cut(_small(cut(_large(now, before[0])), before[0]))
         after = _state(now)
         if after == before:
             break
