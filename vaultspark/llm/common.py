@@ -15,17 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where the session names none (tests)."""
+    """The folder that all executors share. A temporary one is set only in local mode (tests); elsewhere it must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="vaultspark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a written table deleted when the session's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The write is a job of its own, run while the plan that uses it is still being built.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
