@@ -42,7 +42,7 @@ def test_equals_brute_force_with_hot_keys(spark, monkeypatch, t, n, hot):
     docs += [(9000, None), (None, base[0]), (9001, ""), (9002, base[1] + "\n" + base[1] + "\nshort\nshort"), (9003, "\n".join([base[2]] * 2))]
     df = spark.createDataFrame([(d, x, "c", 7) for d, x in docs], "doc_id long, text string, doc string, n int")
     got = {x.doc: list(x.dropped) for x in line_dedup.duplicate_lines(df, threshold=t).collect()}
-    lines = sorted((d, i, l) for d, x in docs if x is not None and d is not None for i, l in enumerate(x.split("\n")) if len(l) >= line_dedup.MIN_CHARS)
+    lines = sorted((d, i, l) for d, x in docs if x is not None and d is not None for i, l in enumerate(x.split("\n")) if l)
     parent = list(range(len(lines)))
 
     def find(x):
@@ -52,7 +52,9 @@ def test_equals_brute_force_with_hot_keys(spark, monkeypatch, t, n, hot):
 
     for i in range(len(lines)):
         for j in range(i):
-            if find(i) != find(j) and abs(len(lines[i][2]) - len(lines[j][2])) <= t and lev(lines[i][2], lines[j][2]) <= t:
+            x, y = lines[i][2], lines[j][2]
+            near = min(len(x), len(y)) >= line_dedup.MIN_CHARS and abs(len(x) - len(y)) <= t and lev(x, y) <= t
+            if find(i) != find(j) and (x == y or near):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     want = {}
@@ -80,3 +82,11 @@ def test_stage_drops_equal_short_lines(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
     assert got == {1: ("Les.\n\nshort", 11), 2: ("\nLet.\nx", 7), 3: ("", 0), 4: (None, None), 5: ("", 0)}
+
+
+def test_rows_that_repeat_a_key_are_documents_of_their_own(spark):
+    rows = [(1, "a unique line that nothing repeats", "m"), (1, "this line is repeated elsewhere", "m"), (2, "this line is repeated elsewhere", "m"), (2, "this line is repeated elsewhere", "m"), (3, "x " * 200_000, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped string")
+    got = sorted((r.doc_id, r.text[:40]) for r in line_dedup.dedup(df).collect())
+    assert got == [(1, rows[0][1]), (1, rows[1][1]), (2, ""), (2, ""), (3, rows[4][1][:40])]
+    assert line_dedup.dedup(df).columns == df.columns

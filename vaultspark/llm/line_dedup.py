@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import cut
 from vaultspark.llm.components import components
 
-MIN_CHARS = 20  # shorter lines are no evidence of copying and are never compared by edits
+MIN_CHARS = 20  # shorter lines are compared for equality only: one edit makes another word of a short line
 HOT = 24  # different lines under a key that are still paired out
 SMALL = 200_000  # rows of two longs that are broadcast at most: 3.2 MB; more are joined by shuffle
 FAN = 16
@@ -33,9 +33,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, no, line) of every line of rows with a key; null texts have none."""
+    """(doc, row, no, line) of every line of rows with a key; null texts have none. `row` tells apart rows that repeat a key."""
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    return rows.select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
 
 
 def marks() -> list[Column]:
@@ -129,19 +129,17 @@ def within(a: str, b: str, threshold: int) -> Column:
     return F.expr(let("ca", chars(a), let("cb", chars(b), run)) + f" <= {t}")
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """(doc, dropped array<int>): numbers (from 0) of the lines of each document that repeat an earlier line.
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, row, dropped array<int>): numbers (from 0) of the lines of each document that repeat an earlier line.
 
-    Lines of at least `min_chars` code points are linked if they are within `threshold` edits, shorter ones of at
-    least `exact_chars` (`min_chars`, if it is not given) if they are equal; of each connected
-    group the first line, by key and then number, stays. Only documents that lose lines have a row. Rows with a
-    null key or text have no lines; rows that repeat a key count as one document; an empty table gives no rows;
-    extra columns are ignored. Lines of any length are compared whole.
+    Lines of at least `min_chars` code points are linked if they are within `threshold` edits, shorter ones if they
+    are equal; empty lines never. Of each connected group the first line, by key and then number, stays. Only
+    documents that lose lines have a row. Rows with a null key or text have no lines; rows that repeat a key are
+    documents of their own, told apart by `row`, a hash of the text, and with the same text they are one; an empty
+    table gives no rows; extra columns are ignored. Lines of any length are compared whole.
     """
-    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
-    lines = lines_of(docs, key, text).filter(F.char_length("line") >= least).select("doc", "no", *marks())
-    lines = cut(lines)
-    distinct = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first")))
+    lines = cut(lines_of(docs, key, text).filter("line <> ''").select("doc", "row", "no", *marks()))
+    distinct = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no", "row")).alias("first")))
     maybe, texts = candidates(docs, key, text, threshold, min_chars)
     sided = maybe.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     groups = components(sided.filter(within("x", "y", threshold)).select("a", "b"))
@@ -149,36 +147,39 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # Lines with near neighbours are grouped by component, all others by their own 128 bits.
     firsts = classed.groupBy("class", "half").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     again = classed.join(firsts, (classed["class"] == firsts["class"]) & classed["half"].eqNullSafe(firsts["half"])).select("h", "g", "keep")
-    gone = lines.join(again, ["h", "g"]).filter(F.struct("doc", "no") != F.col("keep"))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
+    gone = lines.join(again, ["h", "g"]).filter(F.struct("doc", "no", "row") != F.col("keep"))
+    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(key, n_lines, n_dropped, dropped): one row for every row of docs. Null texts have no lines."""
+def _with_dropped(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """(r struct of docs' columns, dropped array<int> or null): a row for every row of docs."""
     found = duplicate_lines(docs, key, text, **how)
-    counted = docs.select(F.col(key), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    counted = counted.withColumn("n_lines", F.greatest(F.lit(0), F.col("n_lines")))
-    joined = counted.join(found, F.col(key) == F.col("doc"), "left")
-    return joined.select(key, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
+    rows = docs.select(F.struct("*").alias("r"), F.col(key).alias("k"), F.xxhash64(text).alias("t"))
+    return rows.join(found, (F.col("k") == F.col("doc")) & (F.col("t") == F.col("row")), "left").select("r", "dropped")
+
+
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(key, n_lines, n_dropped, dropped): one row for every row of docs. Null texts have no lines; see duplicate_lines."""
+    joined = _with_dropped(docs.select(key, text), key, text, **how)
+    n_lines = F.greatest(F.lit(0), F.coalesce(F.size(F.split(F.col("r")[text], "\n")), F.lit(0))).cast("long")
+    return joined.select(F.col("r")[key].alias(key), n_lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with the repeating lines taken out of `text`; rows, and all other columns, stay."""
-    found = duplicate_lines(docs, key, text, **how)
-    found = found.select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(found, docs[key] == found["_doc"], "left")
-    kept = F.expr(f"array_join(filter(transform(split(`{text}`, '\\n'), (x, i) -> if(array_contains(_dropped, i), null, x)), x -> x is not null), '\\n')")
-    return joined.select(*[F.when(F.col("_dropped").isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns])
+    """docs with the repeating lines taken out of `text`; rows, and all other columns, whatever their names, stay. See duplicate_lines."""
+    joined = _with_dropped(docs, key, text, **how)
+    kept = F.expr(f"array_join(filter(transform(split(r.`{text}`, '\\n'), (x, i) -> if(array_contains(dropped, i), null, x)), x -> x is not null), '\\n')")
+    return joined.select(*[F.when(F.col("dropped").isNull(), F.col("r")[c]).otherwise(kept).alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
     """DuckDB SQL for report() of documents at threshold one: halves meet, single edits are spelled out, links are closed."""
     half = lambda n, i: f"left(line, cast({n} as integer) // 2)" if i == 0 else f"right(line, {n} - {n} // 2)"
-    own = " UNION ALL ".join(f"SELECT line, n, n AS m, {i} AS i, {half('n', i)} AS part FROM d" for i in (0, 1))
-    probe = " UNION ALL ".join(f"SELECT line, n, n - 1 AS m, {i} AS i, {half('(n - 1)', i)} AS part FROM d" for i in (0, 1))
+    own = " UNION ALL ".join(f"SELECT line, n, n AS m, {i} AS i, {half('n', i)} AS part FROM d WHERE n >= {MIN_CHARS}" for i in (0, 1))
+    probe = " UNION ALL ".join(f"SELECT line, n, n - 1 AS m, {i} AS i, {half('(n - 1)', i)} AS part FROM d WHERE n >= {MIN_CHARS}" for i in (0, 1))
     return f"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-e AS (SELECT doc_id, no, line FROM l WHERE length(line) >= {MIN_CHARS}),
+e AS (SELECT doc_id, no, line FROM l WHERE line <> ''),
 d AS (SELECT line, length(line) AS n, min({{'doc': doc_id, 'no': no}}) AS first FROM e GROUP BY line),
 own AS ({own}), probe AS ({probe}),
 met AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n FROM own a JOIN (SELECT * FROM own UNION ALL SELECT * FROM probe) b ON a.m = b.m AND a.i = b.i AND a.part = b.part AND a.line <> b.line),
