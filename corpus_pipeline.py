@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.llm import bpe, line_dedup, mixing, simhash, toxicity
-from vaultspark.llm.common import shared_root, table
+from vaultspark.llm.common import shared_root, table, until_exit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go from the texts, equal ones of any length but empty; every document stays, its n_chars following its text."""
-    kept = line_dedup.dedup(docs, exact_chars=1)
+    kept = line_dedup.dedup(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         path = f"{shared_root(spark)}/pipeline/{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        until_exit(spark, path)
         docs = spark.read.parquet(path)
     return docs
