@@ -19,8 +19,12 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+from vaultspark.llm.common import give_back
 
 #: Unicode White_Space, which is what \s means to the tokenizer's own regular expressions.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -30,6 +34,7 @@ CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 MEMO_RUNS, MEMO_LENGTH, MEMO_PAIRS, MEMO_WALK = 160_000, 64, 400_000, 200_000
 RUNS_AT_ONCE = 50_000  # runs that are Python objects at one time
 AT_ONCE = 1 << 17  # ids decoded together
+SLICE_BYTES = 4_000_000  # bytes of text whose results are one batch
 NEVER = 1 << 60
 
 
@@ -383,18 +388,31 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.withColumn(out, bytes_of(F.col(ids)))
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the ids of the whole text and the bytes that these ids stand for: encode and decode in one Arrow pass.
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """(*keep, ids, out): the ids of the whole text and the bytes that these ids stand for, in one Arrow pass.
 
-    Two functions in a row would run the encoder twice, once for the ids and once below the decoder. The same
-    rows as encode and then decode give, for nulls, repeats, extra columns and empty tables too.
+    Two functions in a row would run the encoder twice, once for the ids and once below the decoder. Batches are
+    worked in slices of SLICE_BYTES of text, so the memory of a worker hangs on the memos and one slice (or one
+    text, if that is longer). Nulls, repeated rows and empty tables are as for encode and decode; columns that are
+    not in `keep` go.
     """
 
-    @F.arrow_udf("struct<i:array<int>,d:binary>")
-    def both(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        lists, counts, made = _id_lists(v, texts)
-        return pa.StructArray.from_arrays([lists, _decoded(v, made, counts)], names=["i", "d"])
-
-    coded = both(F.col(text))
-    return df.withColumns({ids: coded["i"], out: coded["d"]})
+        for batch in batches:
+            for piece in _slices(batch, SLICE_BYTES):
+                lists, counts, made = _id_lists(v, piece.column(0))
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], lists, _decoded(v, made, counts)], names=[*keep, ids, out])
+            give_back()
+
+    schema = StructType([*[df.schema[c] for c in keep], StructField(ids, ArrayType(IntegerType())), StructField(out, BinaryType())])
+    return df.select(F.col(text), *keep).mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose first column has about `most` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lot = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]]).tolist() if len(lot) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)

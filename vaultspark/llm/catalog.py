@@ -27,7 +27,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

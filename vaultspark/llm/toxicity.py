@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultspark.llm.common import give_back
+
 SAMPLE = 900  # labelled texts of each class that are learned from, at most
 EPOCHS, BATCH, RATE = 6, 48, 0.04
 WINDOW, STRIDE = 48, 36  # words; neighbours share a quarter
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 10, 8, 6
 GRAMS = (3, 4, 5)
 TOKEN = re.compile(r"[^\W_]+")
-CHUNK_WORDS = 100_000  # words scored together: bounds memory, not the result
+CHUNK_WORDS = 40_000  # words scored together: bounds memory, not the result
 
 
 def _hash_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,12 +301,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(column: pa.Array) -> pa.Array:
         model = Model.__new__(Model)
         model.p = weights.value
-        texts, out, start, size = column.to_pylist(), [], 0, 0
-        for k, t in enumerate(texts):
-            size += len(t or "") // 6
-            if size > CHUNK_WORDS or k == len(texts) - 1:
-                out.append(_sigmoid(model.scores(texts[start : k + 1])))
-                start, size = k + 1, 0
+        texts, out, size = [], [], 0
+        for k, t in enumerate(column):
+            texts.append(t.as_py())
+            size += len(texts[-1] or "") // 6
+            if size > CHUNK_WORDS or k == len(column) - 1:
+                out.append(_sigmoid(model.scores(texts)))
+                texts, size = [], 0
+        give_back()
         return pa.array(np.concatenate([np.empty(0), *out]).astype(np.float64))
 
     return docs.withColumn(out, run(F.col(text)))
