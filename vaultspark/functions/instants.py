@@ -22,12 +22,13 @@ def holds_at(start: Column, stop: Column, at: Column) -> Column:
 
 
 def interval_errors(start_text: Column, stop_text: Column) -> Column:
-    """Array of what is wrong with an interval: unreadable bounds, or an end not after its start."""
+    """Array of what is wrong with an interval: unreadable bounds, an end without a start, or one not after it."""
     start, stop = instant(start_text), instant(stop_text)
     return F.array_compact(
         F.array(
             F.when(start_text.isNotNull() & start.isNull(), F.lit("valid_from is not an instant")),
             F.when(stop_text.isNotNull() & stop.isNull(), F.lit("valid_until is not an instant")),
+            F.when(stop_text.isNotNull() & start_text.isNull(), F.lit("valid_until without valid_from")),
             F.when(start.isNotNull() & stop.isNotNull() & (stop <= start), F.lit("valid_until is not after valid_from")),
         )
     )

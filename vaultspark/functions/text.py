@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +15,44 @@ LONGEST_TOKEN = 64
 WORD_ENDINGS = ("e", "en", "es", "n", "s")  # fixed values, in the order they are tried
 
 
+#: Letters, digits and marks that lower case folds exactly but for ß: most of what Latin and Cyrillic texts hold, and CJK.
+PLAIN = r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0481\u048a-\u052f\u2010\u2012-\u2016\u2018-\u2023\u2030\u2039\u203a\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+
+
+def _folded(char: str) -> str:
+    return unicodedata.normalize("NFKC", char).casefold()
+
+
+@cache
+def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(characters, what each folds to, characters that fold to several with these), by rule from the Unicode tables.
+
+    Several: only letters of European scripts, punctuation and ligatures, as each costs a pass over the text.
+    """
+    singles, several = {}, []
+    for code in range(0xA0, 0xFFFE):
+        char = chr(code)
+        made = _folded(char)
+        if 0xD800 <= code < 0xE000 or made == char.lower() and char != "Σ" or 0x13A0 <= code < 0x13FE or 0xAB70 <= code < 0xABC0:
+            continue  # surrogates, and Cherokee, whose folding is upward
+        if len(made) == 1:
+            singles[char] = made
+        elif made and (code < 0x0590 or 0x1E00 <= code < 0x2190 or 0xFB00 <= code < 0xFB18):
+            several.append((char, made))
+    return "".join(singles), "".join(singles.values()), tuple(several)
+
+
 def fold(c: Column) -> Column:
-    """Case folding on the JVM: lower case with ß as ss. For other full foldings and compatibility forms see fold_exact."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """NFKC and full case folding on the JVM, character by character.
+
+    Texts of plain characters need lower case and ß as ss only; others go through a table. What a table cannot do
+    is to compose a letter and a combining mark that follow each other: for that, see fold_exact.
+    """
+    singles, made, several = _folding()
+    other = F.translate(c, singles, made)
+    for char, many in several:
+        other = F.replace(other, F.lit(char), F.lit(many))
+    return F.replace(F.lower(F.when(c.rlike(f"[^{PLAIN}]"), other).otherwise(c)), F.lit("ß"), F.lit("ss"))
 
 
 @F.pandas_udf(StringType())
@@ -25,10 +61,13 @@ def fold_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+#: A whole run of at most LONGEST_TOKEN characters; longer runs are no token.
+WHOLE_TOKEN = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]{{1,{LONGEST_TOKEN}}}+(?![\p{{L}}\p{{N}}])"
+
+
 def tokens(c: Column, exact: bool = False) -> Column:
     """Array of folded runs of letters and digits of at most 64 characters, repeats included."""
-    found = F.regexp_extract_all(fold_exact(c) if exact else fold(c), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.filter(found, lambda w: F.char_length(w) <= LONGEST_TOKEN)
+    return F.regexp_extract_all(fold_exact(c) if exact else fold(c), F.lit(WHOLE_TOKEN), F.lit(0))
 
 
 def eligible(w: Column, least: int) -> Column:
@@ -118,11 +157,31 @@ def title_of(c: Column) -> Column:
     return F.when(c.rlike(r"\S"), title).when(c.isNotNull(), F.lit("Untitled"))
 
 
+@cache
+def _unaccented() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(characters, the ASCII character each decomposes to, characters that decompose to several), by rule."""
+    singles, several = {}, []
+    for code in range(0xA0, 0x10000):
+        made = "" if 0xD800 <= code < 0xE000 else unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(made) == 1:
+            singles[chr(code)] = made
+        elif made and (code < 0x2190 or 0xFB00 <= code < 0xFB07):
+            several.append((chr(code), made))
+    return "".join(singles), "".join(singles.values()), tuple(several)
+
+
 def slug(c: Column) -> Column:
-    """Lower-case ASCII words joined by hyphens, 64 characters at most; `entry` where none is left."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    made = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7f]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(made == "", F.lit("entry")).otherwise(F.left(made, F.lit(64)))
+    """Lower-case ASCII words joined by hyphens, 64 characters at most; `entry` where none is left.
+
+    Letters with marks give their base letter (NFKD), other letters beyond ASCII go.
+    """
+    singles, bases, several = _unaccented()
+    other = F.translate(c, singles, bases)
+    for char, many in several:
+        other = F.replace(other, F.lit(char), F.lit(many))
+    plain = F.lower(F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7f]"), other).otherwise(c), r"[^\x00-\x7f]", ""))
+    made = F.left(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(64))
+    return F.when(made == "", F.lit("entry")).otherwise(made)
 
 
 TRACKING = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$"  # fixed values: query names that do not identify a page
@@ -143,6 +202,26 @@ def canonical_url(c: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != "") & ~host.contains("@"), made)
 
 
+LONGEST_URL = 4096
+
+
+def fetchable_url(c: Column) -> Column:
+    """An address as a fetcher may open it, or null: http or https with a host of ASCII letters, standard port, no credentials.
+
+    Scheme and host in lower case, the fragment off, path at least /, query as it is; an explicit standard port
+    stays. Hosts beyond ASCII are null: their encoding (IDNA) is for the fetcher.
+    """
+    t = F.trim(c)
+    scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z]+)://", 1))
+    authority = F.regexp_extract(t, r"^[A-Za-z]+://([^/?#]*)", 1)
+    host, port = F.lower(F.regexp_extract(authority, r"^(\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9._-]+)(:\d*)?$", 1)), F.regexp_extract(authority, r":(\d*)$", 1)
+    own = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
+    rest = F.regexp_extract(t, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(t, r"^[^?#]*(\?[^#]+)", 1)
+    good = scheme.isin("http", "https") & (host != "") & (port.isin("") | (port == own)) & (F.char_length(t) <= LONGEST_URL) & ~t.rlike(r"[\r\n]")
+    return F.when(good, F.concat(scheme, F.lit("://"), host, F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)), F.when(rest == "", F.lit("/")).otherwise(rest), query))
+
+
 def same_site(a: Column, b: Column) -> Column:
     """Equal hosts but for a leading www."""
     return F.regexp_replace(F.lower(a), r"^www\.", "") == F.regexp_replace(F.lower(b), r"^www\.", "")

@@ -17,10 +17,18 @@ DIGITS = 9  # scores are rounded, so that equal ones compare equal on every engi
 
 
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of every document; lengths count repeats."""
-    bags = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("bag"))
-    terms = bags.select("id", F.explode("bag").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return terms.select("term", "id", "tf"), bags.select("id", F.size("bag").cast("long").alias("length"))
+    """(term, id, tf) and (id, length) of every document; lengths count repeats.
+
+    A document's tokens are counted in its own row, as runs of its sorted tokens, so nothing is shuffled. Rows that
+    repeat a key are documents of their own.
+    """
+    body = T.fold(F.coalesce(F.col(text), F.lit("")))
+    sorted_bag = F.array_sort(F.regexp_extract_all(body, F.lit(T.WHOLE_TOKEN), F.lit(0)))
+    # The places where a run of equal tokens ends; the one before tells its length.
+    ends = F.transform(F.array(sorted_bag), lambda bag: F.transform(F.filter(F.transform(bag, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("end"), F.get(bag, i + 1).eqNullSafe(w).alias("more"))), lambda x: ~x["more"]), lambda x: F.struct(x["term"].alias("term"), x["end"].alias("end"))))
+    runs = docs.select(F.col(key).alias("id"), F.explode(ends).alias("runs")).select("id", F.explode(F.transform("runs", lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.when(i == 0, 0).otherwise(F.get("runs", i - 1)["end"])).cast("long").alias("tf")))).alias("r"))
+    lengths = docs.select(F.col(key).alias("id"), F.regexp_count(body, F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
+    return runs.select("r.term", "id", "r.tf"), lengths
 
 
 def query_terms(spark, queries: dict[str, str]) -> DataFrame:
@@ -41,9 +49,14 @@ def score_postings(terms: DataFrame, lengths: DataFrame, queries: dict[str, str]
     """(query_id, id, score) of every document that holds a term of the query."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b lies between 0 and 1")
-    asked = F.broadcast(query_terms(terms.sparkSession, queries))
-    met = terms.join(asked, "term")
-    found = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))  # one row for each term asked
+    rows = [tuple(r) for r in query_terms(terms.sparkSession, queries).collect()]  # the queries' own terms
+    if not rows:
+        return terms.sparkSession.createDataFrame([], f"query_id string, id {terms.schema['id'].dataType.simpleString()}, score double")
+    asked = F.broadcast(terms.sparkSession.createDataFrame(rows, "query_id string, term string"))
+    # A list of literals is pushed into the postings' scan, where a join is not.
+    mine = terms.filter(F.col("term").isin(*sorted({t for _, t in rows})))
+    met = mine.join(asked, "term")
+    found = mine.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term asked
     corpus = lengths.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     known = met.join(F.broadcast(found), "term").join(lengths, "id").crossJoin(F.broadcast(corpus))  # corpus is one row
     weighed = known.withColumn("w", idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("total") / F.col("n"), k1, b))
@@ -51,34 +64,46 @@ def score_postings(terms: DataFrame, lengths: DataFrame, queries: dict[str, str]
     return weighed.groupBy("query_id", "id").agg(F.round(in_order, DIGITS).alias("score"))
 
 
-def _count(bag: str, term: str) -> Column:
-    return F.size(F.filter(bag, lambda w: w == term))
+def _term(term: str) -> Column:
+    """Pattern of a whole token: a term is letters and digits only."""
+    return F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])")
+
+
+def counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """(id, length, tf array): tokens of each document and how often it holds each term; the text is folded once a row.
+
+    The array that is exploded keeps filters and projections above from being computed below, each with a folding of its own.
+    """
+
+    def counted(hay: Column) -> Column:
+        tf = [F.when(hay.contains(t), F.regexp_count(hay, _term(t))).otherwise(0).cast("long") for t in terms]
+        return F.struct(F.regexp_count(hay, F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"), (F.array(*tf) if tf else F.array().cast("array<bigint>")).alias("tf"))
+
+    once = F.transform(F.array(T.fold(F.coalesce(F.col(text), F.lit("")))), counted)
+    return docs.select(F.col(key).alias("id"), F.explode(once).alias("c")).select("id", "c.length", "c.tf")
 
 
 def score(docs: DataFrame, queries: dict[str, str], key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 by one scan: term counts of the queries' terms only, as expressions over each document's tokens.
+    """BM25 by scan: counts of the queries' terms only, as expressions over each document's text.
 
-    Nothing is exploded and no posting is shuffled; what leaves the scan is a row for each document with a hit.
+    Nothing is exploded and no posting is shuffled; what leaves a scan is one row of statistics, or a row for each
+    document with a hit.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b lies between 0 and 1")
     spark = docs.sparkSession
     asked = [tuple(r) for r in query_terms(spark, queries).distinct().orderBy("query_id", "term").collect()]  # the queries' own terms
     terms = sorted({t for _, t in asked})
-    bags = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("bag"))
-    counts = bags.select("id", F.size("bag").alias("length"), *[_count("bag", t).alias(f"tf{k}") for k, t in enumerate(terms)])
-    stats = counts.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    hits = counts.filter(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{k}") for k in range(len(terms))]) > 0)
-    joined = hits.crossJoin(F.broadcast(stats))  # one row of statistics
+    if not terms:
+        return spark.createDataFrame([], f"query_id string, id {docs.schema[key].dataType.simpleString()}, score double")
+    rows = counts(docs, terms, key, text)
+    stats = rows.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))]).alias("df"))
+    joined = rows.filter(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
     scores = []
     for q in queries:
         total = F.lit(0.0)
         for t in sorted(t for i, t in asked if i == q):
-            k = terms.index(t)
-            tf = F.col(f"tf{k}")
-            total = total + F.when(tf > 0, idf(F.col("n"), F.col(f"df{k}")) * weight(tf, F.col("length"), F.col("total") / F.col("n"), k1, b)).otherwise(0.0)
+            tf, df = F.col("tf")[terms.index(t)], F.col("df")[terms.index(t)]
+            total = total + F.when(tf > 0, idf(F.col("n"), df) * weight(tf, F.col("length"), F.col("total") / F.col("n"), k1, b)).otherwise(0.0)
         scores.append(F.struct(F.lit(q).alias("query_id"), F.round(total, DIGITS).alias("score")))
-    if not scores:
-        return spark.createDataFrame([], f"query_id string, id {docs.schema[key].dataType.simpleString()}, score double")
-    rows = joined.select("id", F.explode(F.array(*scores)).alias("s"))
-    return rows.select("s.query_id", "id", "s.score").filter("score > 0")
+    return joined.select("id", F.explode(F.array(*scores)).alias("s")).select("s.query_id", "id", "s.score").filter("score > 0")

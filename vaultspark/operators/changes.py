@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
@@ -30,12 +30,24 @@ def expect_revision(entries: DataFrame, key: str, revision: str) -> None:
 
 
 def insert(entries: DataFrame, new: DataFrame, unique: list[Column], exempt: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot, refused rows): new rows whose key is taken are refused; null keys and exempt rows never are."""
+    """(next snapshot, refused rows): new rows whose key is taken are refused; null keys and exempt rows never are.
+
+    A key is taken by an entry, or by a new row before it: of new rows with one key the first by `id` (else by all
+    columns) is inserted, and the others are refused.
+    """
     names = [f"_k{i}" for i in range(len(unique))]
     keyed = new.withColumns({n: F.when(~exempt, u) if exempt is not None else u for n, u in zip(names, unique)})
-    taken = entries.select(*[u.alias(n) for n, u in zip(names, unique)]).distinct()
-    fresh, refused = keyed.join(taken, names, "left_anti"), keyed.join(taken, names, "left_semi")
-    return entries.unionByName(fresh.drop(*names), allowMissingColumns=True), refused.drop(*names)
+    taken = entries.select(*[u.alias(n) for n, u in zip(names, unique)]).distinct().withColumn("_taken", F.lit(True))
+    whole = F.lit(True)
+    for n in names:
+        whole &= F.col(n).isNotNull()
+    by = [F.col("id")] if "id" in new.columns else [F.to_json(F.struct(*new.columns))]
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*by))
+    # Rows without a whole key compete for nothing and stay out of the window, whose null group could be large.
+    rivals = keyed.filter(whole).withColumn("_place", place).join(taken, names, "left")
+    again = F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("_place") > 1)
+    fresh = rivals.filter(~again).select(*new.columns).unionByName(keyed.filter(~whole).select(*new.columns))
+    return entries.unionByName(fresh, allowMissingColumns=True), rivals.filter(again).select(*new.columns)
 
 
 def update(entries: DataFrame, key: str, values: dict[str, Column], now: str) -> DataFrame:
@@ -128,8 +140,6 @@ def migrate(entries: DataFrame, steps: dict[int, Callable[[DataFrame], DataFrame
 
 def import_state(sources: DataFrame, existing: DataFrame) -> DataFrame:
     """sources (original_id, digest) with `state`: new, imported, changed, or duplicate_source."""
-    from pyspark.sql import Window
-
     times = F.count("*").over(Window.partitionBy("original_id"))
     old = existing.groupBy("original_id").agg(F.min("digest").alias("_digest"))
     joined = sources.withColumn("_n", times).join(old, "original_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def attribute(name: str, value) -> Column:
 
 def domain(value: str) -> Column:
     own = F.coalesce(F.when(F.col("domain") != "", F.col("domain")), F.col("source_domain"))
-    return F.coalesce(T.fold(own) == value.casefold(), F.lit(False))
+    return F.coalesce(T.fold(own) == T.fold(F.lit(value)), F.lit(False))
 
 
 def experienced(wanted: bool) -> Column:
@@ -69,6 +71,22 @@ def related(target: str | None = None, predicate: str | None = None, as_of: str
     return F.coalesce(F.exists(column, test), F.lit(False))
 
 
+def moment(text: str) -> datetime:
+    """The instant of an ISO text with offset; an error for anything else."""
+    try:
+        found = datetime.fromisoformat(text)
+    except ValueError as e:
+        raise ValueError(f"{text!r} is not an instant") from e
+    if found.tzinfo is None:
+        raise ValueError(f"{text!r} has no offset")
+    return found.astimezone(UTC)
+
+
+def as_of(text: str | None = None) -> tuple[str, bool]:
+    """(the instant asked for in UTC, whether it was asked for): now, where none is."""
+    return (moment(text) if text is not None else datetime.now(UTC)).isoformat(), text is not None
+
+
 def readable() -> Column:
     return F.col("schema_version").isin(*READABLE_SCHEMAS)
 
@@ -95,6 +113,9 @@ def all_of(*tests: Column) -> Column:
 
 
 def check_bounds(limit: int = 20, offset: int = 0, k1: float = 1.2, b: float = 0.75, after: str | None = None, before: str | None = None) -> None:
-    """Refuses arguments out of range."""
-    if not 1 <= limit <= 50 or offset < 0 or k1 < 0 or not 0 <= b <= 1 or after is not None and before is not None and not after < before:
+    """Refuses arguments out of range. Bounds of time are compared as instants, whatever their offsets."""
+    if not 1 <= limit <= 50 or offset < 0 or k1 < 0 or not 0 <= b <= 1:
         raise ValueError("an argument is out of range")
+    first, last = (None if t is None else moment(t) for t in (after, before))
+    if first is not None and last is not None and not first < last:
+        raise ValueError("the window ends before it begins")

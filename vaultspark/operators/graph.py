@@ -45,7 +45,7 @@ def duplicates(entries: DataFrame, keys: list[Column], names: list[str], key: st
     return rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("_id").alias("first")).filter("n > 1")
 
 
-def candidate_pairs(entries: DataFrame, key: str, name: str, least_shared: int = 2, common: int = 1000) -> DataFrame:
+def candidate_pairs(entries: DataFrame, key: str, name: str, least_shared: int = 2) -> DataFrame:
     """(a, b, same_name, shared) of entries with equal folded names or at least `least_shared` title words in common.
 
     Pairs meet on combinations of two of an entry's own words, so a word that everyone uses makes no pairs of
@@ -97,9 +97,14 @@ def redirect(entries: DataFrame, old: str, new: str, column: str = "relations")
 
 
 def merge(entries: DataFrame, keep: str, drop: str, lists: tuple[str, ...] = ("aliases", "tags"), column: str = "relations") -> DataFrame:
-    """The collection after `drop` went into `keep`: ordered distinct unions of lists, edges redirected, `drop` gone."""
+    """The collection after `drop` went into `keep`: ordered distinct unions of lists, edges redirected, `drop` gone.
+
+    Where either is absent, or both are the same, the collection stays as it is.
+    """
     gone = entries.filter(F.col("id") == drop).select(*[F.col(c).alias(f"_{c}") for c in lists])
-    rows = entries.filter(F.col("id") != drop).crossJoin(F.broadcast(gone.limit(1)))  # one row
+    if keep == drop or gone.isEmpty() or entries.filter(F.col("id") == keep).isEmpty():
+        return entries
+    rows = entries.filter(~F.col("id").eqNullSafe(drop)).crossJoin(F.broadcast(gone.limit(1)))  # one row
     for c in lists:
         both = F.array_distinct(F.concat(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"_{c}", F.array().cast("array<string>"))))
         rows = rows.withColumn(c, F.when(F.col("id") == keep, both).otherwise(F.col(c)))

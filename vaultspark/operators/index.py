@@ -1,12 +1,15 @@
-"""A persisted inverted index: postings and lengths in buckets of documents, with a manifest that is believed only if it fits.
+"""A persisted inverted index in segments: a base and the patches that followed it.
 
-Layout below the index folder: `snapshots/<name>/{postings,lengths}` as Parquet, postings sorted by term in each
-file so that a term's row groups are found by their bounds, and `manifest`, a JSON text that names the current
-snapshot. A refresh writes a new snapshot and then one new manifest, so an index is whole or absent.
+Layout below the index folder: `segments/<name>/{postings,lengths,gone}` as Parquet. Postings lie in buckets of
+terms, sorted by term in each file, so a query opens the buckets of its own terms and skips row groups by their
+bounds. `gone` names the documents whose rows in earlier segments no longer count. `manifests` holds one JSON line
+for each state of the index; the highest number that is whole counts, so a reader sees the state before or after a
+change and never one between. A patch writes the changed documents only; after `SEGMENTS` patches all is compacted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -15,8 +18,15 @@ from pyspark.sql import functions as F
 
 from vaultspark.operators import bm25
 
-FORMAT = 1
-BUCKETS = 16
+FORMAT = 2
+TOKENS = 20_000_000  # tokens in a bucket of terms, about
+FEWEST, MOST = 16, 4096  # buckets
+SEGMENTS = 8
+REBUILD = 4  # an index of which more than a REBUILD-th has changed is built anew: patching costs a join with all of it
+
+
+class Corrupt(ValueError):
+    pass
 
 
 def signature(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,84 +41,170 @@ def changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("id", kind.alias("change")).filter("change is not null")
 
 
-def write(spark: SparkSession, folder: str, postings: DataFrame, lengths: DataFrame, fingerprint: str) -> None:
+def files_state(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files below a path: the cheap sign that a table is as it was."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, seen = system.listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def _write_segment(spark: SparkSession, folder: str, postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> dict:
+    """Writes a segment; returns what the manifest says of it."""
     name = uuid.uuid4().hex
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-    at = f"{folder}/snapshots/{name}"
-    postings.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
-    lengths.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{at}/lengths")
-    manifest = json.dumps({"format": FORMAT, "snapshot": name, "fingerprint": fingerprint})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    at = f"{folder}/segments/{name}"
+    lengths.write.parquet(f"{at}/lengths")
+    gone.select("id").write.parquet(f"{at}/gone")
+    size = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.sum(F.xxhash64("id", "length", "sig") % (1 << 40)).alias("sum")).first()
+    buckets = min(MOST, max(FEWEST, -(-(size["total"] or 0) // TOKENS)))
+    postings.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
+    return {"name": name, "buckets": buckets, "documents": size["n"], "sum": size["sum"]}
 
 
-def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "") -> None:
-    postings, lengths = bm25.postings(docs, key, text)
-    write(docs.sparkSession, folder, postings, lengths.join(signature(docs, key, text), "id"), fingerprint)
+def _publish(spark: SparkSession, folder: str, segments: list[dict], fingerprint: str, state: str | None, number: int) -> None:
+    body = {"format": FORMAT, "number": number, "fingerprint": fingerprint, "state": state, "segments": segments}
+    line = json.dumps(body, sort_keys=True)
+    spark.createDataFrame([(json.dumps({"body": body, "check": hashlib.sha256(line.encode()).hexdigest()}),)], "value string").coalesce(1).write.mode("append").text(f"{folder}/manifests")
 
 
 def manifest(spark: SparkSession, folder: str) -> dict | None:
-    """The manifest, or None where there is none, it cannot be read, or it has another format."""
+    """The newest whole manifest of this format, or None."""
     try:
-        found = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/manifest").collect()))
-    except Exception:  # an index that cannot be read is no index
+        lines = [r["value"] for r in spark.read.text(f"{folder}/manifests").collect()]  # a line for each change
+    except Exception:  # a folder that cannot be read holds no index
         return None
-    return found if isinstance(found, dict) and found.get("format") == FORMAT else None
+    whole = []
+    for line in lines:
+        try:
+            found = json.loads(line)
+            if hashlib.sha256(json.dumps(found["body"], sort_keys=True).encode()).hexdigest() == found["check"] and found["body"]["format"] == FORMAT:
+                whole.append(found["body"])
+        except (ValueError, KeyError, TypeError):
+            continue
+    return max(whole, key=lambda b: b["number"], default=None)
+
+
+def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "", state: str | None = None) -> None:
+    spark = docs.sparkSession
+    postings, lengths = bm25.postings(docs, key, text)
+    before = manifest(spark, folder)
+    segment = _write_segment(spark, folder, postings, lengths.join(signature(docs, key, text), "id"), docs.select(F.col(key).alias("id")).limit(0))
+    _publish(spark, folder, [segment], fingerprint, state, (before or {"number": 0})["number"] + 1)
 
 
-def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
-    """(postings (term, id, tf), lengths (id, length, sig)), or None."""
+def open_index(spark: SparkSession, folder: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(postings (term, id, tf), lengths (id, length, sig)), or None. With `terms`, only the buckets of these are opened."""
     found = manifest(spark, folder)
     if found is None:
         return None
-    at = f"{folder}/snapshots/{found['snapshot']}"
-    return spark.read.parquet(f"{at}/postings").select("term", "id", "tf"), spark.read.parquet(f"{at}/lengths").select("id", "length", "sig")
-
-
-def status(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "") -> str:
-    """absent, stale_format, stale or fresh. A fingerprint of other settings makes an index stale."""
+    postings = lengths = None
+    for segment in found["segments"]:
+        at = f"{folder}/segments/{segment['name']}"
+        more, sizes, gone = (spark.read.parquet(f"{at}/{part}") for part in ("postings", "lengths", "gone"))
+        if terms is not None:
+            numbers = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(segment["buckets"]).alias("b"))
+            more = more.filter(F.col("bucket").isin(sorted({r["b"] for r in numbers.collect()})) & F.col("term").isin(terms))
+        more, sizes = more.select("term", "id", "tf"), sizes.select("id", "length", "sig")
+        postings = more if postings is None else postings.join(gone, "id", "left_anti").unionByName(more)
+        lengths = sizes if lengths is None else lengths.join(gone, "id", "left_anti").unionByName(sizes)
+    return postings, lengths
+
+
+def status(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "", state: str | None = None) -> str:
+    """absent, stale_format, stale or fresh. A fingerprint of other settings makes an index stale.
+
+    With `state` (such as files_state) equal to the one the index was brought up to, no text is read: the caller
+    vouches that equal states mean equal documents.
+    """
     spark = docs.sparkSession
     found = manifest(spark, folder)
     if found is None:
         return "absent"
     if found["fingerprint"] != fingerprint:
         return "stale_format"
+    if state is not None and found["state"] == state:
+        return "fresh"
     _, lengths = open_index(spark, folder)
     return "fresh" if changes(lengths.select("id", "sig"), signature(docs, key, text)).isEmpty() else "stale"
 
 
-def patch_limit(n: int) -> int:
-    """Changed documents up to which an index is patched; beyond, it is built anew."""
-    return max(64, n // 50)
+def verify(spark: SparkSession, folder: str) -> dict:
+    """The manifest, after every segment's rows are counted and summed again; Corrupt where they are not those written."""
+    found = manifest(spark, folder)
+    if found is None:
+        raise Corrupt("there is no index")
+    for segment in found["segments"]:
+        at = f"{folder}/segments/{segment['name']}"
+        size = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.sum(F.xxhash64("id", "length", "sig") % (1 << 40)).alias("sum")).first()
+        held = spark.read.parquet(f"{at}/postings").agg(F.sum("tf")).first()[0] or 0
+        if size["n"] != segment["documents"] or size["sum"] != segment["sum"] or held != (size["total"] or 0):
+            raise Corrupt(f"segment {segment['name']} is not what was written")
+    return found
+
+
+def drop(spark: SparkSession, folder: str) -> bool:
+    """Deletes the index; False where there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
 
 
-def refresh(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "") -> str:
-    """Brings the index up to date: unchanged, patched or rebuilt. A patch scans the texts of changed documents only."""
+def patch(spark: SparkSession, folder: str, docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text", fingerprint: str = "", state: str | None = None) -> None:
+    """Takes new versions of documents up and ids of `gone` (id) out: one more segment, or all compacted into one."""
+    found = manifest(spark, folder)
+    postings, lengths = bm25.postings(docs, key, text)
+    lengths = lengths.join(signature(docs, key, text), "id")
+    replaced = gone.select("id").unionByName(docs.select(F.col(key).alias("id"))).distinct()
+    if len(found["segments"]) < SEGMENTS:
+        segments = [*found["segments"], _write_segment(spark, folder, postings, lengths, replaced)]
+    else:
+        old_postings, old_lengths = open_index(spark, folder)
+        postings, lengths = (old.join(replaced, "id", "left_anti").unionByName(new) for old, new in ((old_postings, postings), (old_lengths, lengths)))
+        segments = [_write_segment(spark, folder, postings, lengths, replaced.limit(0))]
+    _publish(spark, folder, segments, fingerprint, state, found["number"] + 1)
+
+
+def refresh(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "", state: str | None = None) -> str:
+    """Brings the index up to date: unchanged, patched or rebuilt. A patch tokenises and writes changed documents only."""
     spark = docs.sparkSession
-    opened = open_index(spark, folder)
-    if opened is None or manifest(spark, folder)["fingerprint"] != fingerprint:
-        build(docs, folder, key, text, fingerprint)
+    found = manifest(spark, folder)
+    if found is None or found["fingerprint"] != fingerprint:
+        build(docs, folder, key, text, fingerprint, state)
         return "rebuilt"
-    postings, lengths = opened
+    if state is not None and found["state"] == state:
+        return "unchanged"
+    _, lengths = open_index(spark, folder)
     delta = changes(lengths.select("id", "sig"), signature(docs, key, text)).persist()
     try:
         n = delta.count()
         if n == 0:
+            if state is not None:
+                _publish(spark, folder, found["segments"], fingerprint, state, found["number"] + 1)
             return "unchanged"
-        if n > patch_limit(lengths.count()):
-            build(docs, folder, key, text, fingerprint)
+        if n * REBUILD > max(256, lengths.count()):
+            build(docs, folder, key, text, fingerprint, state)
             return "rebuilt"
         new = docs.join(delta.filter("change <> 'vanished'").select(F.col("id").alias(key)), key, "left_semi")
-        more_postings, more_lengths = bm25.postings(new, key, text)
-        more_lengths = more_lengths.join(signature(new, key, text), "id")
-        write(spark, folder, postings.join(delta, "id", "left_anti").unionByName(more_postings), lengths.join(delta, "id", "left_anti").unionByName(more_lengths), fingerprint)
+        patch(spark, folder, new, delta.filter("change = 'vanished'"), key, text, fingerprint, state)
         return "patched"
     finally:
         delta.unpersist()
 
 
-def search(docs: DataFrame, folder: str, queries: dict[str, str], key: str = "doc_id", text: str = "text", fingerprint: str = "", **how) -> DataFrame:
-    """BM25 from the index if it is provably fresh, else from a scan; the answers are equal."""
-    if status(docs, folder, key, text, fingerprint) == "fresh":
-        postings, lengths = open_index(docs.sparkSession, folder)
+def search(docs: DataFrame, folder: str, queries: dict[str, str], key: str = "doc_id", text: str = "text", fingerprint: str = "", state: str | None = None, **how) -> DataFrame:
+    """BM25 from the index if it is provably fresh, else from a scan; the answers are equal.
+
+    Without `state` the proof hashes every text; with it, it reads none.
+    """
+    if status(docs, folder, key, text, fingerprint, state) == "fresh":
+        spark = docs.sparkSession
+        terms = sorted({r["term"] for r in bm25.query_terms(spark, queries).collect()})
+        postings, lengths = open_index(spark, folder, terms)
         return bm25.score_postings(postings, lengths.select("id", "length"), queries, **how)
     return bm25.score(docs, queries, key, text, **how)

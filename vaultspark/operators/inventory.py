@@ -10,12 +10,12 @@ from vaultspark.operators.filters import review_reasons
 
 def facets(entries: DataFrame, fields: list[str]) -> DataFrame:
     """(facet, value, n) of every field's values in one pass; null and empty values are no value."""
-    sets = ", ".join(f"({f})" for f in fields)
-    entries.createOrReplaceTempView("_facet_rows")
-    name = " ".join(f"WHEN grouping(`{f}`) = 0 THEN '{f}'" for f in fields)
-    value = "coalesce(" + ", ".join(f"CAST(`{f}` AS STRING)" for f in fields) + ")"
-    rows = entries.sparkSession.sql(f"SELECT CASE {name} END AS facet, {value} AS value, count(*) AS n FROM _facet_rows GROUP BY GROUPING SETS ({sets})")
-    return rows.filter("value is not null and value <> ''")
+    shown = F.lit(None).cast("string")
+    for f in fields:
+        shown = F.when(F.grouping(f) == 0, F.lit(f)).otherwise(shown)
+    value = F.coalesce(*[F.col(f).cast("string") for f in fields])
+    rows = entries.groupingSets([[F.col(f)] for f in fields], *fields).agg(shown.alias("facet"), value.alias("value"), F.count("*").alias("n"))
+    return rows.select("facet", "value", "n").filter("value is not null and value <> ''")
 
 
 def totals(entries: DataFrame) -> DataFrame:

@@ -56,9 +56,16 @@ def evidence(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text
 
     An excerpt begins `lead` characters before the match. Lines are an array of the row's own, nothing is shuffled.
     """
-    needle = query.casefold()
+    needle = T.fold(F.lit(query))
     numbered = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     hits = F.slice(F.filter(numbered, lambda x: T.fold(x["text"]).contains(needle)), 1, most)
     rows = docs.select(F.col(key).alias("id"), F.posexplode(hits).alias("n", "hit"))
-    start = F.greatest(F.lit(1), F.position(F.lit(needle), T.fold(F.col("hit.text"))) - lead)
+    found = F.position(needle, T.fold(F.col("hit.text")))
+    start = F.greatest(F.lit(1), unfolded(F.col("hit.text"), found) - lead)
     return rows.select("id", (F.col("n") + 1).alias("n"), F.col("hit.line").alias("line"), F.substr(F.col("hit.text"), start, F.lit(width)).alias("excerpt"))
+
+
+def unfolded(line: Column, place: Column) -> Column:
+    """The character of a line that its folded form's character number `place` comes from. Folding can lengthen a line."""
+    before = F.filter(F.sequence(F.lit(1), F.char_length(line)), lambda k: F.char_length(T.fold(F.substr(line, F.lit(1), k))) < place)
+    return F.when(F.char_length(T.fold(line)) == F.char_length(line), place).otherwise(F.size(before) + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
@@ -14,8 +14,9 @@ from vaultspark.operators import bm25
 FUSION = 60  # fixed value: the constant of reciprocal-rank fusion
 STAGES = ("lexical", "word_form", "title_typo", "component", "body_typo")
 STAGE_SCORES = {"lexical": 0.0, "word_form": -1.0, "title_typo": -2.0, "component": -1.5, "body_typo": -3.0}
-#: Fusion ranks component before title typo, unlike the cascade.
-FUSION_TIERS = {"lexical": 0, "word_form": 1, "component": 2, "title_typo": 3, "body_typo": 4}
+#: Tiers of fusion, highest first: component stands before title typo, unlike in the cascade.
+TIERS = ("lexical", "word_form", "component", "title_typo", "body_typo")
+MOST_VARIANTS, LONGEST_QUERY = 3, 2000
 MOST_TERMS = 16  # longer queries get no tolerant fallback
 
 
@@ -27,7 +28,7 @@ def terms_of(query: str) -> list[str]:
 def literal(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score 0) of documents that hold the folded query; the empty query is in all."""
     hay = T.fold(F.coalesce(F.col(text), F.lit("")))
-    return docs.filter(hay.contains(query.casefold())).select(F.col(key).alias("id"), F.lit(0.0).alias("score"))
+    return docs.filter(hay.contains(T.fold(F.lit(query)))).select(F.col(key).alias("id"), F.lit(0.0).alias("score"))
 
 
 def hybrid(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -56,7 +57,7 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
         forms, parts = T.word_form_terms(terms, F.col("letters")), T.component_terms(terms, F.col("letters"))
         typos, slips = T.typo_terms(terms, F.col("names"), 5), T.typo_terms(terms, F.col("letters"), 7)
     hit = F.arrays_overlap("words", F.array(*map(F.lit, terms))) if terms else F.lit(False)
-    found = bag.select("id", (hit | F.col("hay").contains(query.casefold())).alias("hit"), *[x.alias(f"t{k}") for k, x in enumerate((forms, typos, parts, slips), 1)])
+    found = bag.select("id", (hit | F.col("hay").contains(T.fold(F.lit(query)))).alias("hit"), *[x.alias(f"t{k}") for k, x in enumerate((forms, typos, parts, slips), 1)])
     first = F.when(F.col("hit"), F.struct(F.lit(0).alias("stage"), none.alias("terms")))
     for k in range(1, 5):
         first = first.when(F.size(f"t{k}") > 0, F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("terms")))
@@ -67,17 +68,64 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
     return staged.join(F.broadcast(lowest), F.col("stage") == F.col("lowest")).select("id", "stage", "terms")
 
 
+def wordings(query: str, variants: list[str] | None = None) -> dict[str, str]:
+    """Query texts by id (q0, q1, ...): a query and up to three other wordings, all different once folded.
+
+    A query alone may be anything; with variants, each text has 1 to 2000 characters, something but white space
+    and no NUL.
+    """
+    texts = [query, *(variants or [])]
+    if len(texts) > 1 + MOST_VARIANTS:
+        raise ValueError(f"at most {MOST_VARIANTS} variants")
+    if variants:
+        if any(not t.strip() or "\0" in t or len(t) > LONGEST_QUERY for t in texts):
+            raise ValueError(f"a wording is blank, holds NUL or is longer than {LONGEST_QUERY} characters")
+        if len({unicodedata.normalize("NFKC", t).casefold().strip() for t in texts}) < len(texts):
+            raise ValueError("wordings must differ")
+    return {f"q{k}": t for k, t in enumerate(texts)}
+
+
+def match_kind(score: Column) -> Column:
+    """typo, word_form or lexical, by a score that may stand for a stage."""
+    typos = [STAGE_SCORES["title_typo"], STAGE_SCORES["body_typo"]]
+    forms = [STAGE_SCORES["word_form"], STAGE_SCORES["component"]]
+    return F.when(score.isin(typos), F.lit("typo")).when(score.isin(forms), F.lit("word_form")).otherwise(F.lit("lexical"))
+
+
+def fusion_tier(score: Column) -> Column:
+    """4 for lexical scores down to 0 for typos of the body."""
+    tier = F.when(score >= 0, F.lit(len(TIERS) - 1))
+    for place, name in enumerate(reversed(TIERS)):
+        tier = tier.when(score == STAGE_SCORES[name], F.lit(place))
+    return tier.otherwise(F.lit(0))
+
+
 def fuse(scored: DataFrame) -> DataFrame:
-    """(id, rrf, best) from (query_id, id, score): sum of 1 / (60 + rank) over the wordings, and the best score."""
+    """(id, tier, rrf, best, evidence) from (query_id, id, score): sum of 1 / (60 + rank) over the wordings.
+
+    `tier` is that of the best score, and goes before rrf in an order; `evidence` lists (query_id, match_kind) of
+    every wording that found the document, by query_id. With a column `path`, an id that stands for two paths is an
+    error, as candidates would be mixed up.
+    """
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(place))
-    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("query_id", (1.0 / (FUSION + F.col("rank"))).alias("w")))), F.lit(0.0), lambda s, x: s + x["w"])
-    return ranked.groupBy("id").agg(F.round(in_order, bm25.DIGITS).alias("rrf"), F.max("score").alias("best"))
+    found = F.array_sort(F.collect_list(F.struct("query_id", (1.0 / (FUSION + F.col("rank"))).alias("w"), match_kind(F.col("score")).alias("match_kind"))))
+    paths = [F.min("path").alias("one"), F.max("path").alias("other")] if "path" in scored.columns else []
+    rows = ranked.groupBy("id").agg(found.alias("found"), F.max("score").alias("best"), *paths)
+    if paths:
+        rows = rows.withColumn("id", F.when(F.col("one") != F.col("other"), F.raise_error(F.concat(F.lit("two entries have the id "), F.col("id").cast("string")))).otherwise(F.col("id")))
+    rrf = F.aggregate("found", F.lit(0.0), lambda s, x: s + x["w"])
+    evidence = F.transform("found", lambda x: F.struct(x["query_id"].alias("query_id"), x["match_kind"].alias("match_kind")))
+    return rows.select("id", fusion_tier(F.col("best")).alias("tier"), F.round(rrf, bm25.DIGITS).alias("rrf"), "best", evidence.alias("evidence"))
+
 
+def rerank(candidates: DataFrame, vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding", revision: str | None = None) -> DataFrame:
+    """(id, tier, relevance): cosine for candidates with a vector (tier 1), else their lexical score (tier 0). Adds none.
 
-def rerank(candidates: DataFrame, vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, tier, relevance): cosine for candidates with a vector (tier 1), else their lexical score (tier 0). Adds none."""
+    With `revision`, a column of both sides, only a vector made from the entry's present text counts.
+    """
     asked = F.array(*[F.lit(float(x)) for x in query])
-    known = vectors.select(F.col(key).alias("id"), T.cosine(F.col(vector), asked).alias("cosine"))
-    joined = candidates.join(known, "id", "left")
+    by = ["id"] if revision is None else ["id", revision]
+    known = vectors.select(F.col(key).alias("id"), *by[1:], T.cosine(F.col(vector), asked).alias("cosine"))
+    joined = candidates.join(known, by, "left")
     return joined.select("id", F.col("cosine").isNotNull().cast("int").alias("tier"), F.round(F.coalesce("cosine", "score"), bm25.DIGITS).alias("relevance"))

@@ -52,16 +52,17 @@ def contradictions(all_edges: DataFrame) -> DataFrame:
     return met.select(old["source"], old["predicate"], old["target"], F.explode(problems).alias("problem"))
 
 
-def cycles(all_edges: DataFrame, rounds: int = 20) -> DataFrame:
+def cycles(all_edges: DataFrame) -> DataFrame:
     """(source, predicate, target) of relations on a supersession cycle.
 
     Every relation has at most one successor, so pointers are doubled: after k rounds they reach 2^k steps, and
-    what has not run off a chain by then and comes back to itself is a cycle. Twenty rounds follow a million steps.
+    what has not run off a chain by then and comes back to itself is a cycle. There are as many rounds as the
+    longest possible chain needs.
     """
     step = all_edges.filter("superseded_by is not null").groupBy("source", "predicate", "target").agg(F.min("superseded_by").alias("next"))
     reach = step.withColumn("low", F.least("target", "next"))
     n = step.groupBy("source", "predicate").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(min(rounds, max(1, int(n).bit_length()))):
+    for _ in range(max(1, int(n).bit_length())):
         ahead = reach.select("source", "predicate", F.col("target").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
         reach = reach.join(ahead, ["source", "predicate", "next"]).select("source", "predicate", "target", F.col("far").alias("next"), F.least("low", "far_low").alias("low"))
     # Whoever still has a pointer is on a cycle or leads into one; those on it are met from within.

@@ -6,13 +6,15 @@ time, embeddings for a vector sidecar, pages for fetched bookmarks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
-from vaultspark.operators import bm25, changes, graph, index, inventory, paging, ranking, sections, temporal
+from vaultspark.operators import bm25, changes, entries, filters, graph, index, inventory, paging, ranking, sections, temporal
+from vaultspark.session import scratch
 from vaultspark.sources import html_meta, notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,9 +186,10 @@ def asof_in_force(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' ORDER BY ts DESC, event_id LIMIT 50")
 def occurred_window(spark, sf_dir):
-    """Half-open window on time, newest first, one page."""
-    rows = read(spark, sf_dir, "events").filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")))
-    return paging.page(rows, [F.desc("ts"), F.asc("event_id")], 50).select("event_id", "event_type")
+    """Half-open window on times that are texts with an offset, newest first, one page."""
+    rows = read(spark, sf_dir, "events").withColumn("occurred_at", F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"))
+    hits = rows.filter(filters.window("occurred_at", after="2024-01-10T00:00:00Z", before="2024-01-11T03:00:00+03:00"))
+    return paging.page(hits, [F.desc("ts"), F.asc("event_id")], 50).select("event_id", "event_type")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, event_id, ts, lead(event_id) OVER w AS nxt, lead(ts) OVER w AS nts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
@@ -245,14 +248,14 @@ def duplicate_titles(spark, sf_dir):
     return graph.duplicates(read(spark, sf_dir, "documents"), [F.col("lang"), T.name_key(T.title_of(F.col("text")))], ["lang", "title"], "doc_id")
 
 
-@query("""WITH r AS (SELECT s_suppkey AS id, lower(trim('supplier of nation ' || s_nationkey || ' ' || (s_suppkey % 7))) AS name FROM supplier),
+@query("""WITH r AS (SELECT s_suppkey AS id, lower(trim(regexp_replace(s_name, '#.*$', '') || ' of nation ' || s_nationkey || ' ' || (s_suppkey % 7))) AS name FROM supplier),
 w AS (SELECT id, name, list_distinct(regexp_extract_all(name, '[a-z0-9]+')) AS words, min(id) OVER (PARTITION BY name) AS first FROM r)
 SELECT first AS a, id AS b, true AS same_name, len(words) AS shared FROM w WHERE id <> first
 UNION ALL SELECT x.id, y.id, false, len(list_intersect(x.words, y.words)) FROM w x JOIN w y ON x.id < y.id WHERE x.id = x.first AND y.id = y.first AND len(list_intersect(x.words, y.words)) >= 4""")
 def candidate_pairs(spark, sf_dir):
-    """Suppliers under made-up names that share a name or most words."""
-    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier of nation "), F.col("s_nationkey"), F.lit(" "), F.col("s_suppkey") % 7).alias("name"))
-    return graph.candidate_pairs(rows, "id", "name", least_shared=4)
+    """Suppliers, their numbers replaced by coarser ones, that share a name or most words."""
+    name = F.concat(F.regexp_replace("s_name", "#.*$", ""), F.lit(" of nation "), F.col("s_nationkey"), F.lit(" "), F.col("s_suppkey") % 7)
+    return graph.candidate_pairs(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name")), "id", "name", least_shared=4)
 
 
 @query("WITH p AS (SELECT doc_id, length(text) AS n FROM documents ORDER BY doc_id LIMIT 10) SELECT doc_id, greatest(0, least(n, 20000 - coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::bigint AS granted FROM p")
@@ -317,7 +320,7 @@ def infer_title(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
 
 
-@query(f"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower({TITLE}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'entry' ELSE left(s, 64) END AS slug FROM s")
+@query(f"WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({TITLE})), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64) AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'entry' ELSE s END AS slug FROM s")
 def slugify(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.slug(T.title_of(F.col("text"))).alias("slug"))
 
@@ -350,27 +353,31 @@ def tag_set_ops(spark, sf_dir):
     return parts.select("p_partkey", F.array_join(T.tag_remove(made, F.array(F.upper("p_type"))), " ").alias("tags"))
 
 
-@query("""WITH q AS (SELECT item_id, text, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS h FROM benchmark),
-w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+@query("""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS h FROM w),
-m AS (SELECT item_id, doc_id, sh.text AS dtext, q.text AS qtext FROM q JOIN sh USING (h)),
+m AS (SELECT item_id, doc_id, sh.text AS dtext FROM benchmark q JOIN sh ON sh.h = array_to_string(list_slice(string_split(q.text, ' '), 1, 3), ' ')),
 r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(dtext), doc_id) AS rank FROM m),
-qrels AS (SELECT DISTINCT item_id, doc_id FROM m WHERE contains(dtext, left(qtext, 60))),
+qrels AS (SELECT item_id, doc_id FROM benchmark q JOIN documents d ON contains(d.text, q.text)),
 f AS (SELECT item_id, min(rank) AS rank FROM r JOIN qrels USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id),
 a AS (SELECT DISTINCT item_id FROM qrels)
 SELECT count(*) AS queries, round(avg((f.rank IS NOT NULL)::integer::double), 6) AS recall_at_k, round(avg(coalesce(1.0::double / f.rank, 0)), 6) AS mrr FROM a LEFT JOIN f USING (item_id)""")
 def retrieval_metrics(spark, sf_dir):
-    """Recall and reciprocal rank of documents that hold an item's first three words, shortest first, for the item's opening."""
+    """Recall and reciprocal rank of a plain ranking: documents that hold an item's first three words, shortest first.
+
+    Relevant is every document that contains the whole item. Inside an item of five words or more its second to
+    fourth words stand between spaces, so a document that contains the item has them as words: that is what the
+    two meet on before containment is tested.
+    """
     from pyspark.sql import Window
 
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.split("text", " ").alias("ws"))
     places = F.when(F.size("ws") > 2, F.sequence(F.lit(1), F.size("ws") - 2)).otherwise(F.array().cast("array<int>"))
     runs = docs.select("id", "body", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("h"))
-    met = runs.join(asked, "h")
+    three = lambda start: F.array_join(F.slice(F.split("text", " "), start, 3), " ")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", three(1).alias("first"), three(2).alias("second"))
     place = Window.partitionBy("query_id").orderBy(F.char_length("body"), "id")
-    ranked = met.withColumn("rank", F.row_number().over(place)).select("query_id", "id", "rank")
-    relevant = met.filter(F.col("body").contains(F.left("text", F.lit(60)))).select("query_id", "id")
+    ranked = runs.join(asked, F.col("h") == F.col("first")).withColumn("rank", F.row_number().over(place)).select("query_id", "id", "rank")
+    relevant = runs.join(asked, F.col("h") == F.col("second")).filter(F.col("body").contains(F.col("text"))).select("query_id", "id")
     return inventory.retrieval_metrics(ranked, relevant, 5)
 
 
@@ -381,16 +388,119 @@ def review_bits(spark, sf_dir):
     return rows.select("doc_id", (F.coalesce("text", F.lit("")).rlike("licensed|Licensed").cast("int") + 2 * F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("state"))
 
 
-@query("SELECT o_orderkey AS original_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 3 = 1 THEN 'imported' ELSE 'changed' END AS state FROM orders")
+@query("""WITH s AS (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0)
+SELECT o_orderkey AS original_id, CASE WHEN o_orderkey % 50 = 0 THEN 'duplicate_source' WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 3 = 1 THEN 'imported' ELSE 'changed' END AS state FROM s""")
 def import_states(spark, sf_dir):
-    """What an import would do with each source row, against what is stored."""
+    """What an import would do with each source row, against what is stored; some rows come twice."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("original_id"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("digest"))
     stored = rows.filter("original_id % 3 <> 0").withColumn("digest", F.when(F.col("original_id") % 3 == 2, F.lit("old")).otherwise(F.col("digest")))
-    return changes.import_state(rows, stored).select("original_id", "state")
+    twice = rows.unionByName(rows.filter("original_id % 50 = 0"))
+    return changes.import_state(twice, stored).select("original_id", "state")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '#[A-Za-z]+'))::integer AS tags FROM documents WHERE false")
+@query("SELECT doc_id, concat_ws(' ', 'Alpha', 'beta_2/x', lang, source) AS tags FROM documents")
 def inline_tags(spark, sf_dir):
-    """Documents with inline tags: the tables hold none, so the answer is empty."""
-    found = read(spark, sf_dir, "documents").select("doc_id", F.size(notes.inline_tags(F.col("text"))).alias("tags"))
-    return found.filter("tags > 0")
+    """Tags of bodies that are made of columns: after punctuation and in brackets, beside what only looks like tags."""
+    body = F.concat(F.lit("#Alpha\" and,#beta_2/x ("), F.concat(F.lit("#"), F.col("lang")), F.lit(") a#no /#no -#no ##no #123 `#no` #Alpha\n```\n#no\n```\n*#"), F.col("source"), F.lit("*"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(notes.inline_tags(body), " ").alias("tags"))
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def _index_of(spark, docs: DataFrame, sf_dir: str, name: str, state: str | None) -> str:
+    """Folder of an index of docs, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        folder = scratch(spark, f"index-{name}-{uuid.uuid4().hex}")
+        index.build(docs, folder, state=state)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+@query(f"WITH {_bm25_sql(WORDINGS)} SELECT query_id, doc_id, round(score, 6) AS score FROM scored")
+def bm25_indexed(spark, sf_dir):
+    """Several queries over the persisted index, which the state of the table's files shows to be fresh."""
+    docs = read(spark, sf_dir, "documents")
+    state = index.files_state(spark, f"{sf_dir}/documents.parquet")
+    folder = _index_of(spark, docs, sf_dir, "whole", state)
+    return index.search(docs, folder, WORDINGS, state=state).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH old AS (SELECT doc_id, lang, text FROM documents), d AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 2 THEN 'mit license ' || coalesce(text, '') ELSE text END AS text FROM old WHERE doc_id % 10 <> 1), {_bm25_sql(WORDINGS).replace('FROM documents', 'FROM d')} SELECT query_id, doc_id, round(score, 6) AS score FROM scored")
+def bm25_patched(spark, sf_dir):
+    """The same from an index that was built on an older state and then patched: a tenth changed, a tenth gone."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    now = docs.filter("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 2, F.concat(F.lit("mit license "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    folder = _index_of(spark, docs, sf_dir, "patched", None)
+    index.refresh(now, folder)
+    return index.search(now, folder, WORDINGS).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    """Documents as entries: title, tags and body."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), T.title_of(F.col("text")).alias("title"), F.array_compact(F.array("lang", "source")).alias("tags"), F.col("text").alias("body"))
+
+
+HAYSTACK = f"concat_ws(chr(10), coalesce({TITLE}, ''), concat_ws(' ', lang, source), coalesce(text, ''))"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(replace(lower({HAYSTACK}), 'ß', 'ss'), 'fr src1')")
+def searchable_hits(spark, sf_dir):
+    """Literal hits in title, tags or body: here in tags."""
+    found = ranking.literal(entries.haystack(_entries(spark, sf_dir)), "FR src1", "id")
+    return found.select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {_bm25_sql({'q': 'src1 license'}).replace(FOLDED, f"replace(lower({HAYSTACK}), 'ß', 'ss')")} SELECT doc_id, round(score, 6) AS score FROM scored")
+def bm25_entries(spark, sf_dir):
+    """BM25 over the searchable text of entries: tags and titles count as words."""
+    found = bm25.score(entries.haystack(_entries(spark, sf_dir)), {"q": "src1 license"}, "id")
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN json_object('id', c_custkey, 'type', c_mktsegment, 'title', c_name, 'domain', 'bank.example', 'rating', c_nationkey, 'relation_count', 1, 'attachment_count', 0) ELSE json_object('id', c_custkey, 'type', c_mktsegment, 'title', c_name, 'rating', c_nationkey, 'relation_count', 1, 'attachment_count', 0) END::varchar AS result FROM customer")
+def compact_results(spark, sf_dir):
+    """Results without the keys that have no value."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), F.col("c_name").alias("title"), F.lit("").alias("domain"), F.when(F.col("c_acctbal") < 0, "bank.example").alias("source_domain"), F.col("c_nationkey").alias("rating"), F.array(F.struct(F.lit("lives_in").alias("predicate"), F.col("c_nationkey").cast("string").alias("target"))).alias("relations"))
+    return entries.compact(rows)
+
+
+@query(f"""WITH {_bm25_sql({'q0': WORDS})}, s AS (SELECT query_id, doc_id, score FROM scored UNION ALL SELECT 'q1', doc_id, -1.5 FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT 'q2', doc_id, -2.0 FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT doc_id, CASE max(score) WHEN -1.5 THEN 2 WHEN -2.0 THEN 1 ELSE 4 END AS tier, round(sum(1.0::double / (60 + rank) ORDER BY query_id), 6) AS rrf, string_agg(query_id || ' ' || CASE score WHEN -1.5 THEN 'word_form' WHEN -2.0 THEN 'typo' ELSE 'lexical' END, ', ' ORDER BY query_id) AS evidence FROM r GROUP BY doc_id""")
+def variant_tiers(spark, sf_dir):
+    """Lexical hits of one wording fused with hits that two others reach only tolerantly."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    asked = ranking.wordings(WORDS, ["licences of apache", "apahce"])
+    lexical = bm25.score(read(spark, sf_dir, "documents"), {"q0": asked["q0"]})
+    loose = [docs.filter(F.col("doc_id") % n == 0).select(F.lit(q).alias("query_id"), F.col("doc_id").alias("id"), F.lit(ranking.STAGE_SCORES[stage]).alias("score")) for q, n, stage in (("q1", 3, "component"), ("q2", 5, "title_typo"))]
+    fused = ranking.fuse(lexical.unionByName(loose[0]).unionByName(loose[1]))
+    shown = F.array_join(F.transform("evidence", lambda x: F.concat_ws(" ", x["query_id"], x["match_kind"])), ", ")
+    return fused.select(F.col("id").alias("doc_id"), "tier", F.round("rrf", 6).alias("rrf"), shown.alias("evidence"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::double[] AS e, 'r' || (vec_id % 3) AS revision FROM embeddings), x AS (SELECT list_transform(range(64), lambda i: ((i % 5) - 2)::double) AS q)
+SELECT doc_id, (e IS NOT NULL)::integer AS tier, round(coalesce(list_cosine_similarity(e, q), length(text)), 6) AS relevance FROM documents LEFT JOIN v ON vec_id = doc_id AND revision = 'r' || (doc_id % 2), x WHERE text IS NOT NULL""")
+def rerank_revisions(spark, sf_dir):
+    """Vectors of another revision than the entry's do not count."""
+    found = read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.char_length("text").cast("double").alias("score"), F.concat(F.lit("r"), F.col("doc_id") % 2).alias("revision"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("revision", F.concat(F.lit("r"), F.col("vec_id") % 3))
+    ranked = ranking.rerank(found, vectors, [(i % 5) - 2 for i in range(64)], revision="revision")
+    return ranked.select(F.col("id").alias("doc_id"), "tier", F.round("relevance", 6).alias("relevance"))
+
+
+@query("""SELECT p_partkey, CASE WHEN lower(p_brand) <> lower(p_type) AND p_partkey % 4 <> 0 THEN array_to_string(list_sort([p_brand, p_type]), '|') END AS aliases, CASE WHEN p_partkey % 4 = 0 THEN 'an alias equals the title' ELSE '' END AS errors FROM part""")
+def alias_rules(spark, sf_dir):
+    """Alternative names checked and sorted; every fourth part repeats its title among them."""
+    parts = read(spark, sf_dir, "part")
+    aliases = F.array(F.concat(F.lit(" "), F.col("p_brand")), F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).otherwise(F.col("p_type")))
+    return parts.select("p_partkey", F.array_join(entries.normal_aliases(aliases, F.col("p_name")), "|").alias("aliases"), F.array_join(entries.alias_errors(aliases, F.col("p_name")), ", ").alias("errors"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)$', '\\1/') END AS url FROM pages")
+def fetchable_urls(spark, sf_dir):
+    """Addresses as a fetcher may open them; every third has a port of its own."""
+    shown = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"^(https?://[^/?#]+)", "$1:8080")).otherwise(F.concat(F.lit(" "), F.col("url")))
+    return read(spark, sf_dir, "pages").select("page_id", T.fetchable_url(shown).alias("url"))

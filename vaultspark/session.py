@@ -7,6 +7,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder for derived tables that the driver and all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="vaultspark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session in UTC with adaptive execution on."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("vaultspark")

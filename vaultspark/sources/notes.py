@@ -43,8 +43,8 @@ def wikilinks(body: Column) -> Column:
 
 
 def inline_tags(body: Column) -> Column:
-    """#tags outside code, at least one of their characters no digit, in order."""
-    found = F.regexp_extract_all(strip_code(body), F.lit(r"(?m)(?:^|[\s(])#([\p{L}\p{N}_/-]+)"), F.lit(1))
+    """#tags outside code, at least one of their characters no digit, in order. A tag begins where no word, slash, hash or hyphen ends."""
+    found = F.regexp_extract_all(strip_code(body), F.lit(r"(?<![\p{L}\p{N}_/#-])#([\p{L}\p{N}_/-]+)"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda t: ~t.rlike(r"^[\d/_-]+$")))
 
 

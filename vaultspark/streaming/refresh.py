@@ -6,24 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vaultspark.operators import bm25, index
+from vaultspark.operators import index
 
 
 def patch(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", fingerprint: str = "") -> None:
     """Takes new versions of documents into the index; of several versions in one batch the largest text counts."""
-    spark = docs.sparkSession
     newest = docs.groupBy(key).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias(text))
-    opened = index.open_index(spark, folder)
-    if opened is None:
+    if index.manifest(docs.sparkSession, folder) is None:
         index.build(newest, folder, key, text, fingerprint)
-        return
-    postings, lengths = opened
-    more, sizes = bm25.postings(newest, key, text)
-    ids = newest.select(F.col(key).alias("id"))
-    index.write(spark, folder, postings.join(ids, "id", "left_anti").unionByName(more), lengths.join(ids, "id", "left_anti").unionByName(sizes.join(index.signature(newest, key, text), "id")), fingerprint)
+    else:
+        index.patch(docs.sparkSession, folder, newest, newest.select(F.col(key).alias("id")).limit(0), key, text, fingerprint)
 
 
 def follow(stream: DataFrame, folder: str, checkpoint: str, key: str = "doc_id", text: str = "text", fingerprint: str = "", once: bool = True) -> StreamingQuery:
-    """Patches the index from a streaming DataFrame. A batch that is run again after a failure writes the same index."""
+    """Patches the index from a streaming DataFrame. A batch that is run again after a failure replaces its own documents."""
     writer = stream.writeStream.foreachBatch(lambda batch, _: patch(batch, folder, key, text, fingerprint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
