@@ -11,52 +11,57 @@ from vaultspark.llm.common import cut
 HUB, HUBS = 1000, 100_000  # links of a hub at least, and the share of all links that makes one
 
 
-def _with_least(rows: DataFrame, links: int) -> DataFrame:
-    """rows (a, b) with `low`, the smallest b of a. The rows of a hub never meet in one task.
+def _with_least(rows: DataFrame, hub: int | None) -> DataFrame:
+    """rows (a, b) with `low`, the smallest b of a.
 
-    A hub has more than HUB rows and more than one in HUBS of all, so there are 2 x HUBS of them at most and
-    their minima are broadcast; the rows of other nodes are joined by shuffle.
+    With `hub`, nodes of more rows than that are joined by broadcast, so their rows never meet in one task; there
+    are 2 x HUBS of them at most. The rows of other nodes are joined by shuffle.
     """
     least = rows.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-    many = F.col("n") > max(HUB, links // HUBS)
-    hubs, others = least.filter(many).select("a", "low"), least.filter(~many).select("a", "low")
+    if hub is None:
+        return rows.join(least.select("a", "low"), "a")
+    hubs, others = least.filter(F.col("n") > hub).select("a", "low"), least.filter(F.col("n") <= hub).select("a", "low")
     rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti")
     return rest.join(others, "a").unionByName(rows.join(F.broadcast(hubs), "a"))
 
 
-def _large(edges: DataFrame, links: int) -> DataFrame:
+def _large(edges: DataFrame, hub: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined = _with_least(both, links).filter("b > a")
+    joined = _with_least(both, hub).filter("b > a")
     return joined.select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame, links: int) -> DataFrame:
+def _small(edges: DataFrame, hub: int | None) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = _with_least(down, links).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    moved = _with_least(down, hub).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).first()
-    return row["n"], row["h"]
+    """(links, a sum over them, links of the busiest node)."""
+    ends = edges.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("node"))
+    by_node = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.col("h") % (1 << 40)).alias("h"))
+    row = by_node.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("top")).first()
+    return (row["n"] or 0) // 2, row["h"], row["top"]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a, b: long); component is the smallest id reachable.
 
     Self-links, repeated and reversed links are fine; rows with a null end are ignored; no links give no rows.
-    Every step is written to the shared folder. Minima are made by map-side aggregates, and hubs are joined by
-    broadcast, see _with_least.
+    Every round is written to the shared folder. Minima are made by map-side aggregates; a hub's rows are joined
+    by broadcast, see _with_least.
     """
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
     for _ in range(rounds):
         if before[0] == 0:
             break
-        now = cut(_small(cut(_large(now, before[0])), before[0]))
+        hub = max(HUB, before[0] // HUBS)
+        now = cut(_small(_large(now, hub if before[2] > hub else None), hub if before[2] > hub else None))
         after = _state(now)
-        if after == before:
+        if after[:2] == before[:2]:
             break
         before = after
     else:
@@ -64,3 +69,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = now.groupBy("a").agg(F.min("b").alias("b"))
     roots = now.select("b").distinct()
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
+
+
+def contracted(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) after more links: named (id, component) as components gives it, edges (a, b) new ones.
+
+    Only links between components are followed, so the graph is as small as what the new links join.
+    """
+    sided = edges.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
+    between = cut(sided.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
+    if between.isEmpty():
+        return named
+    moved = cut(components(between)).toDF("c", "to")
+    fresh = moved.select(F.col("c").alias("id"), F.col("c").alias("component")).join(named, "id", "left_anti")
+    return cut(named.unionByName(fresh).join(moved, F.col("component") == F.col("c"), "left").select("id", F.coalesce("to", "component").alias("component")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import cut
-from vaultspark.llm.components import components
+from vaultspark.llm.components import components, contracted
 from vaultspark.llm.line_dedup import small
 
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -128,7 +128,7 @@ def _bits(hashes: np.ndarray) -> int:
 def _prefix(hashes: np.ndarray, similarity: float, late: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of different shingles, and those of which a set as similar shares one: hashes in order, `late` ones last."""
     rows = np.unique(hashes)
-    last = np.isin(rows, late)
+    last = late[np.minimum(np.searchsorted(late, rows), len(late) - 1)] == rows if len(late) else np.zeros(len(rows), bool)
     rows = np.concatenate([rows[~last], rows[last]])
     return len(rows), rows[: len(rows) - math.ceil(similarity * len(rows) - 1e-9) + 1]
 
@@ -306,11 +306,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         sided = some.join(met_here.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(met_here.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
         return cut(sided.filter(alike("x", "y")).select("a", "b"))
 
-    linked = verified(maybe)
-    near = cut(components(linked))
+    near = cut(components(verified(maybe)))
     sided = pairs.join(maybe, ["a", "b"], "left_anti").join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left")
-    linked = linked.unionByName(verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
-    found = components(_pivoted(hot, linked, verified, similarity))
+    near = contracted(near, verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
+    found = _pivoted(hot, near, verified, similarity)
     losers = found.filter("id <> component").select("id")
     gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col(key).isNotNull() & ((F.col(key) != F.col("first")) | F.col("id").isNotNull())).select(F.col(key).alias("gone_key")).distinct()
     return df.join(gone, df[key] == gone["gone_key"], "left_anti")
@@ -358,15 +357,15 @@ def _met(classes: DataFrame, similarity: float) -> DataFrame:
     return keyed.mapInArrow(lambda batches: (pair_out(*run) for run in _runs(batches)), "k bigint, a bigint, b bigint, n int")
 
 
-def _pivoted(hot: DataFrame, linked: DataFrame, verified, similarity: float) -> DataFrame:
-    """linked (a, b) with verified links that connect all that is similar under one k of hot (k, id, n).
+def _pivoted(hot: DataFrame, near: DataFrame, verified, similarity: float) -> DataFrame:
+    """near (id, component) after verified links that connect all that is similar under one k of hot (k, id, n).
 
     Pivots are compared with every member of another component and then leave. Members of the largest component
     go first, as what one of them found may be what all others are alike to.
     """
     lots = PIVOTS
     while not hot.isEmpty():
-        named = cut(hot.join(components(linked), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
+        named = cut(hot.join(near, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
         parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
         top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
         now = cut(named.join(parted, "k", "left_semi").join(top, "k"))
@@ -375,9 +374,9 @@ def _pivoted(hot: DataFrame, linked: DataFrame, verified, similarity: float) ->
         pivots = cut(pivots)
         lots *= MORE
         sided = pivots.toDF("k", "p", "pn", "pc").join(now, "k").filter((F.col("pc") != F.col("c")) & (F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9))
-        linked = linked.unionByName(verified(sided.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
+        near = contracted(near, verified(sided.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
         hot = cut(now.select("k", "id", "n").join(pivots.select("k", "id"), ["k", "id"], "left_anti"))
-    return linked
+    return near
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -386,6 +385,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.unique(_shingle_hashes(_words(t.as_py()), size).astype(np.uint32).view(np.int32)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=[key, "shingles"])
+            ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *rows])))], names=[key, "shingles"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, shingles array<int>")

@@ -290,7 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = parts[0].unionByName(parts[1]).select(F.col(key).alias("k"), "y")
     rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("k")).select("k", "y", text).collect()
     rows = sorted({r["k"]: r for r in rows}.values(), key=lambda r: r["k"])
-    return train([r[text] for r in rows], [int(r["y"]) for r in rows])
+    model = train([r[text] for r in rows], [int(r["y"]) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
