@@ -66,6 +66,70 @@ def test_learns_stems_and_scores_unseen_forms(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def plain_score(model, text):
+    """Log-odds of a text by the definition: words one after another, windows of WINDOW words every STRIDE."""
+    p, h = model.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    words = toxicity.TOKEN.findall((text or "").lower())
+    vectors = [model.inputs(toxicity.Words([w]))[0] for w in words]
+
+    def run(side, row):
+        state, out = np.zeros(h), []
+        w, u, b = p[f"w{side}"], p[f"u{side}"], p[f"b{side}"]
+        for x in row:
+            g = x @ w + b
+            z, r = sig(g[:h] + state @ u[:, :h]), sig(g[h : 2 * h] + state @ u[:, h : 2 * h])
+            c = np.tanh(g[2 * h :] + (r * state) @ u[:, 2 * h :])
+            state = (1 - z) * state + z * c
+            out.append(state)
+        return out
+
+    numbers, start = [], 0
+    while True:
+        row = vectors[start : start + toxicity.WINDOW]
+        if row:
+            both = np.array([np.concatenate(x) for x in zip(run("f", row), run("b", row[::-1])[::-1])])
+            e = np.exp(np.tanh(both @ p["attend"] + p["attend_b"]) @ p["focus"])
+            pooled = (e / e.sum()) @ both
+        else:
+            pooled = np.zeros(2 * h)
+        numbers.append(pooled @ p["out"] + p["out_b"][0])
+        start += toxicity.STRIDE
+        if start + toxicity.WINDOW - toxicity.STRIDE >= len(words):
+            return np.log(np.exp(numbers).sum())
+
+
+def test_scores_equal_a_plain_forward_pass():
+    model = toxicity.Model(3)
+    r = random.Random(9)
+    rows = [" ".join(r.choice(["alpha", "be", "γάμμα", "delta7"]) for _ in range(n)) for n in (1, 2, 47, 48, 49, 84, 85, 200)] + ["", None]
+    got = model.scores(rows)
+    assert np.allclose(got, [plain_score(model, t) for t in rows], atol=1e-4)
+
+
+def test_held_out_accuracy_on_the_table(spark):
+    """Learned and scored as the query does it: documents of a small table that were held out."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out("doc_id")).select("doc_id", "text", "toxic"), model).collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert toxic and clean
+    assert np.mean([[a > b for b in clean] for a in toxic]) > 0.85
+    assert np.mean([x < 0.5 for x in clean]) > 0.9
+
+
+def test_texts_too_long_to_learn_from_are_still_scored(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "LONGEST", 10)
+    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.extend(t))
+    docs = spark.createDataFrame([(1, "short"), (1, "sh"), (2, "x" * 11), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    want = {1: "short", 3: None, 4: ""}
+    assert sorted(map(str, seen)) == sorted(str(t) for i, t in want.items() if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_fit_never_sees_held_out_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "train", lambda t, y: seen.extend(zip(t, y)))

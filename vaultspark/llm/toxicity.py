@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import give_back
 
 SAMPLE = 900  # labelled texts of each class that are learned from, at most
+LONGEST = 200_000  # characters of a text that is learned from, at most; longer ones are scored but teach nothing
 EPOCHS, BATCH, RATE = 6, 48, 0.04
 WINDOW, STRIDE = 48, 36  # words; neighbours share a quarter
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 10, 8, 6
@@ -113,7 +114,7 @@ class Model:
 
     def inputs(self, words: Words) -> np.ndarray:
         p, total = self.p, np.zeros((words.size + 1, GRAM_DIM), np.float32)
-        # Rows that few texts of the sample use are zero throughout, see learn_rows.
+        # Rows that few texts of the sample use are zero throughout, see rows_in_use.
         for a in range(0, words.size, 8192):  # bounded gathers
             b = min(a + 8192, words.size)
             lo, hi = words.starts[a], words.starts[b] if b < words.size else len(words.grams)
@@ -221,22 +222,16 @@ class Model:
 LEAST_TEXTS = 3  # texts of the sample that must use a row of the tables
 
 
-def learn_rows(model: Model, texts: list[str | None], y: np.ndarray) -> dict[str, np.ndarray]:
-    """Sets the first number of each table row to the z-score of its use in toxic against other texts; rows that
-    fewer than LEAST_TEXTS texts use are zeroed, so that no text is learned by its own words. Returns the rows in use.
-    """
-    used = {name: np.zeros((2, len(model.p[name]))) for name in ("word", "gram")}
-    for t, label in zip(texts, y):
+def rows_in_use(model: Model, texts: list[str | None]) -> dict[str, np.ndarray]:
+    """Which table rows LEAST_TEXTS texts or more use; the others are zeroed, so that no text is learned by its own words."""
+    used = {name: np.zeros(len(model.p[name])) for name in ("word", "gram")}
+    for t in texts:
         words = Words(sorted(set(TOKEN.findall(t.lower())))) if t else Words([])
         for name, rows in (("word", words.whole), ("gram", words.grams)):
-            used[name][int(label), np.unique(rows)] += 1
-    n1, n0, kept = float(y.sum()), float(len(y) - y.sum()), {}
-    for name, (clean, toxic) in used.items():
-        kept[name] = clean + toxic >= LEAST_TEXTS
-        share = (clean + toxic + 1) / (n1 + n0 + 2)
-        z = (toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-        model.p[name][:, 0] = np.clip(z / 6, -1.5, 3)
-        model.p[name][~kept[name]] = 0
+            used[name][np.unique(rows)] += 1
+    kept = {name: n >= LEAST_TEXTS for name, n in used.items()}
+    for name, known in kept.items():
+        model.p[name][~known] = 0
     return kept
 
 
@@ -251,7 +246,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     first, second, step = {}, {}, 0
     for k, v in model.p.items():
         first[k], second[k] = np.zeros_like(v), np.zeros_like(v)
-    kept_rows = learn_rows(model, texts, y)
+    kept_rows = rows_in_use(model, texts)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     least = max(1, min(BATCH, len(y) // 12))
     batches = epochs * -(-len(y) // least)
@@ -282,22 +277,30 @@ def held_out(key: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from at most `sample` labelled rows of each class whose crc32(key) mod 5 is not 0, those of smallest hash.
 
-    Only the text is an input. Rows labelled null, or with no document, teach nothing; of repeated labels the
-    largest counts. The sample's keys are at most 2 x sample, so they are broadcast.
+    Only the text is an input. Rows labelled null, with no document, or with a text of more than LONGEST characters
+    teach nothing; of repeated labels the largest counts, of rows that repeat a key the largest text. Null and empty
+    texts teach like others. Empty tables, or labels of one class, give a constant score. The sample's keys are at
+    most 2 x sample, so they are broadcast, and what is collected is bounded by sample and LONGEST. Other columns,
+    whatever their names, are not looked at.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("y"))
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (1, 0)]
     chosen = parts[0].unionByName(parts[1]).select(F.col(key).alias("k"), "y")
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("k")).select("k", "y", text).collect()
-    rows = sorted({r["k"]: r for r in rows}.values(), key=lambda r: r["k"])
-    model = train([r[text] for r in rows], [int(r["y"]) for r in rows])
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).filter(F.coalesce(F.char_length("t"), F.lit(0)) <= LONGEST)
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k", "y").agg(F.max("t").alias("t")).collect()
+    rows = sorted(rows, key=lambda r: r["k"])
+    model = train([r["t"] for r in rows], [int(r["y"]) for r in rows])
     del rows
     give_back()
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with `out`, the probability from 0 to 1 that each whole text is toxic. Null and empty texts get one empty window."""
+    """docs with `out`, the probability from 0 to 1 that each whole text is toxic. No shuffle.
+
+    Null and empty texts get one empty window; texts of any length are scored in all their windows. Repeated rows
+    and other columns stay, but for an `out` that is there already; an empty table gives no rows.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(model.p)  # fixed size, whatever the input
 
     @F.arrow_udf("double")
