@@ -16,9 +16,10 @@ from vaultspark.llm.common import shared_root, table, until_exit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.5 or more go; nothing else does."""
+    """Documents whose toxicity score is 0.5 or more go; nothing else does. Null and empty texts are scored like others."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").filter(F.col("_score") < 0.5).drop("_score")
+    rows = toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model)
+    return rows.filter(F.col("score") < 0.5).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
