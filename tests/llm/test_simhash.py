@@ -145,3 +145,15 @@ def test_ids_of_any_size(spark):
     assert len({whole[i] for i in ids[:4]}) == 1 and whole[3] == 3
     df = spark.createDataFrame([(i, "one and the same text here") for i in ids], "doc_id long, text string")
     assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {-(1 << 63)}
+
+
+def test_sketches_never_undercount():
+    rng = np.random.default_rng(11)
+    for n, m in ((0, 0), (1, 1), (7, 9), (40, 33), (400, 410), (5000, 4100)):
+        for shared in (0, min(n, m) // 2, min(n, m)):
+            common = rng.integers(0, 1 << 64, shared, dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 64, k - shared, dtype=np.uint64)])) for k in (n, m))
+            bound = simhash.overlap(simhash._sketch(a), simhash._sketch(b), min(len(a), len(b)))
+            assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+    same = np.arange(300, dtype=np.uint64)  # all in one bucket: no count fits, and nothing is said
+    assert simhash._sketch(same) == b"" and simhash.overlap(b"", b"x", 5) == 5

@@ -12,6 +12,9 @@ Groups of equal keys are read in key order from a sorted partition. Inside a gro
 breadth-first and each fingerprint is reported once, so n fingerprints that are all near each other give
 n - 1 links and not n(n - 1) / 2; what was reached is never compared again.
 
+Before two sets of shingles are compared, their sketches are: counts in equal ranges of the hash, whose smaller
+ones sum up to no fewer than the sets share.
+
 `keep_one` needs every pair of some Jaccard similarity, which no radius vouches for and a forest of unverified
 links does not keep together. What fingerprints miss comes from an exact prefix filter: of n shingles in one
 global order, sets as similar as t share one of their first n - ceil(t n) + 1. The order is by hash, shingles
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import cut
+from vaultspark.llm.common import cut, give_back
 from vaultspark.llm.components import components, contracted
 from vaultspark.llm.line_dedup import small
 
@@ -125,41 +128,66 @@ def _bits(hashes: np.ndarray) -> int:
     return int(set_.view(np.uint64)[0]) if len(hashes) else 0
 
 
-def _prefix(hashes: np.ndarray, similarity: float, late: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of different shingles, and those of which a set as similar shares one: hashes in order, `late` ones last."""
-    rows = np.unique(hashes)
+def _prefix(rows: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """Those of a sorted set of shingles of which a set as similar shares one: hashes in order, `late` ones last."""
     last = late[np.minimum(np.searchsorted(late, rows), len(late) - 1)] == rows if len(late) else np.zeros(len(rows), bool)
     rows = np.concatenate([rows[~last], rows[last]])
-    return len(rows), rows[: len(rows) - math.ceil(similarity * len(rows) - 1e-9) + 1]
+    return rows[: len(rows) - math.ceil(similarity * len(rows) - 1e-9) + 1]
+
+
+BUCKET = 4  # shingles in a bucket of a sketch, about
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many different shingles fall into each of 2^k buckets of equal hash range, BUCKET or up to twice as many in each: one byte a count.
+
+    Empty where a count does not fit, which says nothing about the set.
+    """
+    level = max(0, (len(hashes) // BUCKET).bit_length() - 1)
+    counts = np.bincount((hashes >> np.uint64(1)) >> np.uint64(63 - level), minlength=1 << level) if len(hashes) else np.zeros(1, np.int64)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def overlap(x: bytes, y: bytes, n: int) -> int:
+    """No fewer than the shingles that two sets share, from their sketches; at most n, the smaller set's size."""
+    if not x or not y:
+        return n
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) > len(b):
+        a, b = b, a
+    return min(n, int(np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum()))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, late: np.ndarray | None = None) -> DataFrame:
     """(key, fp long, digest long) of every row, repeats included; null texts count as empty.
 
-    With `similarity`, also (n int, prefix array<long>): how many different shingles, and those that _prefix gives.
+    With `similarity`, also (n int, prefix array<long>, sketch binary): how many different shingles, those that
+    _prefix gives, and what _sketch gives.
 
     Words are runs of anything but ASCII white space, after lower-casing A-Z; fewer words than `size` form
     one shingle. `digest` is XXH64 of the words joined by spaces, to tell equal texts from equal fingerprints.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint" + (", n int, prefix array<bigint>" if similarity else "")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint" + (", n int, prefix array<bigint>, sketch binary" if similarity else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fp, digest, n, prefix = [], [], [], []
+            fp, digest, n, prefix, sketch = [], [], [], [], []
             for t in batch.column(1):
                 words = _words(t.as_py())
                 hashes = _shingle_hashes(words, size)
                 fp.append(_bits(hashes))
                 if similarity:
-                    many, first = _prefix(hashes, similarity, late)
-                    n.append(many)
-                    prefix.append(first.view(np.int64))
+                    rows = np.unique(hashes)
+                    n.append(len(rows))
+                    prefix.append(_prefix(rows, similarity, late).view(np.int64))
+                    sketch.append(_sketch(rows))
                 digest.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             as_long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, digest)]
-            more = [pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))] if similarity else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long, *more], names=[key, "fp", "digest", "n", "prefix"][: 3 + len(more)])
+            more = [pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())] if similarity else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long, *more], names=[key, "fp", "digest", "n", "prefix", "sketch"][: 3 + len(more)])
+            give_back()
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -284,12 +312,18 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows that repeat a key one stays.
     """
     prints = cut(fingerprints(df, key, text, size, similarity, _often(df, key, text, size)))
-    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("id is not null"))
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")).filter("id is not null"))
     maybe = cut(links(classes, radius, reach))
     met = cut(_met(classes, similarity))
     pairs, hot = met.filter("k is null").select("a", "b").distinct(), met.filter("k is not null").select("k", F.col("a").alias("id"), "n")
-    ends = maybe.selectExpr("a as id").union(maybe.selectExpr("b as id")).union(met.selectExpr("a as id")).union(met.selectExpr("b as id").filter("id is not null")).distinct()
-    sets = cut(shingle_sets(df.join(ends, df[key] == ends["id"], "left_semi"), key, text, size).dropDuplicates([key]))
+    sketches = classes.select("id", "n", "sketch")
+
+    @F.arrow_udf("boolean")
+    def may_be_alike(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for n_, m_, x_, y_ in zip(n.to_pylist(), m.to_pylist(), x.to_pylist(), y.to_pylist()):
+            out.append(overlap(x_, y_, min(n_, m_)) * (1 + similarity) >= similarity * (n_ + m_) - 1e-9)
+        return pa.array(out, pa.bool_())
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -301,9 +335,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         return pa.array(out, pa.bool_())
 
     def verified(some: DataFrame) -> DataFrame:
-        some = cut(some)
-        met_here = sets.join(small(some.selectExpr(f"a as {key}").union(some.selectExpr(f"b as {key}")).distinct()), key, "left_semi")
-        sided = some.join(met_here.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(met_here.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+        """Pairs of `some` that are similar. Sketches, of some bytes for each document, rule most others out before sets are read."""
+        sided = some.join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b")
+        left = cut(sided.filter(may_be_alike("n", "m", "x", "y")).select("a", "b"))
+        if left.isEmpty():
+            return left
+        ends = small(cut(left.select(F.col("a").alias("end")).union(left.select("b")).distinct()))
+        sets = cut(shingle_sets(df.join(ends, F.col(key) == F.col("end"), "left_semi"), key, text, size).groupBy(F.col(key).alias("id")).agg(F.first("shingles").alias("shingles")))
+        sided = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return cut(sided.filter(alike("x", "y")).select("a", "b"))
 
     near = cut(components(verified(maybe)))
