@@ -38,14 +38,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents as files source/lang/doc_id, zero-padded; one that ends in a notice is its directory's licence file."""
-    docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.lpad(F.col("doc_id").cast("string"), 19, "0"))
-    # The last line's own notice, by the same scan, tells licence files.
-    last = docs.select(path.alias("path"), F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), -1).alias("text"))
-    ends = licenses.scan(last, licence_file=F.lit(False)).filter("own_licence is not null").select(F.col("path").alias("p"))
-    files = docs.select(path.alias("path"), "text").join(ends, F.col("path") == F.col("p"), "left").select("path", "text", F.col("p").isNotNull().alias("ends"))
-    found = licenses.scan(files, licence_file=F.col("ends"))
-    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "own_licence", "own_score", "own_line", "licence", "inherited_from")
+    found = licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"), licence_file=licenses.LAST_LINE)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "own_licence", "own_score", "own_unit", "own_line", "licence", "inherited_from")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
