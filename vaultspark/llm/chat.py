@@ -93,8 +93,9 @@ def format_turns(roles: pa.Array, texts: pa.Array, template: Template) -> tuple[
     """(formatted turns as large_string, code points of header, code points of the escaped text) by row."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     pattern = "|".join(rf"({re.escape(c[0])})(\\*{re.escape(c[1:])})" for c in template.controls)
-    if pc.any(pc.match_substring_regex(texts, pattern)).as_py():
-        texts = pa.array([template.escape(t) for t in texts.to_pylist()], pa.large_string())
+    held = pc.match_substring_regex(texts, pattern)
+    if pc.any(held).as_py():  # only rows that hold a control string become Python strings
+        texts = pc.replace_with_mask(texts, held, pa.array([template.escape(t) for t in texts.filter(held).to_pylist()], pa.large_string()))
     coded = pc.fill_null(roles.cast(pa.string()), "").dictionary_encode()
     pairs = [template.segments(r) for r in coded.dictionary.to_pylist()]
     heads, tails = (pa.array([p[k] for p in pairs], pa.large_string()).take(coded.indices) for k in (0, 1))
@@ -104,6 +105,21 @@ def format_turns(roles: pa.Array, texts: pa.Array, template: Template) -> tuple[
 
 
 SCHEMA = "conv_id bigint, formatted string, spans array<struct<start:bigint,length:bigint>>"
+MOST_BYTES = (1 << 31) - 1  # of one Arrow string column
+
+
+def _conversations(ids: pa.Array, offsets: np.ndarray, data: pa.Buffer, first: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of conversations whose bytes lie one after another in `data`: at offsets, their spans from first[i] to first[i + 1]."""
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + MOST_BYTES, side="right")) - 1)
+        b = min(b, len(ids))
+        values = data.slice(int(offsets[a]), int(offsets[b] - offsets[a]))
+        texts = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer((offsets[a : b + 1] - offsets[a]).astype(np.int32)), values])
+        inner = pa.StructArray.from_arrays([pa.array(x[first[a] : first[b]]) for x in (starts, lengths)], names=["start", "length"])
+        spans = pa.ListArray.from_arrays(pa.array((first[a : b + 1] - first[a]).astype(np.int32)), inner)
+        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), texts, spans], names=["conv_id", "formatted", "spans"])
+        a = b
 
 
 def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
@@ -111,54 +127,71 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
 
     Rows go by turn (null first), then role and text, so repeated rows and ties have one order. Null texts and
     roles are empty; rows with a null conv_id are one conversation. Partitions are by conversation, sorted, and
-    read as a stream: memory holds a batch and the conversation being written, which is one output value.
-    An empty table gives no rows; extra columns are ignored.
+    read as a stream. Conversations are runs of turns in the buffer that turns were assembled in, which is the
+    result's own; only one that goes on past a batch is kept aside and joined. Memory holds a batch and the
+    conversation being written, which is one output value. An empty table gives no rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, text, spans, length, begun = None, [], [], 0, False
-        done: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            ids, texts, all_spans = zip(*done)
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=["conv_id", "formatted", "spans"])
+        held: list = []  # of the conversation that may go on: its id, then (bytes, span starts, span lengths, code points)
+
+        def release() -> Iterator[pa.RecordBatch]:
+            if held:
+                (name, *parts), before = held, 0
+                starts = []
+                for _, s, _, points in parts:
+                    starts.append(s + before)
+                    before += points
+                data = pa.py_buffer(b"".join(p[0] for p in parts))
+                starts, lengths = np.concatenate(starts), np.concatenate([p[2] for p in parts])
+                yield from _conversations(name, np.array([0, data.size]), data, np.array([0, len(starts)]), starts, lengths)
+                held.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             made, heads, bodies = format_turns(batch.column(2), batch.column(3), template)
-            sizes = pc.utf8_length(made).to_numpy()
-            ids, roles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            starts = [k for k in range(len(ids)) if k == 0 or ids[k] != ids[k - 1]] + [len(ids)]
-            values, bounds = memoryview(made.buffers()[2] or b""), np.frombuffer(made.buffers()[1], np.int64)
-            for a, b in zip(starts, starts[1:]):
-                if not begun or ids[a] != now:
-                    if begun:
-                        done.append((now, "".join(text), spans))
-                    now, text, spans, length, begun = ids[a], [], [], 0, True
-                text.append(str(values[bounds[a] : bounds[b]], "utf-8"))
-                for k in range(a, b):
-                    if roles[k] == "assistant":
-                        spans.append({"start": length + int(heads[k]), "length": int(bodies[k])})
-                    length += int(sizes[k])
-            if done:
-                yield flush()
-        if begun:
-            done.append((now, "".join(text), spans))
-            yield flush()
+            bytes_at, data = np.frombuffer(made.buffers()[1], np.int64), made.buffers()[2]
+            points = np.concatenate([[0], np.cumsum(pc.utf8_length(made).to_numpy())])
+            ids = batch.column(0)
+            known, values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (known[1:] != known[:-1])])
+            stops = np.r_[starts[1:], len(ids)]
+            counts = np.flatnonzero(pc.equal(pc.fill_null(batch.column(2), ""), "assistant").to_numpy(zero_copy_only=False))
+            owner = np.searchsorted(starts, counts, side="right") - 1
+            span_at, span_n = points[counts] - points[starts[owner]] + heads[counts], bodies[counts].astype(np.int64)
+            first = np.searchsorted(owner, np.arange(len(starts) + 1))
+
+            def part(c: int) -> tuple:
+                a, b = int(bytes_at[starts[c]]), int(bytes_at[stops[c]])
+                return data.slice(a, b - a).to_pybytes(), span_at[first[c] : first[c + 1]], span_n[first[c] : first[c + 1]], int(points[stops[c]] - points[starts[c]])
+
+            done = 0
+            if held and held[0][0].as_py() == ids[0].as_py():
+                held.append(part(0))
+                done = 1
+            if done < len(starts):
+                yield from release()
+                last = len(starts) - 1
+                yield from _conversations(ids.take(pa.array(starts[done:last])), bytes_at[starts[done : last + 1]], data, first[done : last + 1], span_at, span_n)
+                held += [ids.slice(int(starts[last]), 1), part(last)]
+        yield from release()
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     return rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and spans alone."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and spans alone.
+
+    A row for every row, repeated ones too; an empty table gives no rows; extra columns, whatever their names, are
+    ignored. Conversations of any length are read whole, one at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for c, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for c, text, spans in ((batch.column(k)[n].as_py() for k in range(3)) for n in range(batch.num_rows)):
                 turns = template.parse(text)
                 whole = "".join(f"{role}\n{t}\n" for role, t, _, _ in turns)
                 loss = "".join(template.unescape(text[s["start"] : s["start"] + s["length"]]) for s in spans)
@@ -168,4 +201,4 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
