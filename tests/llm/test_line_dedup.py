@@ -33,7 +33,7 @@ def test_banded_distance_equals_the_matrix(spark, t):
     assert [x[0] for x in df.select(line_dedup.within("a", "b", t)).collect()] == [lev(a, b) <= t for a, b in rows]
 
 
-@pytest.mark.parametrize("t,n,hot", [(1, 120, 4), (2, 50, 24)])
+@pytest.mark.parametrize("t,n,hot", [(1, 120, 4), (2, 50, 24), (2, 80, 3), (3, 60, 2)])
 def test_equals_brute_force_with_hot_keys(spark, monkeypatch, t, n, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(5)

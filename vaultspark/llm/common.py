@@ -50,4 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     until_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more: what was made of them has been written since."""
+    for df in frames:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import cut
+from vaultspark.llm.common import cut, discard
 
 
 HUB, HUBS = 1000, 100_000  # links of a hub at least, and the share of all links that makes one
@@ -59,8 +61,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         hub = max(HUB, before[0] // HUBS)
-        now = cut(_small(_large(now, hub if before[2] > hub else None), hub if before[2] > hub else None))
+        last, now = now, cut(_small(_large(now, hub if before[2] > hub else None), hub if before[2] > hub else None))
         after = _state(now)
+        discard(last)
         if after[:2] == before[:2]:
             break
         before = after
@@ -83,3 +86,52 @@ def contracted(named: DataFrame, edges: DataFrame) -> DataFrame:
     moved = cut(components(between)).toDF("c", "to")
     fresh = moved.select(F.col("c").alias("id"), F.col("c").alias("component")).join(named, "id", "left_anti")
     return cut(named.unionByName(fresh).join(moved, F.col("component") == F.col("c"), "left").select("id", F.coalesce("to", "component").alias("component")))
+
+
+PIVOTS, MORE = 1, 8  # pivots of a key in the first round, and how many times as many in each further one
+AHEAD = 3  # rounds before those, in which a member meets one pivot of all its keys
+
+
+def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
+    """near (id, component) after all links between members of one k of hot (k, id, n) that verified(a, b) lets pass.
+
+    First every member is compared with one pivot, the same for members of the same keys, which connects most of a
+    crowd of near copies by a pair for each. Then, round after round, some members of a key, its pivots, are compared
+    with every member of another component that they fit (a condition on n and the pivot's pn), and leave; keys of
+    one component only are done. Members of the largest component go first, as what one of them found may be what
+    all others are alike to. In the end all have met, or are connected: a crowd never has all its pairs compared.
+    """
+
+    def open_keys(seed: int) -> DataFrame:
+        """(k, id, n, c, out, h) of keys with several components: the component, whether it is not the key's largest, a hash."""
+        named = cut(hot.join(near, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
+        parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
+        top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
+        out = cut(named.join(parted, "k", "left_semi").join(top, "k").select("k", "id", "n", "c", (F.col("c") != F.col("top")).alias("out"), F.xxhash64(F.lit(seed), "id").alias("h")))
+        discard(named)
+        return out
+
+    def pivots_of(now: DataFrame, lots: int) -> DataFrame:
+        first = now.groupBy("k", F.pmod("h", F.lit(lots)).alias("lot")).agg(F.min(F.struct("out", "h", "id", "n", "c")).alias("p"))
+        return cut(first.select("k", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.h").alias("ph")))
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        return contracted(near, verified(pairs.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
+
+    for seed in range(AHEAD):
+        now = open_keys(seed)
+        if now.isEmpty():
+            return near
+        pivots = pivots_of(now, 1)
+        sided = now.join(pivots, "k").filter((F.col("pc") != F.col("c")) & fits)
+        near = meet(sided.groupBy("id").agg(F.min(F.struct("ph", "p")).alias("m")).select("id", "m.p"))
+        discard(now, pivots)
+    lots = PIVOTS
+    while not hot.isEmpty():
+        now = open_keys(AHEAD)
+        pivots = pivots_of(now, lots)
+        near = meet(now.join(pivots, "k").filter((F.col("pc") != F.col("c")) & fits))
+        hot = cut(now.select("k", "id", "n").join(pivots.select("k", F.col("p").alias("id")), ["k", "id"], "left_anti"))
+        discard(now, pivots)
+        lots *= MORE
+    return near

@@ -7,10 +7,10 @@ a place allows in lines as long or shorter (Li, Deng, Wang and Feng, Pass-Join,
 by a banded bit-parallel edit distance (Hyyro, 2003): a column of the band is two words of 2 x threshold + 1
 bits, folded over the characters.
 
-Equal lines are one before that. A segment that very many different lines share is not paired out: for
-threshold one, which is what refinement is exact for, such lines are posted again under everything but a
-sixteenth of the line, then everything but a sixteenth of that, and so on, down to one character, where a key
-holds no more lines than there are characters.
+Equal lines are one before that. A segment that very many different lines share is not paired out. For
+threshold one, such lines are posted again under everything but a sixteenth of the line, then everything but a
+sixteenth of that, and so on, down to one character, where a key holds no more lines than there are characters.
+For larger thresholds, they are compared with a few pivots a round, until all are connected or have met.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import cut
-from vaultspark.llm.components import components
+from vaultspark.llm.components import components, pivoted
 
 MIN_CHARS = 20  # shorter lines are compared for equality only: one edit makes another word of a short line
 HOT = 24  # different lines under a key that are still paired out
@@ -78,25 +78,25 @@ def _refined(hot: DataFrame, texts: DataFrame, windows: int) -> DataFrame:
     return child.join(texts, "h").select("h", "win", F.explode(F.expr(f"array({', '.join(rows)})")).alias("x")).select("x.k", "h", "x.own", "win")
 
 
-def candidates(docs: DataFrame, key: str, text: str, threshold: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) hashes of lines to verify, and (h, line, n) of the lines met."""
+def candidates(docs: DataFrame, key: str, text: str, threshold: int, min_chars: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(a, b) hashes of lines to verify, (h, line, n) of the lines met, and what is left to pivots: (k, id, n), n being 1 where a line posts."""
     lines = lines_of(docs, key, text).withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars).select(F.xxhash64("line").alias("h"), "line", "n")
     keys = posted(lines, threshold)
     shared = small(cut(_shared(keys)))
     members = cut(keys.join(shared, "k").distinct())
     texts = cut(lines.join(small(members.select("h").distinct()), "h").dropDuplicates(["h"]))
-    pairs, longest, windows, level = None, None, 1, members.withColumn("win", F.lit(0).cast("bigint"))
+    pairs, longest, windows, level, rest = None, None, 1, members.withColumn("win", F.lit(0).cast("bigint")), None
     while True:
         width = level.groupBy("k").agg(F.count("*").alias("lines"))
         heat = width.filter(F.col("lines") > HOT).select("k")
         if longest is not None and windows > 2 * longest:
             heat = heat.limit(0)
         own, probe = level.filter("own").select("k", F.col("h").alias("a")), level.select("k", F.col("h").alias("b"))
-        now = own.join(probe, "k").filter("a <> b")
-        if threshold == 1:
-            heat = cut(heat)
-            now = own.join(heat, "k", "left_anti").join(probe, "k").filter("a <> b")
+        heat = cut(heat)
+        now = own.join(heat, "k", "left_anti").join(probe, "k").filter("a <> b")
         pairs = now.select("a", "b") if pairs is None else pairs.unionByName(now.select("a", "b"))
+        if threshold > 1:
+            rest = cut(level.join(heat, "k", "left_semi").groupBy("k", F.col("h").alias("id")).agg(F.max(F.col("own").cast("int")).alias("n")))
         if threshold > 1 or heat.isEmpty():
             break
         if longest is None:
@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, key: str, text: str, threshold: int, min_chars:
         windows *= FAN
         hot = level.join(heat, "k", "left_semi").select("h", "win").distinct()
         level = cut(_refined(hot, texts, windows).distinct())
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, rest
 
 
 def within(a: str, b: str, threshold: int) -> Column:
@@ -140,9 +140,15 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     lines = cut(lines_of(docs, key, text).filter("line <> ''").select("doc", "row", "no", *marks()))
     distinct = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no", "row")).alias("first")))
-    maybe, texts = candidates(docs, key, text, threshold, min_chars)
-    sided = maybe.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    groups = components(sided.filter(within("x", "y", threshold)).select("a", "b"))
+    maybe, texts, rest = candidates(docs, key, text, threshold, min_chars)
+
+    def verified(some: DataFrame) -> DataFrame:
+        sided = some.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+        return sided.filter(within("x", "y", threshold)).select("a", "b")
+
+    groups = components(verified(maybe))
+    if rest is not None:
+        groups = pivoted(rest, cut(groups), verified, F.col("pn") + F.col("n") > 0)
     classed = distinct.join(groups, F.col("h") == F.col("id"), "left").withColumn("class", F.coalesce("component", "h")).withColumn("half", F.when(F.col("id").isNull(), F.col("g")))
     # Lines with near neighbours are grouped by component, all others by their own 128 bits.
     firsts = classed.groupBy("class", "half").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")

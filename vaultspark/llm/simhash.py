@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import cut, give_back
-from vaultspark.llm.components import components, contracted
+from vaultspark.llm.components import components, contracted, pivoted
 from vaultspark.llm.line_dedup import small
 
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -42,7 +42,6 @@ GOLAY = 0b101011100011
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (shift, bits), padded with zeros to 23
 PAIRS = ((0, 1), (0, 2), (1, 2))
 HOT = 16  # documents under a shingle that are still paired out
-PIVOTS, MORE = 8, 4  # pivots of a hotter shingle in the first round, and how many times as many in each further one
 SAMPLE, OFTEN, LATE = 64, 3, 50_000  # shingles in OFTEN of every SAMPLE-th document come late in the order, LATE at most
 
 
@@ -348,7 +347,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     near = cut(components(verified(maybe)))
     sided = pairs.join(maybe, ["a", "b"], "left_anti").join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left")
     near = contracted(near, verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
-    found = _pivoted(hot, near, verified, similarity)
+    found = pivoted(hot, near, verified, F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9)
     losers = found.filter("id <> component").select("id")
     gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col(key).isNotNull() & ((F.col(key) != F.col("first")) | F.col("id").isNotNull())).select(F.col(key).alias("gone_key")).distinct()
     return df.join(gone, df[key] == gone["gone_key"], "left_anti")
@@ -396,28 +395,6 @@ def _met(classes: DataFrame, similarity: float) -> DataFrame:
     return keyed.mapInArrow(lambda batches: (pair_out(*run) for run in _runs(batches)), "k bigint, a bigint, b bigint, n int")
 
 
-def _pivoted(hot: DataFrame, near: DataFrame, verified, similarity: float) -> DataFrame:
-    """near (id, component) after verified links that connect all that is similar under one k of hot (k, id, n).
-
-    Pivots are compared with every member of another component and then leave. Members of the largest component
-    go first, as what one of them found may be what all others are alike to.
-    """
-    lots = PIVOTS
-    while not hot.isEmpty():
-        named = cut(hot.join(near, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
-        parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
-        top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
-        now = cut(named.join(parted, "k", "left_semi").join(top, "k"))
-        rank = F.struct((F.col("c") != F.col("top")).alias("out"), F.xxhash64("id").alias("h"), "id", "n", "c")
-        pivots = now.groupBy("k", F.pmod(F.xxhash64("id"), F.lit(lots)).alias("lot")).agg(F.min(rank).alias("p")).select("k", "p.id", "p.n", "p.c")
-        pivots = cut(pivots)
-        lots *= MORE
-        sided = pivots.toDF("k", "p", "pn", "pc").join(now, "k").filter((F.col("pc") != F.col("c")) & (F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9))
-        near = contracted(near, verified(sided.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
-        hot = cut(now.select("k", "id", "n").join(pivots.select("k", "id"), ["k", "id"], "left_anti"))
-    return near
-
-
 def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(key, shingles array<int>): the sorted set of 32-bit hashes of each row's shingles."""
 
