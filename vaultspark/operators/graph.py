@@ -90,6 +90,26 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     return met.select(*links.columns, F.coalesce("by_path", "by_stem", "by_name").alias("resolved"))
 
 
+def resolve_assets(links: DataFrame, assets: DataFrame) -> DataFrame:
+    """links (source, link) with `resolved`: the asset at the folded path, else the only one of that file name.
+
+    assets: (path). Links that leave the folder, or that two assets could be, resolve to nothing.
+    """
+    from vaultspark.sources.notes import safe_target
+
+    name = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    folded = assets.select("path", T.fold(F.col("path")).alias("key")).distinct()
+    by_path = folded.groupBy("key").agg(F.min("path").alias("by_path"))
+    by_name = folded.groupBy(name("key").alias("name")).agg(F.count("*").alias("many"), F.min("path").alias("by_name")).filter("many = 1").drop("many")
+    keyed = links.withColumn("key", T.fold(safe_target(F.col("link")))).withColumn("name", name("key"))
+    return keyed.join(by_path, "key", "left").join(by_name, "name", "left").select(*links.columns, F.coalesce("by_path", "by_name").alias("resolved"))
+
+
+def attachment_of(entries: DataFrame, entry: str, attachment: str) -> DataFrame:
+    """(id, attachment) of one entry's attachment by its id: one row, or none."""
+    return entries.filter(F.col("id") == entry).select("id", F.explode("attachments").alias("attachment")).filter(F.col("attachment.id") == attachment)
+
+
 def redirect(entries: DataFrame, old: str, new: str, column: str = "relations") -> DataFrame:
     """Relations to `old` point to `new`, repeats and links of `new` to itself gone."""
     moved = F.transform(column, lambda r: r.withField("target", F.when(r["target"] == old, F.lit(new)).otherwise(r["target"])))

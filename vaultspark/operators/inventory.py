@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.operators.filters import review_reasons
@@ -59,6 +59,48 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, group:
     return keyed.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def retrieval_report(asked: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int = 5, group: str | None = None) -> DataFrame:
+    """answerable, recall_at_k, precision, mrr, unanswerable, correct_empty, by `group` of asked if given, with a total.
+
+    asked: (query_id) of all queries; ranked: (query_id, id, rank); relevant: (query_id, id). Precision is the share
+    of what was returned up to k that is relevant; correct_empty counts queries without a relevant entry that
+    returned nothing. Rates of no queries, and the precision of nothing returned, are null.
+    """
+    good = relevant.select("query_id", "id").distinct().withColumn("good", F.lit(1))
+    top = ranked.filter(F.col("rank") <= k).join(good, ["query_id", "id"], "left")
+    per = top.groupBy("query_id").agg(F.count("*").alias("returned"), F.sum(F.coalesce("good", F.lit(0))).alias("hits"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"))
+    answerable = good.select("query_id").distinct().withColumn("has", F.lit(True))
+    rows = asked.select("query_id", *([group] if group else [])).distinct().join(per, "query_id", "left").join(answerable, "query_id", "left")
+    rows = rows.withColumn("has", F.coalesce("has", F.lit(False))).withColumn("returned", F.coalesce("returned", F.lit(0)))
+    keyed = rows.rollup(group) if group else rows.groupBy()
+    return keyed.agg(
+        F.count_if("has").alias("answerable"),
+        F.round(F.avg(F.when(F.col("has"), F.col("first").isNotNull().cast("double"))), 6).alias("recall_at_k"),
+        F.round(F.sum("hits") / F.sum("returned"), 6).alias("precision"),
+        F.round(F.avg(F.when(F.col("has"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)))), 6).alias("mrr"),
+        F.count_if(~F.col("has")).alias("unanswerable"),
+        F.count_if(~F.col("has") & (F.col("returned") == 0)).alias("correct_empty"),
+    )
+
+
+def pending_attachments(found: DataFrame, most: int = 64) -> DataFrame:
+    """(sha256, duplicate_count, ...) of what waits in an inbox: of the newest `most` files one for each digest, oldest first.
+
+    found: (name, added_at, sha256, ...). The oldest of equal files stands for all.
+    """
+    rest = [c for c in found.columns if c not in ("sha256", "added_at", "name")]
+    chosen = found.orderBy(F.desc("added_at"), F.desc("name")).limit(most)
+    one = chosen.groupBy("sha256").agg(F.min(F.struct("added_at", "name", *rest)).alias("x"), F.count("*").alias("duplicate_count"))
+    return one.select("sha256", "duplicate_count", "x.*").orderBy("added_at", "name")
+
+
+def import_report(states: DataFrame, most: int = 50) -> DataFrame:
+    """(state, n, first): how many rows of (original_id, state) each state has, and the first `most` ids, sorted."""
+    distinct = states.select("state", "original_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("state").orderBy("original_id"))).filter(F.col("place") <= most)
+    lists = distinct.groupBy("state").agg(F.array_sort(F.collect_list("original_id")).alias("first"))
+    return states.groupBy("state").agg(F.count("*").alias("n")).join(lists, "state")
+
+
 def revision(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 

@@ -51,6 +51,21 @@ def budget(page_rows: DataFrame, by: list[Column], text: str, most: int) -> Data
     return page_rows.withColumn("granted", granted.cast("long"))
 
 
+MOST_RETRIEVED, MOST_BUDGET = 10, 100_000
+
+
+def retrieve(found: DataFrame, by: list[Column], text: str, limit: int = 5, most: int = 20_000, offset: int = 0) -> DataFrame:
+    """A page of ten entries at most with `granted` characters of a shared budget of 100,000 at most."""
+    if not 1 <= limit <= MOST_RETRIEVED or not 1 <= most <= MOST_BUDGET:
+        raise ValueError("limit lies between 1 and 10, and the budget between 1 and 100000")
+    return budget(page(found, by, limit, offset), by, text, most)
+
+
+def newest(df: DataFrame, at: str, key: str, most: int = 64) -> DataFrame:
+    """The newest `most` rows, oldest first."""
+    return df.orderBy(F.col(at).desc_nulls_last(), F.desc(key)).limit(most).orderBy(F.col(at).asc_nulls_first(), key)
+
+
 def evidence(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", most: int = 5, width: int = 240, lead: int = 60) -> DataFrame:
     """(id, n, line, excerpt): the first lines of each text that hold the folded query, five excerpts at most.
 

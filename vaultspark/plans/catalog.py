@@ -353,16 +353,8 @@ def tag_set_ops(spark, sf_dir):
     return parts.select("p_partkey", F.array_join(T.tag_remove(made, F.array(F.upper("p_type"))), " ").alias("tags"))
 
 
-@query("""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
-sh AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS h FROM w),
-m AS (SELECT item_id, doc_id, sh.text AS dtext FROM benchmark q JOIN sh ON sh.h = array_to_string(list_slice(string_split(q.text, ' '), 1, 3), ' ')),
-r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(dtext), doc_id) AS rank FROM m),
-qrels AS (SELECT item_id, doc_id FROM benchmark q JOIN documents d ON contains(d.text, q.text)),
-f AS (SELECT item_id, min(rank) AS rank FROM r JOIN qrels USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id),
-a AS (SELECT DISTINCT item_id FROM qrels)
-SELECT count(*) AS queries, round(avg((f.rank IS NOT NULL)::integer::double), 6) AS recall_at_k, round(avg(coalesce(1.0::double / f.rank, 0)), 6) AS mrr FROM a LEFT JOIN f USING (item_id)""")
-def retrieval_metrics(spark, sf_dir):
-    """Recall and reciprocal rank of a plain ranking: documents that hold an item's first three words, shortest first.
+def _by_first_words(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranked (query_id, id, rank) and relevant (query_id, id) documents of items (query_id, text).
 
     Relevant is every document that contains the whole item. Inside an item of five words or more its second to
     fourth words stand between spaces, so a document that contains the item has them as words: that is what the
@@ -370,15 +362,30 @@ def retrieval_metrics(spark, sf_dir):
     """
     from pyspark.sql import Window
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.split("text", " ").alias("ws"))
+    rows = docs.filter("text is not null").select(F.col("doc_id").alias("id"), F.char_length("text").alias("size"), F.split("text", " ").alias("ws"))
     places = F.when(F.size("ws") > 2, F.sequence(F.lit(1), F.size("ws") - 2)).otherwise(F.array().cast("array<int>"))
-    runs = docs.select("id", "body", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
+    runs = rows.select("id", "size", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
     three = lambda start: F.array_join(F.slice(F.split("text", " "), start, 3), " ")
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", three(1).alias("first"), three(2).alias("second"))
-    place = Window.partitionBy("query_id").orderBy(F.char_length("body"), "id")
+    asked = items.select("query_id", "text", three(1).alias("first"), three(2).alias("second"))
+    place = Window.partitionBy("query_id").orderBy("size", "id")
     ranked = runs.join(asked, F.col("h") == F.col("first")).withColumn("rank", F.row_number().over(place)).select("query_id", "id", "rank")
-    relevant = runs.join(asked, F.col("h") == F.col("second")).filter(F.col("body").contains(F.col("text"))).select("query_id", "id")
-    return inventory.retrieval_metrics(ranked, relevant, 5)
+    maybe = runs.join(asked, F.col("h") == F.col("second")).select("query_id", "id", "text")
+    whole = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return ranked, maybe.join(whole, "id").filter(F.col("body").contains(F.col("text"))).select("query_id", "id")
+
+
+@query("""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS h FROM w),
+m AS (SELECT item_id, doc_id, sh.text AS dtext FROM benchmark q JOIN sh ON sh.h = array_to_string(list_slice(string_split(q.text, ' '), 1, 3), ' ')),
+r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(dtext), doc_id) AS rank FROM m),
+qrels AS (SELECT item_id, doc_id FROM benchmark q JOIN documents d ON contains(d.text, q.text)),
+f AS (SELECT item_id, min(rank) AS rank FROM r JOIN qrels USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id),
+a AS (SELECT DISTINCT item_id FROM qrels)
+SELECT count(*) AS queries, round(avg((f.rank IS NOT NULL)::integer::double), 6) AS recall_at_k, round(avg(coalesce(1.0::double / f.rank, 0)), 6) AS mrr FROM a LEFT JOIN f USING (item_id)""")
+def retrieval_metrics(spark, sf_dir):
+    """Recall and reciprocal rank of a plain ranking: documents that hold an item's first three words, shortest first."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return inventory.retrieval_metrics(*_by_first_words(read(spark, sf_dir, "documents"), items), 5)
 
 
 @query("SELECT doc_id, (regexp_matches(coalesce(text, ''), 'licensed|Licensed'))::integer + 2 * (toxic IS NOT NULL AND toxic = 1)::integer AS state FROM documents LEFT JOIN labels USING (doc_id)")
@@ -504,3 +511,34 @@ def fetchable_urls(spark, sf_dir):
     """Addresses as a fetcher may open them; every third has a port of its own."""
     shown = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"^(https?://[^/?#]+)", "$1:8080")).otherwise(F.concat(F.lit(" "), F.col("url")))
     return read(spark, sf_dir, "pages").select("page_id", T.fetchable_url(shown).alias("url"))
+
+
+@query("""WITH l AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1, 'no such words'),
+w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS h FROM w),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(sh.text), doc_id) AS rank FROM l JOIN sh ON sh.h = array_to_string(list_slice(string_split(l.text, ' '), 1, 3), ' ')),
+g AS (SELECT query_id, doc_id FROM l JOIN documents d ON contains(d.text, l.text)),
+p AS (SELECT query_id, count(*) AS returned, count(g.doc_id) AS hits, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first FROM r LEFT JOIN g USING (query_id, doc_id) WHERE rank <= 5 GROUP BY query_id),
+a AS (SELECT query_id, query_id IN (SELECT query_id FROM g) AS has, coalesce(returned, 0) AS returned, hits, first FROM l LEFT JOIN p USING (query_id))
+SELECT count(*) FILTER (has) AS answerable, round(avg(CASE WHEN has THEN (first IS NOT NULL)::integer::double END), 6) AS recall_at_k, round(sum(hits) / sum(returned), 6) AS precision, round(avg(CASE WHEN has THEN coalesce(1.0::double / first, 0) END), 6) AS mrr, count(*) FILTER (NOT has) AS unanswerable, count(*) FILTER (NOT has AND returned = 0) AS correct_empty FROM a""")
+def retrieval_report(spark, sf_dir):
+    """Recall, precision, reciprocal rank and correct empty answers of the ranking of retrieval_metrics, with a query that nothing answers."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    items = items.unionByName(spark.createDataFrame([(-1, "no such words")], "query_id long, text string"))
+    return inventory.retrieval_report(items.select("query_id"), *_by_first_words(read(spark, sf_dir, "documents"), items), 5)
+
+
+@query("""WITH s AS (SELECT p_type AS state, p_partkey AS original_id FROM part), d AS (SELECT DISTINCT state, original_id FROM s)
+SELECT state, (SELECT count(*) FROM s x WHERE x.state = d.state) AS n, array_to_string(list_slice(list_sort(list(original_id)), 1, 50), ' ') AS first FROM d GROUP BY state""")
+def import_report(spark, sf_dir):
+    """Counts by state with the first fifty ids."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_type").alias("state"), F.col("p_partkey").alias("original_id"))
+    return inventory.import_report(rows).select("state", "n", F.array_join("first", " ").alias("first"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS name, c_nationkey AS added_at, c_mktsegment AS sha256 FROM customer ORDER BY added_at DESC, name DESC LIMIT 64)
+SELECT sha256, count(*) AS duplicate_count, min(added_at) AS added_at FROM c GROUP BY sha256""")
+def pending_attachments(spark, sf_dir):
+    """The newest 64 files of an inbox, one for each digest; customers by segment stand for them."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("added_at"), F.col("c_mktsegment").alias("sha256"))
+    return inventory.pending_attachments(rows).select("sha256", "duplicate_count", "added_at")
