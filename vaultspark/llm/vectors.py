@@ -1,4 +1,4 @@
-"""Vectors as rows of bytes, shared by operators 7 and 10."""
+"""Vectors that take part, and their directions: shared by operators 7 and 10."""
 
 from __future__ import annotations
 
@@ -14,14 +14,6 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(ok)
 
 
-def block_of(ids: np.ndarray, vectors: np.ndarray) -> tuple[bytes, bytes]:
-    return ids.astype("<i8").tobytes(), np.ascontiguousarray(vectors, dtype="<f8").tobytes()
-
-
-def from_block(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype="<i8"), np.frombuffer(vectors, dtype="<f8").reshape(-1, width)
-
-
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that neither tiny nor huge components under- or overflow."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
