@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts, for Java, RE2 and Python alike
 
@@ -55,6 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+LOCAL = 200_000  # rows of a few numbers that one task holds at most: some MB
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast only if a count proves it small."""
+    return F.broadcast(df) if df.count() <= LOCAL else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A table of cut() in one partition, if a count proves it small: what groups and joins it then needs no exchange."""
+    return df.coalesce(1) if df.count() <= LOCAL else df
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of cut() that nothing reads any more: what was made of them has been written since."""
     for df in frames:

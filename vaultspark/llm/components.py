@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import cut, discard
+from vaultspark.llm.common import LOCAL, cut, discard, gathered, small
 
 
 HUB, HUBS = 1000, 100_000  # links of a hub at least, and the share of all links that makes one
@@ -52,25 +52,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a, b: long); component is the smallest id reachable.
 
     Self-links, repeated and reversed links are fine; rows with a null end are ignored; no links give no rows.
-    Every round is written to the shared folder. Minima are made by map-side aggregates; a hub's rows are joined
+    Every round is written to the shared folder; a graph that a count proves small is followed in one task. Minima are made by map-side aggregates; a hub's rows are joined
     by broadcast, see _with_least.
     """
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(now)
+    read = gathered(now)
+    before = _state(read)
     for _ in range(rounds):
         if before[0] == 0:
             break
         hub = max(HUB, before[0] // HUBS)
-        last, now = now, cut(_small(_large(now, hub if before[2] > hub else None), hub if before[2] > hub else None))
-        after = _state(now)
+        some = hub if before[2] > hub and before[0] > LOCAL else None
+        last, now = now, cut(_small(_large(read, some), some))
+        read = now.coalesce(1) if before[0] <= LOCAL else now  # rounds make no more links than there were nodes and links
+        after = _state(read)
         discard(last)
         if after[:2] == before[:2]:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = now.groupBy("a").agg(F.min("b").alias("b"))
-    roots = now.select("b").distinct()
+    stars = read.groupBy("a").agg(F.min("b").alias("b"))
+    roots = read.select("b").distinct()
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
 
 
@@ -79,6 +82,7 @@ def contracted(named: DataFrame, edges: DataFrame) -> DataFrame:
 
     Only links between components are followed, so the graph is as small as what the new links join.
     """
+    named, edges = gathered(named), gathered(edges)
     sided = edges.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
     between = cut(sided.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
     if between.isEmpty():
@@ -88,8 +92,8 @@ def contracted(named: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(named.unionByName(fresh).join(moved, F.col("component") == F.col("c"), "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
-PIVOTS, MORE = 1, 8  # pivots of a key in the first round, and how many times as many in each further one
-AHEAD = 3  # rounds before those, in which a member meets one pivot of all its keys
+PIVOTS, MORE = 4, 8  # pivots of a key in the first round, and how many times as many in each further one
+AHEAD = 1  # rounds before those, in which a member meets one pivot of all its keys
 
 
 def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
@@ -104,7 +108,7 @@ def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], Dat
 
     def open_keys(seed: int) -> DataFrame:
         """(k, id, n, c, out, h) of keys with several components: the component, whether it is not the key's largest, a hash."""
-        named = cut(hot.join(near, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
+        named = cut(gathered(hot).join(gathered(near), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c")))
         parted = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
         top = named.groupBy("k", "c").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "c")).alias("x")).select("k", F.col("x.c").alias("top"))
         out = cut(named.join(parted, "k", "left_semi").join(top, "k").select("k", "id", "n", "c", (F.col("c") != F.col("top")).alias("out"), F.xxhash64(F.lit(seed), "id").alias("h")))
@@ -112,26 +116,28 @@ def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], Dat
         return out
 
     def pivots_of(now: DataFrame, lots: int) -> DataFrame:
+        now = gathered(now)
         first = now.groupBy("k", F.pmod("h", F.lit(lots)).alias("lot")).agg(F.min(F.struct("out", "h", "id", "n", "c")).alias("p"))
         return cut(first.select("k", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.h").alias("ph")))
 
     def meet(pairs: DataFrame) -> DataFrame:
         return contracted(near, verified(pairs.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
 
+    if hot.isEmpty():
+        return near
     for seed in range(AHEAD):
         now = open_keys(seed)
-        if now.isEmpty():
-            return near
         pivots = pivots_of(now, 1)
-        sided = now.join(pivots, "k").filter((F.col("pc") != F.col("c")) & fits)
+        sided = gathered(now).join(pivots, "k").filter((F.col("pc") != F.col("c")) & fits)
         near = meet(sided.groupBy("id").agg(F.min(F.struct("ph", "p")).alias("m")).select("id", "m.p"))
         discard(now, pivots)
     lots = PIVOTS
     while not hot.isEmpty():
         now = open_keys(AHEAD)
         pivots = pivots_of(now, lots)
-        near = meet(now.join(pivots, "k").filter((F.col("pc") != F.col("c")) & fits))
-        hot = cut(now.select("k", "id", "n").join(pivots.select("k", F.col("p").alias("id")), ["k", "id"], "left_anti"))
+        # Here rows multiply, so members are spread over tasks.
+        near = meet(now.repartition(F.col("id")).join(small(pivots), "k").filter((F.col("pc") != F.col("c")) & fits))
+        hot = cut(gathered(now).select("k", "id", "n").join(pivots.select("k", F.col("p").alias("id")), ["k", "id"], "left_anti"))
         discard(now, pivots)
         lots *= MORE
     return near

@@ -18,20 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import cut
+from vaultspark.llm.common import cut, small
 from vaultspark.llm.components import components, pivoted
 
 MIN_CHARS = 20  # shorter lines are compared for equality only: one edit makes another word of a short line
 HOT = 24  # different lines under a key that are still paired out
-SMALL = 200_000  # rows of two longs that are broadcast at most: 3.2 MB; more are joined by shuffle
 FAN = 16
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast only if a count proves it small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, row, no, line) of every line of rows with a key; null texts have none. `row` tells apart rows that repeat a key."""
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())

@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import cut, give_back
+from vaultspark.llm.common import cut, discard, give_back, small
 from vaultspark.llm.components import components, contracted, pivoted
-from vaultspark.llm.line_dedup import small
 
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GOLAY = 0b101011100011
@@ -335,14 +334,19 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     def verified(some: DataFrame) -> DataFrame:
         """Pairs of `some` that are similar. Sketches, of some bytes for each document, rule most others out before sets are read."""
-        sided = some.join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b")
+        some = cut(some)
+        if some.isEmpty():
+            return some
+        sided = small(some).join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b")
         left = cut(sided.filter(may_be_alike("n", "m", "x", "y")).select("a", "b"))
         if left.isEmpty():
             return left
-        ends = small(cut(left.select(F.col("a").alias("end")).union(left.select("b")).distinct()))
-        sets = cut(shingle_sets(df.join(ends, F.col(key) == F.col("end"), "left_semi"), key, text, size).groupBy(F.col(key).alias("id")).agg(F.first("shingles").alias("shingles")))
-        sided = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return cut(sided.filter(alike("x", "y")).select("a", "b"))
+        ends = cut(left.select(F.col("a").alias("end")).union(left.select("b")).distinct())
+        sets = cut(shingle_sets(df.join(small(ends), F.col(key) == F.col("end"), "left_semi"), key, text, size).groupBy(F.col(key).alias("id")).agg(F.first("shingles").alias("shingles")))
+        sided = small(left).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        out = cut(sided.filter(alike("x", "y")).select("a", "b"))
+        discard(some, left, ends, sets)
+        return out
 
     near = cut(components(verified(maybe)))
     sided = pairs.join(maybe, ["a", "b"], "left_anti").join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left")
