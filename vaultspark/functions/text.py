@@ -19,6 +19,10 @@ WORD_ENDINGS = ("e", "en", "es", "n", "s")  # fixed values, in the order they ar
 PLAIN = r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0481\u048a-\u052f\u2010\u2012-\u2016\u2018-\u2023\u2030\u2039\u203a\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
 
 
+#: Any other character; ASCII, the bulk of most texts, is told apart by one comparison.
+OTHER = rf"[\x{{80}}-\x{{10ffff}}&&[^{PLAIN}]]"
+
+
 def _folded(char: str) -> str:
     return unicodedata.normalize("NFKC", char).casefold()
 
@@ -52,7 +56,7 @@ def fold(c: Column) -> Column:
     other = F.translate(c, singles, made)
     for char, many in several:
         other = F.replace(other, F.lit(char), F.lit(many))
-    return F.replace(F.lower(F.when(c.rlike(f"[^{PLAIN}]"), other).otherwise(c)), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(F.when(c.rlike(OTHER), other).otherwise(c)), F.lit("ß"), F.lit("ss"))
 
 
 @F.pandas_udf(StringType())

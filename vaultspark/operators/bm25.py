@@ -17,18 +17,15 @@ DIGITS = 9  # scores are rounded, so that equal ones compare equal on every engi
 
 
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of every document; lengths count repeats.
+    """(term, id, tf) and (id, length) of every document; lengths count repeats. Keys are taken to be unique.
 
-    A document's tokens are counted in its own row, as runs of its sorted tokens, so nothing is shuffled. Rows that
-    repeat a key are documents of their own.
+    A document's tokens are counted where they are made, before anything is shuffled, and a filter on terms goes
+    below the count.
     """
-    body = T.fold(F.coalesce(F.col(text), F.lit("")))
-    sorted_bag = F.array_sort(F.regexp_extract_all(body, F.lit(T.WHOLE_TOKEN), F.lit(0)))
-    # The places where a run of equal tokens ends; the one before tells its length.
-    ends = F.transform(F.array(sorted_bag), lambda bag: F.transform(F.filter(F.transform(bag, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("end"), F.get(bag, i + 1).eqNullSafe(w).alias("more"))), lambda x: ~x["more"]), lambda x: F.struct(x["term"].alias("term"), x["end"].alias("end"))))
-    runs = docs.select(F.col(key).alias("id"), F.explode(ends).alias("runs")).select("id", F.explode(F.transform("runs", lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.when(i == 0, 0).otherwise(F.get("runs", i - 1)["end"])).cast("long").alias("tf")))).alias("r"))
-    lengths = docs.select(F.col(key).alias("id"), F.regexp_count(body, F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
-    return runs.select("r.term", "id", "r.tf"), lengths
+    body = F.coalesce(F.col(text), F.lit(""))
+    terms = docs.select(F.col(key).alias("id"), F.explode(T.tokens(body)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    lengths = docs.select(F.col(key).alias("id"), F.regexp_count(T.fold(body), F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
+    return terms.select("term", "id", "tf"), lengths
 
 
 def query_terms(spark, queries: dict[str, str]) -> DataFrame:
