@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from vaultspark.llm import simhash
 from vaultspark.llm.components import components
@@ -157,3 +158,17 @@ def test_sketches_never_undercount():
             assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
     same = np.arange(300, dtype=np.uint64)  # all in one bucket: no count fits, and nothing is said
     assert simhash._sketch(same) == b"" and simhash.overlap(b"", b"x", 5) == 5
+
+
+def test_ranges_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], []
+    for n in (0, 1, 5, 40, 300, 900):
+        for share in (0.0, 0.7, 0.95, 1.0):
+            common = rng.integers(0, 1 << 64, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 64, n - len(common), dtype=np.uint64)])) for _ in range(2))
+            rows.append((len(a), simhash._ranges(a).tolist(), len(b), simhash._ranges(b).tolist()))
+            want.append(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)))
+    df = spark.createDataFrame(rows, "n int, x array<long>, m int, y array<long>")
+    got = [r[0] for r in df.select(simhash.may_overlap(F.col("n"), F.col("x"), F.col("m"), F.col("y"), 0.8)).collect()]
+    assert all(g or not w for g, w in zip(got, want)) and not all(got)

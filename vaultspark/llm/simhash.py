@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import cut, discard, give_back, small
@@ -146,6 +146,19 @@ def _sketch(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _ranges(hashes: np.ndarray) -> np.ndarray:
+    """Which of 256 equal ranges of the hash hold a shingle: four 64-bit words."""
+    held = np.zeros(256, np.uint8)
+    held[(hashes >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(held, bitorder="little").view(np.int64)
+
+
+def may_overlap(n: Column, bits: Column, m: Column, other: Column, similarity: float) -> Column:
+    """False only for sets that cannot be similar: every range that one holds and the other does not is a shingle not shared."""
+    alone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    return F.least(n - alone(bits, other), m - alone(other, bits)) * (1 + similarity) >= similarity * (n + m) - 1e-9
+
+
 def overlap(x: bytes, y: bytes, n: int) -> int:
     """No fewer than the shingles that two sets share, from their sketches; at most n, the smaller set's size."""
     if not x or not y:
@@ -159,19 +172,19 @@ def overlap(x: bytes, y: bytes, n: int) -> int:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, late: np.ndarray | None = None) -> DataFrame:
     """(key, fp long, digest long) of every row, repeats included; null texts count as empty.
 
-    With `similarity`, also (n int, prefix array<long>, sketch binary): how many different shingles, those that
-    _prefix gives, and what _sketch gives.
+    With `similarity`, also (n int, prefix array<long>, sketch binary, bits array<long>): how many different
+    shingles, those that _prefix gives, and what _sketch and _ranges give.
 
     Words are runs of anything but ASCII white space, after lower-casing A-Z; fewer words than `size` form
     one shingle. `digest` is XXH64 of the words joined by spaces, to tell equal texts from equal fingerprints.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint" + (", n int, prefix array<bigint>, sketch binary" if similarity else "")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, fp bigint, digest bigint" + (", n int, prefix array<bigint>, sketch binary, bits array<bigint>" if similarity else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fp, digest, n, prefix, sketch = [], [], [], [], []
+            fp, digest, n, prefix, sketch, bits = [], [], [], [], [], []
             for t in batch.column(1):
                 words = _words(t.as_py())
                 hashes = _shingle_hashes(words, size)
@@ -181,10 +194,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
                     n.append(len(rows))
                     prefix.append(_prefix(rows, similarity, late).view(np.int64))
                     sketch.append(_sketch(rows))
+                    bits.append(_ranges(rows))
                 digest.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             as_long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, digest)]
-            more = [pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())] if similarity else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long, *more], names=[key, "fp", "digest", "n", "prefix", "sketch"][: 3 + len(more)])
+            more = [pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))] if similarity else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *as_long, *more], names=[key, "fp", "digest", "n", "prefix", "sketch", "bits"][: 3 + len(more)])
             give_back()
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -310,10 +324,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows that repeat a key one stays.
     """
     prints = cut(fingerprints(df, key, text, size, similarity, _often(df, key, text, size)))
-    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")).filter("id is not null"))
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")).filter("id is not null"))
     maybe = cut(links(classes, radius, reach))
     met = cut(_met(classes, similarity))
-    pairs, hot = met.filter("k is null").select("a", "b").distinct(), met.filter("k is not null").select("k", F.col("a").alias("id"), "n")
+    pairs, hot = met.filter("k is null").select("a", "b").distinct(), met.filter("k is not null").select("k", F.col("a").alias("id"))
+    hot = cut(hot.join(classes.select("id", F.struct("n", "bits").alias("n")), "id").select("k", "id", "n"))
     sketches = classes.select("id", "n", "sketch")
 
     @F.arrow_udf("boolean")
@@ -351,7 +366,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     near = cut(components(verified(maybe)))
     sided = pairs.join(maybe, ["a", "b"], "left_anti").join(near.toDF("a", "ca"), "a", "left").join(near.toDF("b", "cb"), "b", "left")
     near = contracted(near, verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
-    found = pivoted(hot, near, verified, F.least("pn", "n") >= similarity * F.greatest("pn", "n") - 1e-9)
+    found = pivoted(hot, near, verified, may_overlap(F.col("pn.n"), F.col("pn.bits"), F.col("n.n"), F.col("n.bits"), similarity))
     losers = found.filter("id <> component").select("id")
     gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col(key).isNotNull() & ((F.col(key) != F.col("first")) | F.col("id").isNotNull())).select(F.col(key).alias("gone_key")).distinct()
     return df.join(gone, df[key] == gone["gone_key"], "left_anti")
