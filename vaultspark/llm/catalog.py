@@ -1,11 +1,11 @@
-"""Queries op1 to op10: thin applications of the operators to whole tables."""
+"""Queries op1 to op13: thin applications of the operators to whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, chat, embedding_dedup, html_text, licenses, line_dedup, mixing, permutation_index, simhash, toxicity
+from vaultspark.llm import bpe, chat, compression_quality, embedding_dedup, html_text, licenses, line_dedup, merkle, mixing, permutation_index, simhash, toxicity, wand
 from vaultspark.llm.common import table
 
 
@@ -79,7 +79,35 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op4_licenses, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by language, each row's proof, and where it leads from a row that may be tampered with."""
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    n = F.col("n_chars").cast("decimal(20,0)")
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf(n + 1)).otherwise(leaf(n))
+    found = merkle.manifest(docs, leaf(n), keep=(claimed.alias("claimed"),))
+    folded = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wand.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by dictionaries learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", compression_quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_bpe, op4_licenses, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_html_text, op9_toxicity, op10_permutation_index, op11_merkle, op12_wand, op13_compression_quality)}
 _LOOSE = r"<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<ROLE:|<\\*</ROLE>>"
 
 ORACLES: dict[str, str] = {
@@ -98,4 +126,43 @@ x AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, x.b FROM r JOIN x ON r.b = x.a),
 n AS (SELECT a, count(*) AS n FROM x GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::bigint AS n_links, c AS component_id, vec_id = c AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
+    "op11_merkle": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, [doc_id::varchar, source, lang] AS head, text, list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+d AS (SELECT doc_id, lang, sha256(array_to_string(list_transform(list_concat(head, [n_chars::varchar, text]), lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS leaf,
+  sha256(array_to_string(list_transform(list_concat(head, [(n_chars::hugeint + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)::varchar, text]), lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS claimed FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+trees(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[(i + 1):(i + 2)], ''))) FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM trees WHERE len(nodes) = 1),
+top(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[(i + 1):(i + 2)], ''))) FROM top WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.doc_id, p.lang, p.pos, t.level, (p.pos >> t.level) % 2 AS side, coalesce(t.nodes[xor(p.pos >> t.level, 1) + 1], '') AS sibling
+  FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang AND len(t.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.pos, 100 + t.level, (s.pos >> t.level) % 2, coalesce(t.nodes[xor(s.pos >> t.level, 1) + 1], '')
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN top t ON len(t.nodes) > 1),
+proofs AS (SELECT p.lang, p.pos, p.doc_id, p.leaf, p.claimed, coalesce(list(struct_pack(side := side, sibling := sibling) ORDER BY level) FILTER (level IS NOT NULL), []) AS path
+  FROM placed p LEFT JOIN steps s ON p.lang IS NOT DISTINCT FROM s.lang AND p.pos = s.pos GROUP BY ALL),
+folds(lang, pos, k, acc) AS (
+  SELECT lang, pos, 0, claimed FROM proofs
+  UNION ALL SELECT f.lang, f.pos, k + 1, sha256(CASE WHEN path[k + 1].side = 1 THEN path[k + 1].sibling || acc ELSE acc || path[k + 1].sibling END)
+  FROM folds f JOIN proofs p ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos WHERE k < len(path)),
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(array_to_string(list_transform(p.path, lambda x: x.sibling), '')) AS proof_sha256, f.acc AS folded_root, f.acc = root.root AS verified
+FROM proofs p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN folds f ON f.lang IS NOT DISTINCT FROM p.lang AND f.pos = p.pos AND f.k = len(p.path) CROSS JOIN root""",
+    "op12_wand": """
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS term FROM documents),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::bigint AS n FROM held GROUP BY doc_id),
+stats AS (SELECT count(*) AS docs, sum(n)::bigint AS total FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM held, stats GROUP BY term, docs),
+norms AS (SELECT doc_id, 10 + (90 * n * docs) // total AS m FROM sizes, stats),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""".replace("{term}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"),
 }
