@@ -56,8 +56,16 @@ class Shard:
         self.ids, self.starts = np.unique(ids[order], return_index=True)
         self.maxima = np.maximum.reduceat(self.impacts, self.starts) if len(ids) else np.zeros(0, np.int64)
         self.ends = np.append(self.starts[1:], len(ids))
+        self.floors: dict[tuple[int, int], int] = {}
         self.scored = 0  # documents that were scored to the end
 
+    def _floor(self, at: int, k: int) -> int:
+        """The k-th largest impact of a list: k documents score that much by its term alone."""
+        if (at, k) not in self.floors:
+            own = self.impacts[self.starts[at] : self.ends[at]]
+            self.floors[at, k] = int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else 0
+        return self.floors[at, k]
+
     def search(self, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the k best documents of the shard for sorted term ids, of those that score `least` or more; ties to the earlier."""
         at = np.searchsorted(self.ids, query)
@@ -67,6 +75,7 @@ class Shard:
         lists = [(self.docs[a:b], self.impacts[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
         maxima = self.maxima[at]
         reach = np.cumsum(maxima)  # what a document in the first lists alone can score
+        least = max([least, *(self._floor(i, k) for i in at.tolist())])
         best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         low, width = 0, FIRST_WINDOW
         while low < self.size:
