@@ -38,7 +38,7 @@ class Model:
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary)
+    data = zstandard.ZstdCompressionDict(dictionary)  # plain bytes count as content
     data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
@@ -61,7 +61,7 @@ def _dictionary(texts: list[bytes]) -> bytes | None:
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(parts)[-DICTIONARY:] or None
+        return b"\n".join(parts)[-DICTIONARY:] or None
 
 
 def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -79,7 +79,7 @@ def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
 
 
 def train(texts: list[str | None], good: list[int], share: float | None = None) -> Model:
-    """Dictionaries from every other text of each class, the curve from the rest. `share`: of good texts among all that are labelled.
+    """Dictionaries from half of the texts of each class, drawn at random, the curve from the rest. `share`: of good texts among all that are labelled.
 
     With fewer than two texts of a class there is nothing to compare: every score is then that of the larger class.
     """
@@ -88,7 +88,8 @@ def train(texts: list[str | None], good: list[int], share: float | None = None)
         return Model(None, None, 0.0, 4.0 if len(y) and y.mean() >= 0.5 else -4.0)
     seen = Counter(line for t in raw for line in set(t.split(b"\n")))
     own = [b"\n".join(line for line in t.split(b"\n") if seen[line] == 1) for t in raw]
-    rows = {c: np.flatnonzero(y == c) for c in (1, 0)}
+    order = np.random.default_rng(13).permutation(len(y))
+    rows = {c: order[y[order] == c] for c in (1, 0)}
     books = {c: _dictionary([own[i] for i in rows[c][::2]]) for c in (1, 0)}
     if books[1] is None or books[0] is None:
         return Model(None, None, 0.0, 4.0 if y.mean() >= 0.5 else -4.0)
