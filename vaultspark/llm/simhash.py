@@ -304,14 +304,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     """(key, fp, component_id) of every row: component_id is the smallest key reachable by links of <= radius bits.
 
     Texts without words have fingerprint zero and link like any other; null texts count as empty; an empty
-    table gives no rows; extra columns are ignored. Rows that repeat a key are kept as rows; null keys get
+    table gives no rows; extra columns, whatever their names, are ignored; texts of any length count whole. Rows that repeat a key are kept as rows; null keys get
     the component of the equal fingerprints. Equal fingerprints are one class before anything is compared.
     """
-    prints = cut(fingerprints(df, key, text, size).select(key, "fp"))
-    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("id")))
+    docs = df.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))  # own names, whatever those of df
+    prints = cut(fingerprints(docs, "doc_key", "doc_text", size).select("doc_key", "fp"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_key").alias("id")))
     found = components(links(classes.filter("id is not null"), radius))
     named = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    return prints.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 5, reach: int = 14) -> DataFrame:
@@ -320,11 +321,13 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     Documents link if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more, and
     every such pair ends in one group: candidates are fingerprints within `radius` bits, or `reach` where they share
     a key, and then all that an exact prefix filter leaves and that is not connected yet. Equal word sequences
-    always link. Documents without words are one group. Columns stay as they are; rows with a null key stay; of
-    rows that repeat a key one stays.
+    always link. Documents without words are one group. Columns stay as they are, whatever their names; rows with a
+    null key stay; of rows that repeat a key one stays. Texts of any length count whole. Similarity is that of sets of
+    32-bit hashes of shingles: equal hashes of different shingles shift it by about n / 2 ** 32 for n shingles.
     """
-    prints = cut(fingerprints(df, key, text, size, similarity, _often(df, key, text, size)))
-    classes = cut(prints.groupBy("fp", "digest").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")).filter("id is not null"))
+    docs = df.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))  # own names, whatever those of df
+    prints = cut(fingerprints(docs, "doc_key", "doc_text", size, similarity, _often(docs, "doc_key", "doc_text", size)))
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min("doc_key").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")).filter("id is not null"))
     maybe = cut(links(classes, radius, reach))
     met = cut(_met(classes, similarity))
     pairs, hot = met.filter("k is null").select("a", "b").distinct(), met.filter("k is not null").select("k", F.col("a").alias("id"))
@@ -357,7 +360,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         if left.isEmpty():
             return left
         ends = cut(left.select(F.col("a").alias("end")).union(left.select("b")).distinct())
-        sets = cut(shingle_sets(df.join(small(ends), F.col(key) == F.col("end"), "left_semi"), key, text, size).groupBy(F.col(key).alias("id")).agg(F.first("shingles").alias("shingles")))
+        sets = cut(shingle_sets(docs.join(small(ends), F.col("doc_key") == F.col("end"), "left_semi"), "doc_key", "doc_text", size).groupBy(F.col("doc_key").alias("id")).agg(F.first("shingles").alias("shingles")))
         sided = small(left).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         out = cut(sided.filter(alike("x", "y")).select("a", "b"))
         discard(some, left, ends, sets)
@@ -368,7 +371,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     near = contracted(near, verified(sided.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")))
     found = pivoted(hot, near, verified, may_overlap(F.col("pn.n"), F.col("pn.bits"), F.col("n.n"), F.col("n.bits"), similarity))
     losers = found.filter("id <> component").select("id")
-    gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col(key).isNotNull() & ((F.col(key) != F.col("first")) | F.col("id").isNotNull())).select(F.col(key).alias("gone_key")).distinct()
+    gone = prints.join(classes.withColumnRenamed("id", "first"), ["fp", "digest"]).join(losers, F.col("first") == F.col("id"), "left").filter(F.col("doc_key").isNotNull() & ((F.col("doc_key") != F.col("first")) | F.col("id").isNotNull())).select(F.col("doc_key").alias("gone_key")).distinct()
     return df.join(gone, df[key] == gone["gone_key"], "left_anti")
 
 
