@@ -1,9 +1,12 @@
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from vaultspark.llm import components as components_module
 from vaultspark.llm import simhash
 from vaultspark.llm.components import components
 
@@ -172,3 +175,21 @@ def test_ranges_rule_out_no_similar_pair(spark):
     df = spark.createDataFrame(rows, "n int, x array<long>, m int, y array<long>")
     got = [r[0] for r in df.select(simhash.may_overlap(F.col("n"), F.col("x"), F.col("m"), F.col("y"), 0.8)).collect()]
     assert all(g or not w for g, w in zip(got, want)) and not all(got)
+
+
+def test_columns_may_have_any_helper_s_name(spark):
+    """A table with a column for every name that the module uses gives what the bare table gives."""
+    source = Path(simhash.__file__).read_text() + Path(components_module.__file__).read_text()
+    names = sorted({n.lower() for n in re.findall(r"\b[A-Za-z_][A-Za-z_0-9]*\b", " ".join(re.findall(r'"([^"\n]*)"', source)))} - {"doc_id", "text"})
+    assert {"end", "fp", "gone_key", "id", "component"} <= set(names)
+    words = [f"w{k}" for k in range(300)]
+    r = random.Random(4)
+    base = [r.choice(words) for _ in range(80)]
+    docs = [(0, " ".join(base)), (1, " ".join(base[:-2] + ["x", "y"])), (2, " ".join(base)), (3, " ".join(r.choice(words) for _ in range(60))), (4, ""), (5, None)]
+    bare = spark.createDataFrame(docs, "doc_id long, text string")
+    wide = bare.select("*", *[F.lit(7).alias(n) for n in names])
+    assert sorted(x.doc_id for x in simhash.keep_one(wide).collect()) == sorted(x.doc_id for x in simhash.keep_one(bare).collect()) == [0, 3, 4]
+    assert simhash.keep_one(wide).columns == wide.columns
+    assert sorted(map(tuple, simhash.near_duplicates(wide).collect())) == sorted(map(tuple, simhash.near_duplicates(bare).collect()))
+    renamed = wide.withColumnRenamed("id", "other").withColumnRenamed("doc_id", "id")
+    assert sorted(x.id for x in simhash.keep_one(renamed, key="id").collect()) == [0, 3, 4]
