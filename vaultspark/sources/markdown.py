@@ -137,38 +137,91 @@ def _without_comment(line: str) -> str:
     return line.rstrip()
 
 
-class _Block:
-    """Reader of the tolerant dialect: lines with their indents, consumed from the top."""
+def _is_key(text: str) -> bool:
+    return text[0] not in "\"'[{" and _KEY.match(text) is not None
 
-    def __init__(self, lines: list[str]):
-        self.lines, self.at = lines, 0
-
-    def peek(self) -> tuple[int, str] | None:
-        while self.at < len(self.lines):
-            line = self.lines[self.at]
-            plain = _without_comment(line)
-            if plain.strip():
-                if "\t" in plain[: len(plain) - len(plain.lstrip())]:
-                    raise FrontmatterError("tabs do not indent")
-                return len(plain) - len(plain.lstrip()), plain.strip()
-            self.at += 1
-        return None
 
-    def value(self, rest: str, indent: int, depth: int):
-        if re.fullmatch(r"[|>][-+]?\d?", rest):
-            return self.text(rest, indent)
-        if rest:
-            return _scalar(rest)
-        ahead = self.peek()
-        if ahead and (ahead[0] > indent or ahead[0] == indent and ahead[1].startswith("- ")):
-            return self.node(ahead[0], depth + 1)
-        return None
+class _Cells:
+    """The tolerant dialect as cells (column, text): every dash is one, and so is what stands behind the dashes of a line.
+
+    A list or a map is what its cells' common column says, so a map that begins behind a dash needs no care of its own.
+    """
 
-    def text(self, mark: str, indent: int) -> str:
+    def __init__(self, lines: list[str]):
+        self.lines, self.row = lines, 0
+        self.held: list[tuple[int, str]] = []  # cells of the line before `row` that are not taken yet
+
+    def ahead(self) -> tuple[int, str] | None:
+        while not self.held and self.row < len(self.lines):
+            plain = _without_comment(self.lines[self.row])
+            self.row += 1
+            text = plain.lstrip()
+            column = len(plain) - len(text)
+            if text and "\t" in plain[:column]:
+                raise FrontmatterError("tabs do not indent")
+            while text == "-" or text.startswith("- "):
+                self.held.append((column, "-"))
+                behind = text[1:].lstrip()
+                column, text = column + len(text) - len(behind), behind
+            if text:
+                self.held.append((column, text))
+        return self.held[0] if self.held else None
+
+    def take(self) -> str:
+        return self.held.pop(0)[1]
+
+    def tree(self, column: int, depth: int = 0):
+        """The list or map whose cells stand in a column."""
+        if depth > MOST_DEPTH:
+            raise FrontmatterError("nested too deeply")
+        cell = self.ahead()
+        found = self.items(column, depth) if cell and cell[1] == "-" else _unique(self.pairs(column, depth))
+        cell = self.ahead()
+        if cell and cell[0] > column:
+            raise FrontmatterError("indent does not fit")
+        return found
+
+    def items(self, column: int, depth: int) -> list:
+        out = []
+        while self.ahead() == (column, "-"):
+            self.take()
+            if self.held and self.held[0][1] != "-" and not _is_key(self.held[0][1]):
+                out.append(self.single(self.take(), column))
+            else:
+                out.append(self.below(column + 1, depth))
+        return out
+
+    def pairs(self, column: int, depth: int) -> list:
+        out = []
+        while (cell := self.ahead()) and cell[0] == column and cell[1] != "-":
+            met = _KEY.match(self.take())
+            if not met:
+                raise FrontmatterError("a line is no key and value")
+            key = str(_scalar(met[1])) if met[1][0] in "\"'" else met[1]
+            if key == "<<":
+                raise FrontmatterError("merge keys are refused")
+            value = (met[2] or "").strip()
+            if value:
+                out.append((key, self.single(value, column)))
+            else:  # a list may stand in its key's own column
+                listed = self.ahead() == (column, "-")
+                out.append((key, self.below(column if listed else column + 1, depth)))
+        return out
+
+    def below(self, least: int, depth: int):
+        """What the next cell begins, if it stands in column `least` or further in; else null."""
+        cell = self.ahead()
+        return self.tree(cell[0], depth + 1) if cell and cell[0] >= least else None
+
+    def single(self, text: str, column: int):
+        return self.text(text, column) if re.fullmatch(r"[|>][-+]?\d?", text) else _scalar(text)
+
+    def text(self, mark: str, column: int) -> str:
+        """Lines kept or folded as they are, up to the next one that stands no further in than `column`."""
         taken: list[str] = []
-        while self.at < len(self.lines) and (not self.lines[self.at].strip() or len(self.lines[self.at]) - len(self.lines[self.at].lstrip()) > indent):
-            taken.append(self.lines[self.at])
-            self.at += 1
+        while self.row < len(self.lines) and (not self.lines[self.row].strip() or len(self.lines[self.row]) - len(self.lines[self.row].lstrip()) > column):
+            taken.append(self.lines[self.row])
+            self.row += 1
         inner = min((len(x) - len(x.lstrip()) for x in taken if x.strip()), default=0)
         taken = [x[inner:] for x in taken]
         if mark[0] == "|":
@@ -179,39 +232,15 @@ class _Block:
         out = out.rstrip("\n")
         return out if "-" in mark or not out else out + "\n"
 
-    def node(self, indent: int, depth: int):
-        if depth > MOST_DEPTH:
-            raise FrontmatterError("nested too deeply")
-        first = self.peek()
-        is_list = first is not None and (first[1] == "-" or first[1].startswith("- "))
-        items, pairs = [], []
-        while (now := self.peek()) and now[0] == indent:
-            line = now[1]
-            dash = line == "-" or line.startswith("- ")
-            if dash != is_list:
-                break
-            if is_list:
-                rest = line[1:].strip()
-                if rest and _KEY.match(rest) and rest[0] not in "\"'[{":
-                    # A map that begins behind the dash goes on at the indent of its first key.
-                    self.lines[self.at] = " " * (indent + line.index(rest)) + rest
-                    items.append(self.node(indent + line.index(rest), depth + 1))
-                else:
-                    self.at += 1
-                    items.append(self.value(rest, indent, depth))
-            else:
-                met = _KEY.match(line)
-                if not met:
-                    raise FrontmatterError("a line is no key and value")
-                key = str(_scalar(met[1])) if met[1][0] in "\"'" else met[1]
-                if key == "<<":
-                    raise FrontmatterError("merge keys are refused")
-                self.at += 1
-                pairs.append((key, self.value((met[2] or "").strip(), indent, depth)))
-        now = self.peek()
-        if now and now[0] > indent:
-            raise FrontmatterError("indent does not fit")
-        return items if is_list else _unique(pairs)
+
+def tolerant(lines: list[str]) -> dict:
+    """The map that lines of the tolerant dialect hold."""
+    cells = _Cells(lines)
+    first = cells.ahead()
+    found = cells.tree(first[0]) if first else {}
+    if cells.ahead() is not None or not isinstance(found, dict):
+        raise FrontmatterError("frontmatter is no map")
+    return found
 
 
 def parse(text: str) -> tuple[dict, str]:
@@ -222,11 +251,7 @@ def parse(text: str) -> tuple[dict, str]:
     except FrontmatterError:
         raise
     except (ValueError, ZeroDivisionError):
-        reader = _Block(list(lines))
-        ahead = reader.peek()
-        found = reader.node(ahead[0], 0) if ahead else {}
-        if reader.peek() is not None or not isinstance(found, dict):
-            raise FrontmatterError("frontmatter is no map") from None
+        found = tolerant(lines)
     _depth(found)
     return found, body
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vaultspark.sources import markdown
+
+PREDICATE = re.compile("[a-z][a-z0-9_]*")
+
 
 def payloads(spark: SparkSession, path: str, schema: str | StructType, closed: bool = True) -> DataFrame:
     """A row for each file of a path, whose text is one JSON object: `path` and the fields of `schema`.
@@ -28,25 +32,13 @@ def payloads(spark: SparkSession, path: str, schema: str | StructType, closed: b
 
 
 def relation_definitions(spark: SparkSession, text: str) -> DataFrame:
-    """(predicate, symmetric, inverse) of a definition text: `relations:`, then names two deep and properties four deep.
+    """(predicate, symmetric, inverse) of a definition text: the maps below its key `relations`, as frontmatter is read.
 
-    Values are JSON, or plain text where they are none. A handful of rows, made on the driver.
+    A handful of rows, made on the driver. Names that are no predicates (lower-case letters, digits and underscores,
+    a letter first) and entries that are no maps are left out.
     """
-    found: dict[str, dict] = {}
-    inside, name = False, None
-    for line in text.splitlines():
-        inside = inside or line == "relations:"
-        depth, (key, colon, value) = len(line) - len(line.lstrip(" ")), line.strip().partition(":")
-        if not inside or not colon or not key.isidentifier() or key != key.lower() or not key[0].isalpha():
-            continue
-        if depth == 2 and not value.strip():
-            name = key
-            found[name] = {}
-        elif depth == 4 and name and value.strip():
-            try:
-                found[name][key] = json.loads(value)
-            except ValueError:
-                found[name][key] = value.strip()
+    named = markdown.tolerant(text.splitlines()).get("relations")
+    found = {n: p or {} for n, p in named.items() if PREDICATE.fullmatch(n) and isinstance(p, dict | None)} if isinstance(named, dict) else {}
     rows = [(n, p.get("symmetric") is True, p["inverse"] if isinstance(p.get("inverse"), str) else None) for n, p in found.items()]
     return spark.createDataFrame(rows, "predicate string, symmetric boolean, inverse string")
 
