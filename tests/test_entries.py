@@ -1,11 +1,13 @@
+import html
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from vaultspark.functions import instants, text as T
 from vaultspark.operators import bm25, changes, entries, filters, graph, index, paging, ranking
-from vaultspark.sources import notes, vectors
+from vaultspark.sources import html_meta, notes, vectors
 from vaultspark.streaming import refresh
 
 
@@ -135,6 +137,12 @@ def test_sidecar_counts_present_revisions_only(spark, tmp_path):
             vectors.sidecar(spark, str(path), **{"form": "own-1", "model": "m", "dimensions": 2} | change)
     with pytest.raises(Exception, match="not of the length"):
         vectors.sidecar(spark, str(path), "own-1", "m", 2).collect()
+    lines = [head, {"id": A, "revision": R1, "vector": [1, 0]}, {"id": B, "revision": R1, "vector": [3, 0], "format": "of its own"}, {"id": A, "revision": R2, "vector": [5, 0]}, {"id": A, "revision": R1, "vector": [2, 0]}]
+    path.write_text("\n\n".join(map(json.dumps, lines)))
+    assert sorted(map(tuple, vectors.sidecar(spark, str(path), "own-1", "m", 2).collect())) == sorted([(A, R1, [2.0, 0.0]), (A, R2, [5.0, 0.0]), (B, R1, [3.0, 0.0])])
+    path.write_text("\n".join(map(json.dumps, [head, head])))
+    with pytest.raises(Exception, match="no valid id"):
+        vectors.sidecar(spark, str(path), "own-1", "m", 2).collect()
     for bad in ({"vector": [1]}, {"dimensions": True}, {"model": ""}, {"vector": [1, True]}):
         query.write_text(json.dumps({**head, "vector": [1.0, 1.0], **bad}))
         with pytest.raises(vectors.VectorError):
@@ -173,10 +181,10 @@ def test_a_torn_manifest_is_passed_over(spark, tmp_path):
 
 def test_a_stream_patch_run_twice_gives_the_same(spark, tmp_path):
     folder = f"file://{tmp_path}/index"
-    refresh.patch(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), folder)
-    again = spark.createDataFrame([(2, "b b")], "doc_id long, text string")
+    refresh.patch(spark.createDataFrame([(1, "a b", 1), (2, "c", 1)], "doc_id long, text string, at int"), folder, "at")
+    again = spark.createDataFrame([(2, "b b", 2)], "doc_id long, text string, at int")
     for _ in range(2):
-        refresh.patch(again, folder)
+        refresh.patch(again, folder, "at")
     now = spark.createDataFrame([(1, "a b"), (2, "b b")], "doc_id long, text string")
     assert index.status(now, folder) == "fresh"
 
@@ -185,3 +193,68 @@ def test_bm25_tokenises_once_a_scan(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     plan = bm25.score(spark.read.parquet(f"{tmp_path}/d"), {"q": "lamp harbor gold"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all") == 0 or plan.count("1,64") <= 2 * plan.count("FileScan")
+
+
+def test_of_two_writers_one_wins_and_nothing_of_the_other_stays(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(k, f"word{k} lamp") for k in range(50)], "doc_id long, text string")
+    none = docs.select(F.col("doc_id").alias("id")).limit(0)
+    assert index.manifest(spark, folder) is None
+    index.build(docs, folder)
+    seen = index.manifest(spark, folder)
+    index.patch(spark, folder, docs.filter("doc_id = 1").withColumn("text", F.lit("first writer")), none)
+    segments = set(os.listdir(tmp_path / "index/segments"))
+    late = index._write_segment(spark, folder, *index.bm25.postings(docs.limit(1), "doc_id", "text")[:1], index.bm25.postings(docs.limit(1), "doc_id", "text")[1].join(index.signature(docs, "doc_id", "text"), "id"), none)
+    with pytest.raises(index.Conflict):
+        index._publish(spark, folder, [*seen["segments"], late], "", None, seen)
+    assert set(os.listdir(tmp_path / "index/segments")) == segments
+    assert index.manifest(spark, folder)["number"] == 2
+    now = docs.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("first writer")).otherwise(F.col("text")))
+    assert index.status(now, folder) == "fresh"
+
+
+def test_old_states_go_broken_ones_are_passed_and_orphans_are_vacuumed(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(k, f"word{k} lamp") for k in range(20)], "doc_id long, text string")
+    for _ in range(index.KEPT + 2):
+        index.build(docs, folder)
+    assert len(os.listdir(tmp_path / "index/segments")) == index.KEPT
+    newest = index.manifest(spark, folder)["number"]
+    broken = tmp_path / f"index/manifests/{newest + 1:020d}.json"
+    broken.write_text('{"body": {"format": 3}, "check": "no"}')
+    assert index.manifest(spark, folder)["number"] == newest and index.status(docs, folder) == "fresh"
+    index.build(docs, folder)
+    assert index.manifest(spark, folder)["number"] == newest + 2
+    (tmp_path / "index/segments/orphan").mkdir()
+    assert index.vacuum(spark, folder) == [] and index.vacuum(spark, folder, -60) == ["orphan"]
+    assert index.status(docs, folder) == "fresh"
+    os.remove(broken)
+    broken.mkdir()  # what is there and can't be read is an error, and no absent index
+    os.rename(broken, tmp_path / f"index/manifests/{newest + 9:020d}.json")
+    with pytest.raises(Exception):
+        index.manifest(spark, folder)
+
+
+def test_buckets_of_terms_are_the_same_on_both_sides(spark):
+    terms = ["lamp", "", "straße", "日本", "x" * 64]
+    df = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert [r.b for r in df.select(index._bucket(97).alias("b")).collect()] == [index._bucket_of(t, 97) for t in terms]
+
+
+def test_import_states(spark):
+    sources = spark.createDataFrame([("a", "1", "x"), ("b", "2", "x"), ("c", "3", "x"), ("d", "4", "x"), ("d", "5", "x"), ("e", "6", "x"), (None, "7", "x"), (None, "8", "x"), ("f", "9", "taken"), ("g", None, "x"), ("h", "1", "taken")], "original_id string, digest string, id string")
+    existing = spark.createDataFrame([("a", "1"), ("b", "other"), ("c", None), ("e", "6"), ("e", "7"), ("g", "1"), (None, "7"), ("h", "1")], "original_id string, digest string")
+    got = changes.import_state(sources, existing, spark.createDataFrame([("taken",), ("taken",)], "id string")).select("original_id", "digest", "state").collect()
+    want = [("a", "1", "imported"), ("b", "2", "changed"), ("c", "3", "imported"), ("d", "4", "duplicate_source"), ("d", "5", "duplicate_source"), ("e", "6", "duplicate_source"), (None, "7", "no_source"), (None, "8", "no_source"), ("f", "9", "id_collision"), ("g", None, "changed"), ("h", "1", "imported")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_page_metadata_in_any_quotes_with_references(spark):
+    cases = ["&#8217;", "&eacute;", "&mdash;", "&amp;amp;", "&lt;b&gt;", "&#x1F600;", "&#0;", "&#xD800;", "&#150;", "&nosuch;", "&", "a & b", "&copy 2", "&NotEqualTilde;", "&#99999999;", "tail &eacute", "", "none", "&#39;&quot;"]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert [r.u for r in df.select(html_meta.unescape(F.col("c")).alias("u")).collect()] == [html.unescape(c) for c in cases]
+    page = """<head><title>A &#8211; B</title><meta name='description' content='it is "so" &eacute;t&eacute;'><meta content=bare property=og:site_name>
+    <META NAME="author" CONTENT="x > y"/><meta name="og:descriptions" content="no"><link rel='canonical' href='HTTP://a.org/p?x=1&amp;y=2'></head>"""
+    r = html_meta.metadata(spark.createDataFrame([(page, "http://y.org")], "html string, url string")).first()
+    assert (r.title, r.description, r.site_name, r.author) == ("A – B", 'it is "so" été', "bare", "x > y")
+    assert r.canonical_url.startswith("http://a.org/p") and "amp;" not in r.canonical_url

@@ -138,13 +138,28 @@ def migrate(entries: DataFrame, steps: dict[int, Callable[[DataFrame], DataFrame
     return out
 
 
-def import_state(sources: DataFrame, existing: DataFrame) -> DataFrame:
-    """sources (original_id, digest) with `state`: new, imported, changed, or duplicate_source."""
-    times = F.count("*").over(Window.partitionBy("original_id"))
-    old = existing.groupBy("original_id").agg(F.min("digest").alias("_digest"))
-    joined = sources.withColumn("_n", times).join(old, "original_id", "left")
-    state = F.when(F.col("_n") > 1, F.lit("duplicate_source")).when(F.col("_digest").isNull(), F.lit("new")).when(F.col("_digest") == F.col("digest"), F.lit("imported")).otherwise("changed")
-    return joined.withColumn("state", state).drop("_n", "_digest")
+def import_state(sources: DataFrame, existing: DataFrame, taken: DataFrame | None = None, new_id: str = "id") -> DataFrame:
+    """sources (original_id, digest) with `state`: new, imported, changed, duplicate_source, id_collision or no_source.
+
+    existing: (original_id, digest) of the entries that were imported before; one without a digest counts as imported.
+    duplicate_source: several rows of sources or several entries have the id. id_collision, where `taken` (id) is
+    given: the source is new, but the id that its entry would get, in the column `new_id`, is taken. no_source: the
+    original_id is null; such rows are told before anything is grouped. Other columns stay.
+    """
+    named = sources.filter(F.col("original_id").isNotNull())
+    times = named.groupBy(F.col("original_id").alias("_id")).agg(F.count("*").alias("_n"))
+    old = existing.filter(F.col("original_id").isNotNull()).groupBy(F.col("original_id").alias("_id")).agg(F.count("*").alias("_m"), F.min("digest").alias("_digest"))
+    told = named.join(times.join(old, "_id", "left"), F.col("original_id") == F.col("_id"))
+    collides = F.lit(False)
+    if taken is not None:
+        told = told.join(taken.select(F.col("id").alias("_taken")).distinct(), F.col(new_id) == F.col("_taken"), "left")
+        collides = F.col("_taken").isNotNull()
+    state = (
+        F.when((F.col("_n") > 1) | (F.col("_m") > 1), F.lit("duplicate_source")).when(F.col("_m").isNull(), F.when(collides, F.lit("id_collision")).otherwise("new"))
+        .when(F.col("_digest").isNull() | (F.col("_digest") == F.col("digest")), F.lit("imported")).otherwise("changed")
+    )
+    told = told.withColumn("state", state).drop("_id", "_n", "_m", "_digest", "_taken")
+    return told.unionByName(sources.filter(F.col("original_id").isNull()).withColumn("state", F.lit("no_source")))
 
 
 def provenance(explicit: Column, fetched: list[str]) -> Column:

@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
 
-#: The character references that titles and meta contents use.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_REFERENCE = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,10}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def _named() -> Column:
+    """Characters by the names that references have, with their semicolon where they need it: the standard's own table, as one literal."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; what is none is the replacement character, and 128 to 159 are those of Windows."""
+    windows = F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, bytes([n]).decode("cp1252", "replace"))])
+    fine = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(number.between(0x80, 0x9F), F.element_at(windows, number.cast("int"))).when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def unescape(c: Column) -> Column:
-    for name, char in REFERENCES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """c with its character references decoded: decimal and hexadecimal numbers and all names of the standard.
+
+    A name without its semicolon counts where the standard lets it, but only as a whole word. Anything else that
+    looks like a reference stays.
+    """
+
+    def decoded(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "[&#xX;]", "")
+        number = F.when(F.lower(F.substr(ref, F.lit(3), F.lit(1))) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        name = F.substr(ref, F.lit(2))
+        return F.when(ref.startswith("&#"), _character(number)).otherwise(F.coalesce(F.try_element_at(_named(), name), ref))
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), decoded)
+    parts = F.zip_with(F.split(c, _REFERENCE), refs, lambda text, ref: F.concat(text, F.coalesce(ref, F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """A tag's attribute in double, single or no quotes; empty where it has none."""
+    quoted = [F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*{q}([^{q}]*){q}""", 1) for q in "\"'"]
+    bare = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*([^\s"'>]+)""", 1)
+    return F.coalesce(*[F.when(x != "", x) for x in (*quoted, bare)], F.lit(""))
 
 
 def title(html: Column) -> Column:
@@ -32,16 +65,16 @@ def charset(html: Column) -> Column:
 
 
 def canonical(html: Column) -> Column:
-    tag = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel=["']?canonical)[^>]*>""", 0)
-    return T.canonical_url(unescape(F.regexp_extract(tag, r"""(?is)\bhref=["']?([^"'\s>]+)""", 1)))
+    tag = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\srel\s*=\s*["']?canonical["'\s/>])[^>]*>""", 0)
+    return T.canonical_url(unescape(_attribute(tag, "href")))
 
 
 def meta(html: Column, *names: str) -> Column:
     """Content of the first of several meta names or properties that is there."""
     out = []
     for n in names:
-        tag = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b(?:name|property)=["']?{n}["'\s>])[^>]*>""", 0)
-        out.append(T.clean_field(unescape(F.coalesce(F.regexp_extract(tag, r"""(?is)\bcontent="([^"]*)\"""", 1), F.lit(""))), 2000))
+        tag = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\s(?:name|property)\s*=\s*["']?{n}["'\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*>""", 0)
+        out.append(T.clean_field(unescape(_attribute(tag, "content")), 2000))
     return F.coalesce(*out)
 
 

@@ -16,15 +16,21 @@ class VectorError(ValueError):
     pass
 
 
-def _head(spark: SparkSession, path: str) -> dict:
-    lines = spark.read.text(path).head(1)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): lines with their order in the file, by the block they are read from and their place in it."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
+def _head(spark: SparkSession, path: str) -> tuple[dict, tuple[int, int]]:
+    """The header, and where it stands."""
+    lines = _lines(spark, path).orderBy("at").head(1)
     try:
         found = json.loads(lines[0]["value"]) if lines else None
     except ValueError as e:
         raise VectorError("the header is no JSON") from e
     if not isinstance(found, dict):
         raise VectorError("there is no header")
-    return found
+    return found, tuple(lines[0]["at"])
 
 
 def query_vector(spark: SparkSession, path: str, form: str) -> tuple[str, list[float]]:
@@ -50,23 +56,25 @@ def sidecar(spark: SparkSession, path: str, form: str, model: str, dimensions: i
     """(id, revision, vector) of a file of JSON lines below a header line (format, model, dimensions).
 
     The header has to fit the query vector. With `wanted` (id, revision), only rows for these are read further,
-    as a vector of another revision says nothing about the present text. A row that is no object, or has no valid
-    id or revision, and a kept row with a vector of another length or a number that is not finite, is an error when
-    the frame is read. Files beyond MOST_BYTES are refused.
+    as a vector of another revision says nothing about the present text. Of rows that repeat an id and revision the
+    last one counts. A row below the first line that is no object, or has no valid id or revision, and a kept row with
+    a vector of another length or a number that is not finite, is an error when the frame is read. Files beyond
+    MOST_BYTES are refused.
     """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() > MOST_BYTES:
         raise VectorError(f"the file is larger than {MOST_BYTES} bytes")
-    head = _head(spark, path)
+    head, first = _head(spark, path)
     for name, want in (("format", form), ("model", model), ("dimensions", dimensions)):
         if head.get(name) != want:
             raise VectorError(f"{name} of the file is {head.get(name)!r} and not {want!r}")
-    lines = spark.read.text(path).filter("trim(value) <> ''").filter(F.get_json_object("value", "$.format").isNull())
-    rows = lines.select(F.from_json("value", "id string, revision string, vector array<double>").alias("r")).select("r.*")
+    lines = _lines(spark, path).filter("trim(value) <> ''").filter(F.col("at") > F.struct(*[F.lit(x).cast("long") for x in first]))
+    rows = lines.select(F.from_json("value", "id string, revision string, vector array<double>").alias("r"), "at").select("r.*", "at")
     valid = F.coalesce(F.col("id").rlike(ID) & F.col("revision").rlike(REVISION), F.lit(False))
     rows = rows.withColumn("id", F.when(valid, F.col("id")).otherwise(F.raise_error(F.lit("a line has no valid id and revision"))))
     if wanted is not None:
         rows = rows.join(wanted.select("id", "revision").distinct(), ["id", "revision"], "left_semi")
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     good = F.coalesce((F.size("vector") == dimensions) & finite, F.lit(False))
-    return rows.select("id", "revision", F.when(good, F.col("vector")).otherwise(F.raise_error(F.lit("a vector is not of the length or not finite"))).alias("vector"))
+    checked = F.when(good, F.col("vector")).otherwise(F.raise_error(F.lit("a vector is not of the length or not finite")))
+    return rows.groupBy("id", "revision").agg(F.max_by(checked, "at").alias("vector"))
