@@ -2,11 +2,12 @@
 
 Events of the standard library's streaming parser are turned into lines, one for each block of text, with the
 tags met in it. Text-to-tag ratios of all lines are smoothed by a Gaussian over neighbouring lines and split into
-two clusters by a threshold; lines above it mark where the content is. Marked text chooses the region: the
-articles that hold a marked line, if articles hold most of the marked text, and otherwise the smallest container
-that holds most of it, or the main element around that container. Inside the region every block is kept, short
-ones too; boxes that are no part of the article by their tag, role or class (menus, adverts, comments and so on)
-are vetoed wherever they stand.
+two clusters by a threshold; lines above it mark where the content is. Marked text chooses the region: all
+articles, if they hold most of the marked text, and otherwise the smallest container that holds most of it, widened
+while that adds only headings and marked lines, or the main element around that container. Inside the region every block is kept, short ones too, but for boxes that are no
+part of the article by their tag, role or class (menus, adverts, comments and so on). What is a box is judged by the
+marked text again: a class name that only suggests one counts no longer where hardly any marked text would be left
+without it, and a tag or plain name where none would.
 """
 
 from __future__ import annotations
@@ -34,34 +35,43 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id names that name a box outside the article; the second set matches beginnings.
 NAMES = frozenset("ad ads adbox adslot nav navbar menu menubar notice notices header masthead aside widget widgets login signin signup search pager pagination tags toolbar copyright legal disclaimer alert alerts overlay paywall teaser teasers gdpr outbrain taboola disqus rail toc hidden skip".split())
 STARTS = ("advert", "sponsor", "newsletter", "subscri", "recommend", "related", "cookie", "consent", "breadcrumb", "sidebar", "footer", "navig", "promo", "social", "share", "sharing", "banner", "popup", "modal", "comment", "reply", "replies", "respond", "responses", "discussion", "topbar", "topnav", "colophon")
+#: Words that say nothing beside such names.
+NEUTRAL = frozenset("area bar block box container form inner item items link links list outer posts section slot thread unit wrap wrapper".split())
 NEGATED = frozenset("no has with without".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
+#: How sure a box is: by a class name among other words, by its tag, role or a plain name, or because it is not shown.
+MAYBE, SURELY, NEVER_SHOWN = range(3)
 
-def boxed(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Does this element stand outside the article by its attributes?"""
+
+def _named(part: str) -> bool:
+    return part in NAMES or part.startswith(STARTS)
+
+
+def boxes(tag: str, attrs: list[tuple[str, str | None]]) -> list[tuple[int, str]]:
+    """(how sure, name) for all that says that this element is no part of an article."""
+    found = [(SURELY, tag)] if tag in BOXES else []
     for name, value in attrs:
         value = value or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            found.append((NEVER_SHOWN, ""))
+        elif name == "role" and value.lower() in ROLES:
+            found.append((SURELY, value.lower()))
+        elif name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in value.split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if parts and parts[0] in NEGATED:
+                parts = [p.lower() for p in _PART.findall(word) if not p.isdigit()]
+                if not parts or parts[0] in NEGATED:
                     continue
-                if any(p in NAMES or p.startswith(STARTS) for p in parts):
-                    return True
-        if name in ("class", "id") and tag == "article" and any(p.lower().startswith(("comment", "related", "teaser", "promo", "advert", "sponsor")) for p in _PART.findall(value)):
-            return True
-    return False
+                if tag == "article":
+                    if any(p.startswith(("comment", "related", "teaser", "promo", "advert", "sponsor")) for p in parts):
+                        found.append((SURELY, f".{word}"))
+                elif any(map(_named, parts)):
+                    found.append((SURELY if all(_named(p) or p in NEUTRAL for p in parts) else MAYBE, f".{word}"))
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, containers, in a box, in an article, in main)."""
+    """Collects lines: (text, tags, containers, the boxes that it is in, in an article, in main, a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -71,15 +81,16 @@ class Lines(HTMLParser):
         self.made = 0
         self.silent = 0
         self.quiet: list[str] = []
-        #: Open elements: (tag, number, boxed so far, number of the outermost article, in main, in a header of the article)
-        self.open: list[tuple] = [("", 0, False, 0, False, False)]
+        #: Open elements: (tag, number, boxes so far, number of the outermost article, in main, in a header of the article)
+        self.open: list[tuple] = [("", 0, (), 0, False, False)]
         self.heading = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             _, _, box, article, main, header = self.open[-1]
-            self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.open if x[0] in REGIONS or not x[1]), box or header and not self.heading, article, main))
+            box = (*box, (SURELY, "header")) if header and not self.heading else box
+            self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.open if x[0] in REGIONS or not x[1]), box, article, main, self.heading))
             self.tags = 0
         self.text.clear()
 
@@ -108,22 +119,22 @@ class Lines(HTMLParser):
                     self.open.pop()
             elif tag in BLOCKS and self.open[-1][0] == "p":
                 self.open.pop()
-            if tag in ("article", "main"):  # a box that was never closed does not hold the article
-                while len(self.open) > 1 and self.open[-1][0] in ("nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "span"):
+            if tag in ("article", "main"):  # a menu that was never closed does not hold the article
+                while len(self.open) > 1 and self.open[-1][0] in ("nav", "header", "ul", "ol", "li", "p", "span"):
                     self.open.pop()
             _, _, box, article, main, header = self.open[-1]
             self.made += 1
-            box = box or tag in BOXES or boxed(tag, attrs)
+            box = (*box, *boxes(tag, attrs))
             if tag == "header":
-                box, header = box or not (article or main), True
+                box, header = box if article or main else (*box, (SURELY, tag)), True
             if tag == "article" and not article:
                 article = self.made
             main = main or tag == "main" or any(n == "role" and v == "main" for n, v in attrs)
             self.open.append((tag, self.made, box, article, main, header))
-        elif boxed(tag, attrs) and tag not in VOID and tag not in BLOCKS:
+        elif tag not in VOID and tag not in BLOCKS and (found := boxes(tag, attrs)):
             self.made += 1
             last = self.open[-1]
-            self.open.append((tag, self.made, True, *last[3:]))
+            self.open.append((tag, self.made, (*last[2], *found), *last[3:]))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in SILENT:
@@ -179,14 +190,35 @@ def threshold(values: np.ndarray) -> float:
 
 
 MOST = 0.8  # share of the marked text that a region holds
+FULL = 100.0  # characters for a tag from which on a line is plainly text
+LEAST = 0.1  # share of the marked text that class names which only suggest a box leave over
 
 
 def marks(lines: list[tuple]) -> np.ndarray:
-    """Which lines are in the cluster of high text-to-tag ratios?"""
-    wide = smoothed(np.array([len(x[0]) / x[1] for x in lines]))
+    """Which lines are in the cluster of high text-to-tag ratios? Ratios above FULL count as FULL: one endless line makes no other a menu."""
+    wide = smoothed(np.minimum(FULL, np.array([len(x[0]) / x[1] for x in lines])))
     return wide >= threshold(wide)
 
 
+def vetoes(lines: list[tuple], marked: np.ndarray) -> set[tuple[int, str]]:
+    """The boxes that count on this page: while too little marked text is left, the one that holds the most of it goes."""
+    sizes = [(len(x[0]), set(x[3])) for x, mark in zip(lines, marked) if mark]
+    total = sum(n for n, _ in sizes)
+    held: dict[tuple[int, str], int] = {}
+    for n, own in sizes:
+        for box in own:
+            held[box] = held.get(box, 0) + n
+    on = {box for x in lines for box in x[3]}
+    while True:
+        left = sum(n for n, own in sizes if not own & on)
+        free = [box for box in on if box[0] == MAYBE and held.get(box, 0) >= LEAST * total] if left < LEAST * total else []
+        if not free and not left:
+            free = [box for box in on if box[0] == SURELY and held.get(box, 0)]
+        if not free:
+            return on
+        on.discard(max(free, key=lambda box: (held[box], box)))
+
+
 def extract(html: str | None) -> str:
     """Main text, blocks joined by newlines; empty for null, empty or text-free pages."""
     if not html:
@@ -197,22 +229,28 @@ def extract(html: str | None) -> str:
     parser.end_line()
     if not parser.lines:
         return ""
-    marked = [x for x, mark in zip(parser.lines, marks(parser.lines)) if mark and not x[3]]
-    lines = [x for x in parser.lines if not x[3]]
+    marked = marks(parser.lines)
+    on = vetoes(parser.lines, marked)
+    kept = [(x, mark) for x, mark in zip(parser.lines, marked) if not on.intersection(x[3])]
+    lines = [x for x, _ in kept]
     if not lines:
         return ""
     weight: dict[int, int] = {}
-    articles: dict[int, int] = {}
-    for text, _, path, _, article, _ in marked or lines:
-        for box in path:
-            weight[box] = weight.get(box, 0) + len(text)
-        if article:
-            articles[article] = articles.get(article, 0) + len(text)
+    in_articles = 0
+    for text, _, path, _, article, *_ in [x for x, mark in kept if mark] or lines:
+        for region in path:
+            weight[region] = weight.get(region, 0) + len(text)
+        in_articles += len(text) if article else 0
     enough = MOST * weight[0]
-    if sum(articles.values()) >= enough:
-        return "\n".join(x[0] for x in lines if x[4] in articles)
+    if in_articles >= enough:
+        return "\n".join(x[0] for x in lines if x[4])
     # Numbers grow with depth, so the largest number that holds most of the marked text is the smallest container.
-    best = max(box for box, n in weight.items() if n >= enough)
+    best = max(region for region, n in weight.items() if n >= enough)
+    way = next(x[2] for x in lines if best in x[2])
+    for region in reversed(way[: way.index(best)]):  # further out while that adds only headings and marked text
+        if not all(mark or x[6] or best in x[2] for x, mark in kept if region in x[2]):
+            break
+        best = region
     in_main = any(x[5] and best in x[2] for x in lines) and all(x[5] for x in lines if best in x[2])
     return "\n".join(x[0] for x in lines if (x[5] if in_main else best in x[2]))
 
