@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from vaultspark.functions import text as T
 from vaultspark.operators import bm25, changes, filters, graph, index, inventory, paging, ranking, sections, temporal, validation
 from vaultspark.plans import views
 from vaultspark.sources import html_meta, markdown, notes
@@ -231,3 +232,31 @@ def test_entry_points(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert json.dumps(sorted(e.queries()))
+
+
+def test_places_are_those_of_a_window(spark):
+    from vaultspark.operators import ranks
+
+    rows = [(k % 3 if k % 7 else None, (k * 37) % 11, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, score int, id int").repartition(6)
+    got = {r.id: r.rank for r in ranks.placed(df, ["g"], [F.desc("score"), F.asc("id")]).collect()}
+    want = {}
+    for g in {x[0] for x in rows}:
+        want |= {x[2]: n for n, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2])), 1)}
+    assert got == want
+    assert ranks.placed(df.limit(0), ["g"], [F.asc("id")]).count() == 0
+
+
+def test_hybrid_takes_terms_and_literals_in_one_scan(spark):
+    df = spark.createDataFrame([(1, "The MIT License"), (2, "mit"), (3, "submit license"), (4, "hermit licenses"), (5, None), (6, "mit-license"), (7, "xmit licensed")], "doc_id long, text string")
+    got = {r.id: r.score for r in ranking.hybrid(df, "mit license").collect()}
+    scored = {r.id: r.score for r in bm25.score(df, {"q": "mit license"}).collect()}
+    held = {r.id for r in ranking.literal(df, "mit license").collect()}
+    assert got == {**{i: 0.0 for i in held}, **scored} and 7 in held - set(scored)
+
+
+def test_unfolded_places_in_lines_that_folding_lengthens(spark):
+    lines = ["ßß lamp", "plain lamp", "½ﬁ lamp ß", "lamp", "İ lamp"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    got = df.select(paging.unfolded(F.col("t"), F.position(F.lit("lamp"), T.fold(F.col("t")))).alias("p")).collect()
+    assert [r.p for r in got] == [t.index("lamp") + 1 for t in lines]

@@ -74,3 +74,11 @@ def test_cosine(spark):
 @pytest.mark.parametrize("t,want", [("2026-01-01T00:00:00+02:00", 1767218400000000), ("2026-01-01T00:00:00Z", 1767225600000000), ("2026-01-01T00:00:00", None), ("2026-01-01", None), ("no", None), ("2026-01-01 00:00+02:00", 1767218400000000), ("2026-13-01T00:00:00Z", None)])
 def test_instants_need_an_offset(spark, t, want):
     assert one(spark, instants.instant(F.col("t")), t=t) == want
+
+
+def test_folding_on_the_driver_is_the_same(spark):
+    texts = ["", "Straße ﬁn ½ ĲSSEL … ＡＢＣ ①", "plain ASCII only", "ΟΔΥΣΣΕΥΣ ς", "ŉ ǰ ΐ և ẞ ﬀ Ω K Å", "日本語 ｶﾞ ㍿", "".join(map(chr, [*range(0x20, 0x600), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB20)]))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.f for r in df.select(T.fold(F.col("t")).alias("f")).collect()] == [T.fold_text(t) for t in texts]
+    assert [r.w for r in df.limit(6).select(T.tokens(F.col("t")).alias("w")).collect()] == [T.tokens_of(t) for t in texts[:6]]
+    assert T.tokens_of("x" * 64 + " " + "y" * 65) == ["x" * 64]

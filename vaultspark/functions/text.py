@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import cache
 
@@ -49,16 +51,37 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold(c: Column) -> Column:
     """NFKC and full case folding on the JVM, character by character.
 
-    Texts of plain characters need lower case and ß as ss only; others go through a table. What a table cannot do
-    is to compose a letter and a combining mark that follow each other: for that, see fold_exact.
+    Texts of plain characters need lower case and ß as ss only; others go through a table, and those of characters
+    that fold to several through one replacement after another. What a table cannot do is to compose a letter and a
+    combining mark that follow each other: for that, see fold_exact.
     """
     singles, made, several = _folding()
     other = F.translate(c, singles, made)
-    for char, many in several:
-        other = F.replace(other, F.lit(char), F.lit(many))
+    pairs = F.from_json(F.lit(json.dumps([{"one": x, "many": y} for x, y in several])), "array<struct<one:string,many:string>>")  # a constant, and one expression for all
+    spread = F.aggregate(pairs, other, lambda text, p: F.replace(text, p["one"], p["many"]))
+    other = F.when(other.rlike(_class([x for x, _ in several])), spread).otherwise(other)
     return F.replace(F.lower(F.when(c.rlike(OTHER), other).otherwise(c)), F.lit("ß"), F.lit("ss"))
 
 
+def _class(chars: list[str]) -> str:
+    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
+def fold_text(text: str) -> str:
+    """What fold() makes of a text, on the driver: for queries and other single values."""
+    singles, made, several = _folding()
+    if re.search(rf"[^{PLAIN}]", text):
+        text = text.translate(str.maketrans(singles, made))
+        for one, many in several:
+            text = text.replace(one, many)
+    return text.lower().replace("ß", "ss")
+
+
+def tokens_of(text: str) -> list[str]:
+    """What tokens() makes of a text, on the driver."""
+    return [w for w in re.findall(r"[^\W_]+", fold_text(text)) if len(w) <= LONGEST_TOKEN]
+
+
 @F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """NFKC and full case folding, batch by batch."""

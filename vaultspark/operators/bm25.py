@@ -7,10 +7,11 @@ depend on partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
+from vaultspark.session import dealt, written
 
 K1, B = 1.2, 0.75
 DIGITS = 9  # scores are rounded, so that equal ones compare equal on every engine
@@ -22,16 +23,15 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     A document's tokens are counted where they are made, before anything is shuffled, and a filter on terms goes
     below the count.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    terms = docs.select(F.col(key).alias("id"), F.explode(T.tokens(body)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select(F.col(key).alias("id"), F.regexp_count(T.fold(body), F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
+    own = dealt(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")), "id")
+    terms = own.select("id", F.explode(T.tokens(F.col("body"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    lengths = own.select("id", F.regexp_count(T.fold(F.col("body")), F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
     return terms.select("term", "id", "tf"), lengths
 
 
-def query_terms(spark, queries: dict[str, str]) -> DataFrame:
-    """(query_id, term), one row for each different term: a handful of rows, made on the JVM."""
-    rows = spark.createDataFrame(list(queries.items()), "query_id string, query string")
-    return rows.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+def query_terms(queries: dict[str, str]) -> list[tuple[str, str]]:
+    """(query_id, term) for each different term of each query, in order."""
+    return [(q, t) for q, text in sorted(queries.items()) for t in sorted(set(T.tokens_of(text)))]
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -46,7 +46,7 @@ def score_postings(terms: DataFrame, lengths: DataFrame, queries: dict[str, str]
     """(query_id, id, score) of every document that holds a term of the query."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b lies between 0 and 1")
-    rows = [tuple(r) for r in query_terms(terms.sparkSession, queries).collect()]  # the queries' own terms
+    rows = query_terms(queries)
     if not rows:
         return terms.sparkSession.createDataFrame([], f"query_id string, id {terms.schema['id'].dataType.simpleString()}, score double")
     asked = F.broadcast(terms.sparkSession.createDataFrame(rows, "query_id string, term string"))
@@ -66,41 +66,49 @@ def _term(term: str) -> Column:
     return F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])")
 
 
-def counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """(id, length, tf array): tokens of each document and how often it holds each term; the text is folded once a row.
+def counts(docs: DataFrame, terms: list[str], key: str, text: str, literals: tuple[str, ...] = ()) -> DataFrame:
+    """(id, length, tf array, held array): tokens of each document, how often it holds each term, and which literals; the text is folded once a row.
 
     The array that is exploded keeps filters and projections above from being computed below, each with a folding of its own.
     """
 
     def counted(hay: Column) -> Column:
         tf = [F.when(hay.contains(t), F.regexp_count(hay, _term(t))).otherwise(0).cast("long") for t in terms]
-        return F.struct(F.regexp_count(hay, F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"), (F.array(*tf) if tf else F.array().cast("array<bigint>")).alias("tf"))
+        held = [hay.contains(T.fold(F.lit(x))) for x in literals]
+        arrays = [F.array(*x) if x else F.array().cast(f"array<{kind}>") for x, kind in ((tf, "bigint"), (held, "boolean"))]
+        return F.struct(F.regexp_count(hay, F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"), arrays[0].alias("tf"), arrays[1].alias("held"))
 
-    once = F.transform(F.array(T.fold(F.coalesce(F.col(text), F.lit("")))), counted)
-    return docs.select(F.col(key).alias("id"), F.explode(once).alias("c")).select("id", "c.length", "c.tf")
+    own = dealt(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")), "id")
+    once = F.transform(F.array(T.fold(F.col("body"))), counted)
+    return own.select("id", F.explode(once).alias("c")).select("id", "c.length", "c.tf", "c.held")
 
 
-def score(docs: DataFrame, queries: dict[str, str], key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 by scan: counts of the queries' terms only, as expressions over each document's text.
+def score(docs: DataFrame, queries: dict[str, str], key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, literals: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score) of every document that holds a term of the query, by one scan.
 
-    Nothing is exploded and no posting is shuffled; what leaves a scan is one row of statistics, or a row for each
-    document with a hit.
+    The scan counts the queries' own terms in each document, observes the statistics of the corpus on the way, and
+    writes a few numbers for each document with a hit; nothing is exploded or shuffled. It runs while the plan is
+    built. With `literals`, texts that documents are looked through for as they are, those hold them without a
+    term count as a hit of score 0 of every query.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b lies between 0 and 1")
     spark = docs.sparkSession
-    asked = [tuple(r) for r in query_terms(spark, queries).distinct().orderBy("query_id", "term").collect()]  # the queries' own terms
+    asked = query_terms(queries)
     terms = sorted({t for _, t in asked})
-    if not terms:
+    if not terms and not literals:
         return spark.createDataFrame([], f"query_id string, id {docs.schema[key].dataType.simpleString()}, score double")
-    rows = counts(docs, terms, key, text)
-    stats = rows.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))]).alias("df"))
-    joined = rows.filter(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    corpus = Observation()
+    rows = counts(docs, terms, key, text, literals).observe(corpus, F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(terms))])
+    hits = written(rows.filter(F.exists("tf", lambda n: n > 0) | F.exists("held", lambda x: x)))
+    found = corpus.get
+    n, average = F.lit(found["n"]), F.lit((found["total"] or 0) / max(1, found["n"]))
     scores = []
     for q in queries:
         total = F.lit(0.0)
         for t in sorted(t for i, t in asked if i == q):
-            tf, df = F.col("tf")[terms.index(t)], F.col("df")[terms.index(t)]
-            total = total + F.when(tf > 0, idf(F.col("n"), df) * weight(tf, F.col("length"), F.col("total") / F.col("n"), k1, b)).otherwise(0.0)
+            k = terms.index(t)
+            total = total + F.when(F.col("tf")[k] > 0, idf(n, F.lit(found[f"df{k}"])) * weight(F.col("tf")[k], F.col("length"), average, k1, b)).otherwise(0.0)
         scores.append(F.struct(F.lit(q).alias("query_id"), F.round(total, DIGITS).alias("score")))
-    return joined.select("id", F.explode(F.array(*scores)).alias("s")).select("s.query_id", "id", "s.score").filter("score > 0")
+    scored = hits.select("id", "held", F.explode(F.array(*scores)).alias("s")).select("s.query_id", "id", "s.score", "held")
+    return scored.filter((F.col("score") > 0) | F.exists("held", lambda x: x)).drop("held")

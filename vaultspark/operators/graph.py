@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
+from vaultspark.session import dealt
 
 
 def outgoing(edges: DataFrame, entries: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -39,10 +40,11 @@ def orphans(things: DataFrame, key: str, references: DataFrame, reference: str)
 
 def duplicates(entries: DataFrame, keys: list[Column], names: list[str], key: str = "id") -> DataFrame:
     """(names, n, first) of key values that several entries share; null keys are no value."""
-    rows = entries.select(F.col(key).alias("_id"), *[k.alias(n) for k, n in zip(keys, names)])
+    rows = dealt(entries, key).select(F.col(key).alias("_id"), *[k.alias(n) for k, n in zip(keys, names)])
+    there = F.lit(True)
     for n in names:
-        rows = rows.filter(F.col(n).isNotNull())
-    return rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("_id").alias("first")).filter("n > 1")
+        there &= F.col(n).isNotNull()
+    return rows.groupBy(*names).agg(F.count_if(there).alias("n"), F.min("_id").alias("first")).filter("n > 1")
 
 
 def candidate_pairs(entries: DataFrame, key: str, name: str, least_shared: int = 2) -> DataFrame:

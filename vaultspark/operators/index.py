@@ -299,7 +299,7 @@ def search(docs: DataFrame, folder: str, queries: dict[str, str], key: str = "do
     """
     if status(docs, folder, key, text, fingerprint, state) == "fresh":
         spark = docs.sparkSession
-        terms = sorted({r["term"] for r in bm25.query_terms(spark, queries).collect()})
+        terms = sorted({t for _, t in bm25.query_terms(queries)})
         postings, lengths = open_index(spark, folder, terms)
         return bm25.score_postings(postings, lengths.select("id", "length"), queries, **how)
     return bm25.score(docs, queries, key, text, **how)

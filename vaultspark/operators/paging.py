@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
+from vaultspark.session import dealt
 
 SORTS = ("relevance", "updated_desc", "updated_asc", "occurred_desc", "occurred_asc", "title_asc", "title_desc")
 MOST = 50
@@ -74,7 +75,8 @@ def evidence(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text
     needle = T.fold(F.lit(query))
     numbered = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     hits = F.slice(F.filter(numbered, lambda x: T.fold(x["text"]).contains(needle)), 1, most)
-    rows = docs.select(F.col(key).alias("id"), F.posexplode(hits).alias("n", "hit"))
+    some = T.fold(F.coalesce(F.col(text), F.lit(""))).contains(needle)  # the other texts, most of them, are not split
+    rows = dealt(docs.select(F.col(key).alias("id"), text), "id").select("id", F.posexplode(F.when(some, hits)).alias("n", "hit"))
     found = F.position(needle, T.fold(F.col("hit.text")))
     start = F.greatest(F.lit(1), unfolded(F.col("hit.text"), found) - lead)
     return rows.select("id", (F.col("n") + 1).alias("n"), F.col("hit.line").alias("line"), F.substr(F.col("hit.text"), start, F.lit(width)).alias("excerpt"))
@@ -82,5 +84,7 @@ def evidence(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text
 
 def unfolded(line: Column, place: Column) -> Column:
     """The character of a line that its folded form's character number `place` comes from. Folding can lengthen a line."""
-    before = F.filter(F.sequence(F.lit(1), F.char_length(line)), lambda k: F.char_length(T.fold(F.substr(line, F.lit(1), k))) < place)
-    return F.when(F.char_length(T.fold(line)) == F.char_length(line), place).otherwise(F.size(before) + 1)
+    sizes = F.transform(F.split(line, ""), lambda char: F.char_length(T.fold(char)))
+    zero = F.struct(F.lit(0).alias("folded"), F.lit(1).alias("at"))
+    walked = F.aggregate(sizes, zero, lambda s, n: F.when(s["folded"] + n < place, F.struct((s["folded"] + n).alias("folded"), (s["at"] + 1).alias("at"))).otherwise(F.struct(place.cast("int").alias("folded"), s["at"].alias("at"))))
+    return F.when(F.char_length(T.fold(line)) == F.char_length(line), place).otherwise(walked["at"])

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
-from vaultspark.operators import bm25
+from vaultspark.operators import bm25, ranks
+from vaultspark.session import dealt, where
 
 FUSION = 60  # fixed value: the constant of reciprocal-rank fusion
 STAGES = ("lexical", "word_form", "title_typo", "component", "body_typo")
@@ -25,18 +26,22 @@ def terms_of(query: str) -> list[str]:
     return sorted({w for w in re.findall(r"[^\W_]+", folded) if len(w) <= T.LONGEST_TOKEN})
 
 
+def holds(text: str, query: str) -> Column:
+    """Does the folded text hold the folded query? The empty query is in all."""
+    return T.fold(F.coalesce(F.col(text), F.lit(""))).contains(T.fold(F.lit(query)))
+
+
 def literal(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score 0) of documents that hold the folded query; the empty query is in all."""
-    hay = T.fold(F.coalesce(F.col(text), F.lit("")))
-    return docs.filter(hay.contains(T.fold(F.lit(query)))).select(F.col(key).alias("id"), F.lit(0.0).alias("score"))
+    own = dealt(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "id")
+    return where(own, holds("body", query)).select("id", F.lit(0.0).alias("score"))
 
 
 def hybrid(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(id, score): ranked documents, and those that only hold the query literally, at score 0."""
+    """(id, score): ranked documents, and those that only hold the query literally, at score 0. One scan."""
     if not query:
         return docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score"))
-    ranked = bm25.score(docs, {"q": query}, key, text, **how).select("id", "score")
-    return ranked.unionByName(literal(docs, query, key, text)).groupBy("id").agg(F.max("score").alias("score"))
+    return bm25.score(docs, {"q": query}, key, text, literals=(query,), **how).select("id", "score")
 
 
 def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
@@ -49,7 +54,7 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
     rows = docs if keep is None else docs.filter(keep)
     body = F.coalesce(F.col(text), F.lit(""))
     name = T.title_of(body) if title is None else F.coalesce(F.col(title), F.lit(""))
-    bag = rows.select(F.col(key).alias("id"), T.fold(body).alias("hay"), T.vocabulary(T.tokens(body)).alias("words"), T.vocabulary(T.tokens(name)).alias("names"))
+    bag = dealt(rows, key).select(F.col(key).alias("id"), T.fold(body).alias("hay"), T.vocabulary(T.tokens(body)).alias("words"), T.vocabulary(T.tokens(name)).alias("names"))
     bag = bag.withColumn("letters", T.letters_only(F.col("words")))
     none = F.array().cast("array<string>")
     forms, typos, parts, slips = none, none, none, none
@@ -107,8 +112,7 @@ def fuse(scored: DataFrame) -> DataFrame:
     every wording that found the document, by query_id. With a column `path`, an id that stands for two paths is an
     error, as candidates would be mixed up.
     """
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(place))
+    ranked = ranks.placed(scored, ["query_id"], [F.desc("score"), F.asc("id")])
     found = F.array_sort(F.collect_list(F.struct("query_id", (1.0 / (FUSION + F.col("rank"))).alias("w"), match_kind(F.col("score")).alias("match_kind"))))
     paths = [F.min("path").alias("one"), F.max("path").alias("other")] if "path" in scored.columns else []
     rows = ranked.groupBy("id").agg(found.alias("found"), F.max("score").alias("best"), *paths)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
 from vaultspark.operators import bm25, changes, entries, filters, graph, index, inventory, paging, ranking, sections, temporal
-from vaultspark.session import scratch
+from vaultspark.session import dealt, scratch, where
 from vaultspark.sources import html_meta, notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,8 +100,8 @@ def document_frequencies(spark, sf_dir):
 @query(f"SELECT doc_id, n_chars FROM documents WHERE contains({FOLDED}, 'the and') ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
 def substring_page2(spark, sf_dir):
     """Literal matches, second page."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
-    hits = docs.join(ranking.literal(docs, "The and", "id"), "id", "left_semi")
+    docs = dealt(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars"), "id")
+    hits = where(docs, ranking.holds("text", "The and"))
     return paging.page(hits, [F.desc("n_chars"), F.asc("id")], 20, 20).select(F.col("id").alias("doc_id"), "n_chars")
 
 
