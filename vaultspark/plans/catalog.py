@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
-from vaultspark.operators import bm25, changes, entries, filters, graph, index, inventory, paging, ranking, sections, temporal
+from vaultspark.operators import bm25, changes, entries, explain, filters, graph, index, inventory, paging, ranking, sections, temporal
 from vaultspark.session import dealt, scratch, where
 from vaultspark.sources import html_meta, notes
 
@@ -272,6 +272,24 @@ def match_evidence(spark, sf_dir):
     return paging.evidence(read(spark, sf_dir, "documents"), "licensed").select(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("n"), "line", "excerpt")
 
 
+_HIT = r"(?s)^(.*?[^\p{L}\p{N}])??(licensed|src1)([^\p{L}\p{N}].*|)$"
+
+
+@query(rf"""WITH e AS (SELECT doc_id, {TITLE} AS title, source, lang, replace(text, '## ', '#  ') || chr(10) || '<!-- web-content -->' || chr(10) || 'Licensed to ' || source || chr(10) || '<!-- /web-content -->' AS body FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, 0 AS place, 'title' AS field, 0 AS line, title AS t, 'unknown' AS origin FROM e UNION ALL SELECT doc_id, 1, 'aliases', 0, '[''' || source || ''']', 'unknown' FROM e
+  UNION ALL SELECT doc_id, 2, 'tags', 0, '[''' || lang || ''', ''licensed ' || lang || ''']', 'web' FROM e WHERE lang = 'fr' UNION ALL SELECT doc_id, 3, 'attributes.source', 0, '"' || source || '"', 'unknown' FROM e WHERE lang = 'fr'
+  UNION ALL SELECT doc_id, 1000, 'body', no, line, CASE WHEN no = n - 1 THEN 'web' ELSE 'user' END FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS no, len(string_split(body, chr(10))) AS n FROM e) WHERE NOT contains(line, 'web-content')),
+h AS (SELECT *, length(regexp_extract(replace(lower(t), 'ß', 'ss'), '{_HIT}', 1)) + 1 AS place_in, row_number() OVER (PARTITION BY doc_id ORDER BY place, line) AS n FROM f WHERE regexp_matches(replace(lower(t), 'ß', 'ss'), '{_HIT}'))
+SELECT doc_id, n::int AS n, field, nullif(line, 0)::int AS line, substr(t, greatest(1, place_in - 60), 240) AS excerpt, origin, place_in > 61 OR greatest(1, place_in - 60) - 1 + 240 < length(t) AS truncated FROM h WHERE n <= 5""")
+def search_evidence(spark, sf_dir):
+    """Excerpts of every field that holds a word of the query: titles, aliases, tags, a searchable field, user's and fetched lines."""
+    docs = dealt(read(spark, sf_dir, "documents").filter("text is not null"), "doc_id")
+    fetched = F.concat(F.lit("\n<!-- web-content -->\nLicensed to "), F.col("source"), F.lit("\n<!-- /web-content -->"))
+    tags = F.when(F.col("lang") == "fr", F.array("lang", F.concat(F.lit("licensed "), "lang")))
+    rows = docs.select("doc_id", T.title_of(F.col("text")).alias("title"), F.array("source").alias("aliases"), tags.alias("tags"), "source", F.col("lang").alias("type"), F.create_map(F.lit("tags"), F.lit("web")).alias("provenance"), F.concat(F.replace("text", F.lit("## "), F.lit("#  ")), fetched).alias("body"))
+    return explain.evidence(rows, "licensed src1", {"fr": ["source"]}, key="doc_id").withColumnRenamed("id", "doc_id")
+
+
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 s AS (SELECT *, regexp_matches(line, '^Licensed ')::integer AS heads FROM l), r AS (SELECT *, sum(heads) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM s)
 SELECT doc_id, section::bigint AS section, max(CASE WHEN heads = 1 THEN regexp_extract(line, '^Licensed (.*)$', 1) END) AS heading, min(no)::integer AS first_line, max(no)::integer AS last_line FROM r GROUP BY doc_id, section""")
