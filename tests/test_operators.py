@@ -260,3 +260,53 @@ def test_unfolded_places_in_lines_that_folding_lengthens(spark):
     df = spark.createDataFrame([(t,) for t in lines], "t string")
     got = df.select(paging.unfolded(F.col("t"), F.position(F.lit("lamp"), T.fold(F.col("t")))).alias("p")).collect()
     assert [r.p for r in got] == [t.index("lamp") + 1 for t in lines]
+
+
+VIEWS = """format_version: 1
+views:
+  unread_articles:
+    title: "Unread articles"
+    description: "Articles retained for later."
+    query: ""
+    type: "bookmark"
+    bookmark_kind: "article"
+    reading_status: "unread"
+    sort: "title_asc"
+    limit: 20
+  well_liked:
+    title: Well liked near harbors
+    query: harbor
+    rank: substring
+    min_rating: 4
+    experienced: true
+    occurred_after: "2026-01-01T00:00:00+01:00"
+    occurred_before: "2026-02-01T00:00:00Z"
+    related_id: x
+    relation_predicate: near
+    as_of: "2026-01-15T00:00:00Z"
+    attribute_filters: {colour: blue}
+"""
+
+
+def test_saved_views_take_every_filter(spark):
+    saved = views.load(VIEWS)
+    assert saved["unread_articles"].rank == "hybrid"
+    marks = spark.createDataFrame([("1", "Unread article", "article", "unread"), ("2", "Read article", "article", "read"), ("3", "Unread tool", "tool", "unread")], "id string, title string, bookmark_kind string, reading_status string")
+    assert [r.id for r in views.run(saved, "unread_articles", marks.withColumn("type", F.lit("bookmark")).withColumn("text", F.col("title"))).collect()] == ["1"]
+    good = ("g", "Old HARBOR", 5, "2026-01-10T00:00:00Z", "2026-01-10T00:00:00Z", ("blue",), [("near", "x", None, None)])
+    other = lambda id, **k: tuple({**dict(zip(("id", "text", "rating", "last", "at", "attributes", "relations"), good)), "id": id, **k}.values())
+    rows = [good, other("a", text="lamp"), other("b", rating=3), other("c", last=None), other("d", at="2026-02-01T00:00:00Z"), other("e", at="2025-12-31T22:59:59Z"), other("f", attributes=("red",)), other("h", relations=[("near", "y", None, None), ("far", "x", None, None)]), other("i", relations=[("near", "x", "2026-01-16T00:00:00Z", None)]), other("j", at="2025-12-31T23:00:00Z")]
+    df = spark.createDataFrame(rows, "id string, text string, rating int, last_experienced_at string, occurred_at string, attributes struct<colour:string>, relations array<struct<predicate:string,target:string,valid_from:string,valid_until:string>>")
+    assert sorted(r.id for r in views.run(saved, "well_liked", df).collect()) == ["g", "j"]
+    assert sorted(r.id for r in views.run(saved, "well_liked", df, as_of="2026-01-20T00:00:00Z").collect()) == ["g", "i", "j"]
+    assert len(views.run(saved, "well_liked", df, limit=1, offset=1).collect()) == 1
+
+
+@pytest.mark.parametrize("change", [{"command": "x"}, {"title": " "}, {"min_rating": 6}, {"limit": 51}, {"sort": "random"}, {"rank": "none"}, {"as_of": "2026-01-01"}, {"relation_predicate": "A b"}, {"occurred_after": "2026-02-01T00:00:00Z", "occurred_before": "2026-01-01T00:00:00Z"}])
+def test_saved_views_refuse_what_is_not_allowed(change):
+    with pytest.raises(ValueError):
+        views.read({"v": {"title": "V"} | change})
+    with pytest.raises(ValueError):
+        views.read({"Bad Name": {"title": "V"}})
+    with pytest.raises(ValueError):
+        views.load("views:\n")

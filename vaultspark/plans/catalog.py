@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import text as T
 from vaultspark.operators import bm25, changes, entries, explain, filters, graph, index, inventory, paging, ranking, sections, temporal
+from vaultspark.plans import views
 from vaultspark.session import dealt, scratch, where
 from vaultspark.sources import html_meta, notes
 
@@ -272,6 +273,24 @@ def match_evidence(spark, sf_dir):
     return paging.evidence(read(spark, sf_dir, "documents"), "licensed").select(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("n"), "line", "excerpt")
 
 
+@query(f"""WITH {_bm25_sql({'q': WORDS})}, t AS (SELECT doc_id, {TITLE} AS title, lang FROM documents)
+SELECT doc_id, title, round(coalesce(score, 0), 6) AS score FROM documents JOIN t USING (doc_id) LEFT JOIN scored USING (doc_id)
+WHERE t.lang = 'en' AND (score IS NOT NULL OR contains({FOLDED}, '{WORDS}')) ORDER BY replace(lower(title), 'ß', 'ss'), doc_id LIMIT 20""")
+def saved_view(spark, sf_dir):
+    """A saved search over documents: words, a type, a sort by title and a limit, from a file of views."""
+    saved = views.load(f"format_version: 1\nviews:\n  licences:\n    title: English licences\n    query: {WORDS}\n    type: en\n    sort: title_asc\n    limit: 20\n")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), "text", T.title_of(F.col("text")).alias("title"))
+    return views.run(saved, "licences", docs).select(F.col("id").alias("doc_id"), "title", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type = 'purchase' AND value >= 4 AND ts >= '2024-01-10 00:00:00' AND ts < '2024-01-25 00:00:00' ORDER BY ts DESC, event_id LIMIT 50""")
+def saved_view_window(spark, sf_dir):
+    """A saved search without words: a type, a least rating and a window of time, newest first."""
+    saved = views.read({"bought": {"title": "Bought", "type": "purchase", "min_rating": 4, "occurred_after": "2024-01-10T01:00:00+01:00", "occurred_before": "2024-01-25T00:00:00Z", "sort": "occurred_desc", "limit": 50}})
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.col("event_type").alias("type"), F.col("value").alias("rating"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"))
+    return views.run(saved, "bought", rows).select(F.col("id").alias("event_id"), "event_type")
+
+
 _HIT = r"(?s)^(.*?[^\p{L}\p{N}])??(licensed|src1)([^\p{L}\p{N}].*|)$"
 
 
