@@ -146,10 +146,13 @@ def _sketch(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+RANGES = 10  # bits: 1024 ranges, so that a page's few hundred shingles leave most of them empty
+
+
 def _ranges(hashes: np.ndarray) -> np.ndarray:
-    """Which of 256 equal ranges of the hash hold a shingle: four 64-bit words."""
-    held = np.zeros(256, np.uint8)
-    held[(hashes >> np.uint64(56)).astype(np.int64)] = 1
+    """Which of 1 << RANGES equal ranges of the hash hold a shingle, as 64-bit words."""
+    held = np.zeros(1 << RANGES, np.uint8)
+    held[(hashes >> np.uint64(64 - RANGES)).astype(np.int64)] = 1
     return np.packbits(held, bitorder="little").view(np.int64)
 
 
