@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions.instants import instant, interval_errors
+from vaultspark.operators.entries import LONGEST_ALIAS, MOST_ALIASES
 
 #: Fixed values of the envelope.
 STATUSES = ("active", "unreviewed", "archived", "trashed")
 SENSITIVITIES = ("normal", "personal", "sensitive")
 ID = r"^kn_[0-9a-f]{32}$"
-MOST_ALIASES, LONGEST_ALIAS = 64, 200
 
 
 @dataclass(frozen=True)
