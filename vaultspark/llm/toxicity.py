@@ -10,7 +10,6 @@ and no part is left out. Training minimises the log loss of that score on a boun
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
