@@ -44,12 +44,15 @@ def hybrid(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     return bm25.score(docs, {"q": query}, key, text, literals=(query,), **how).select("id", "score")
 
 
-def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "doc_id", text: str = "text", keep=None, only: str | None = None) -> DataFrame:
     """(id, stage, terms) of kept documents at the first stage that any of them reaches, 0 being lexical or literal.
 
     Every document gets the first predicate it satisfies; those at the smallest number found anywhere remain,
-    which is what trying stage after stage until one has hits gives. The gate looks at kept documents only.
+    which is what trying stage after stage until one has hits gives. The gate looks at kept documents only. With
+    `only`, the name of a stage, there is no cascade: every kept document that satisfies this stage's predicate.
     """
+    if only is not None and only not in STAGES:
+        raise ValueError(f"{only} is no stage")
     terms = terms_of(query)
     rows = docs if keep is None else docs.filter(keep)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -63,11 +66,15 @@ def stages(docs: DataFrame, query: str, title: str | None = None, key: str = "do
         typos, slips = T.typo_terms(terms, F.col("names"), 5), T.typo_terms(terms, F.col("letters"), 7)
     hit = F.arrays_overlap("words", F.array(*map(F.lit, terms))) if terms else F.lit(False)
     found = bag.select("id", (hit | F.col("hay").contains(T.fold(F.lit(query)))).alias("hit"), *[x.alias(f"t{k}") for k, x in enumerate((forms, typos, parts, slips), 1)])
-    first = F.when(F.col("hit"), F.struct(F.lit(0).alias("stage"), none.alias("terms")))
-    for k in range(1, 5):
-        first = first.when(F.size(f"t{k}") > 0, F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("terms")))
+    tests = [(F.col("hit"), none), *[(F.size(f"t{k}") > 0, F.col(f"t{k}")) for k in range(1, 5)]]
+    first = F.lit(None)
+    for k, (test, terms) in reversed(list(enumerate(tests))):
+        if only in (None, STAGES[k]):
+            first = F.when(test, F.struct(F.lit(k).alias("stage"), terms.alias("terms"))).otherwise(first)
     # A filter here would be pushed below the projections and compute every column again; an exploded array is not.
     staged = found.select("id", F.explode(F.array_compact(F.array(first))).alias("s")).select("id", "s.stage", "s.terms")
+    if only is not None:
+        return staged
     # The gate is one number, so it is an aggregate of its own, not a window over one partition.
     lowest = staged.agg(F.min("stage").alias("lowest"))
     return staged.join(F.broadcast(lowest), F.col("stage") == F.col("lowest")).select("id", "stage", "terms")
