@@ -23,3 +23,10 @@ def test_a_stage_keeps_its_documents_beside_those_of_earlier_stages(spark, tmp_p
     assert agrees(spark, tmp_path, "fallback_word_form") == 1
     assert agrees(spark, tmp_path, "fallback_component") == 2
     assert agrees(spark, tmp_path, "fallback_title_typo") == 1
+
+
+def test_titles_keep_references_that_are_cut(spark, tmp_path):
+    titles = ["a &amp;amp; b &lt;c&gt;", "cut &amp", "cut &lt", "&quot;x&#39;&apos;&nbsp;y&quot;", "", "no reference"]
+    rows = [(k, f"<html lang='en'><head><title>{t}</title></head></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert agrees(spark, tmp_path, "html_title") == 6

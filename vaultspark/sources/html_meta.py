@@ -50,8 +50,18 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.when(x != "", x) for x in (*quoted, bare)], F.lit(""))
 
 
-def title(html: Column) -> Column:
-    return T.clean_field(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), 300)
+#: References that plain escapers write, each with its semicolon; & comes last, so that nothing is decoded twice.
+WRITTEN = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def title(html: Column, references: dict[str, str] | None = None) -> Column:
+    """A page's title with all references decoded; with `references`, those alone, in their order, and a cut one stays as it is."""
+    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    if references is None:
+        return T.clean_field(unescape(found), 300)
+    for written, char in references.items():
+        found = F.replace(found, F.lit(written), F.lit(char))
+    return T.clean_field(found, 300)
 
 
 def language(html: Column) -> Column:
