@@ -71,3 +71,13 @@ def test_round_trip_equals_encode_then_decode(spark, monkeypatch):
     twice = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).drop("text")
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_a_word_before_marks_is_encoded_once():
+    import public_tokenizers
+
+    v = bpe.Vocabulary({bytes([k]): k for k in range(256)}, public_tokenizers.PATTERN)
+    text = "ab ab, ab. ab! ab.,)cd it's, ½. a_b, ab?!"
+    assert v.encode(text) == list(text.encode())
+    assert [k for k in v.new.number if "ab" in k] == ["ab", " ab"]
+    assert [p for run in bpe.CHUNK.findall(text) for p in v.pieces.findall(run)] == v.pieces.findall(text)

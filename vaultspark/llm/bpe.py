@@ -28,10 +28,11 @@ from vaultspark.llm.common import give_back
 
 #: Unicode White_Space, which is what \s means to the tokenizer's own regular expressions.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Pieces never cross these runs: a word with one space before it, or white space.
-CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Pieces never cross these runs: a word before one of these marks, anything with one space before it, or white space.
+#: A piece that holds a letter or a number holds no such mark, so a word's border to one is always a piece's border.
+CHUNK = re.compile(rf" ?[^\W_]++(?=[.,!?;:])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of the memos: runs in one of two generations, their length, pairs in order, pairs met while walking.
-MEMO_RUNS, MEMO_LENGTH, MEMO_PAIRS, MEMO_WALK = 160_000, 64, 400_000, 200_000
+MEMO_RUNS, MEMO_LENGTH, MEMO_PAIRS, MEMO_WALK = 480_000, 64, 400_000, 200_000
 RUNS_AT_ONCE = 50_000  # runs that are Python objects at one time
 AT_ONCE = 1 << 17  # ids decoded together
 SLICE_BYTES = 4_000_000  # bytes of text whose results are one batch
@@ -236,40 +237,37 @@ class Vocabulary:
         out[spread(at[~keep], new_counts[~keep])] = np.fromiter(chain.from_iterable(change[k] for k in sorted(change)), np.int64)
         return new_counts, out
 
-    def _split(self, run: str) -> list[str]:
-        word = run.rstrip(".,!?;:")
-        if word.lstrip(" ").isalpha():  # letters and then marks: no need of the pattern
-            return [word, run[len(word) :]] if len(word) < len(run) else [word]
-        return self.pieces.findall(run)
-
     def _new_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each run, the ids one after another) of runs between safe borders, not memoised."""
-        split = [self._split(r) for r in runs]
-        parts = list(chain.from_iterable(split))
-        place = {p: k for k, p in enumerate(dict.fromkeys(parts))}
-        counts, ids = self.encode_pieces([p.encode().decode("latin-1") for p in place])
-        which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
-        sizes = counts[which]
-        of_run = np.add.reduceat(sizes, np.cumsum([0, *map(len, split)])[:-1]) if runs else sizes
-        return of_run, ids[spread((np.cumsum(counts) - counts)[which], sizes)]
+        parts, many = [], []
+        for run in runs:
+            if run.isalpha() or run[0] == " " and run[1:].isalpha():  # letters only: no need of the pattern
+                parts.append(run)
+                many.append(1)
+            else:
+                found = self.pieces.findall(run)
+                parts += found
+                many.append(len(found))
+        counts, ids = self.encode_pieces([p if p.isascii() else p.encode().decode("latin-1") for p in parts])
+        return np.add.reduceat(counts, np.cumsum([0, *many])[:-1]) if runs else counts, ids
 
     def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each run, the ids one after another). Two generations of a bounded memo keep frequent runs."""
         if self.new.many >= MEMO_RUNS:
             self.new, self.old = Runs(), self.new
         numbers = np.fromiter(map(self.new.number.get, runs, repeat(-1)), np.int64, len(runs))
-        missed = list(dict.fromkeys([runs[k] for k in np.flatnonzero(numbers < 0).tolist()]))
-        if not missed:
+        at = np.flatnonzero(numbers < 0)
+        if not len(at):
             return self.new.take(numbers)
+        absent = [runs[k] for k in at.tolist()]
+        missed = list(dict.fromkeys(absent))
         before = np.fromiter(map(self.old.number.get, missed, repeat(-1)), np.int64, len(missed))
         again, fresh = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
         self.new.add([missed[k] for k in again.tolist()], *self.old.take(before[again]))
         names = [missed[k] for k in fresh.tolist()]
         sizes, ids = self._new_runs(names)
         self.new.add(names, sizes, ids)
-        get = self.new.number.__getitem__
-        at = np.flatnonzero(numbers < 0)
-        numbers[at] = [get(runs[k]) for k in at.tolist()]
+        numbers[at] = np.fromiter(map(self.new.number.__getitem__, absent), np.int64, len(absent))
         taken = self.new.take(numbers)
         for long in [x for x in names if len(x) > MEMO_LENGTH]:
             del self.new.number[long]  # found by no later run; its ids go with the generation
