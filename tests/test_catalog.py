@@ -1,7 +1,9 @@
 """Registered queries on tables that are small but hold what larger ones do, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from vaultspark.operators import bm25, index
 from vaultspark.plans import catalog
 
 
@@ -30,3 +32,13 @@ def test_titles_keep_references_that_are_cut(spark, tmp_path):
     rows = [(k, f"<html lang='en'><head><title>{t}</title></head></html>") for k, t in enumerate(titles)]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert agrees(spark, tmp_path, "html_title") == 6
+
+
+def test_postings_count_in_the_row_and_add_rows_of_one_key(spark, tmp_path):
+    texts = ["b a b", "", None, "Straße STRASSE x" + "y" * 70, "a " * 300, "..."]
+    df = spark.createDataFrame([*enumerate(texts), (0, "a c")], "doc_id long, text string")
+    df.withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert agrees(spark, tmp_path, "term_frequencies") == 5
+    terms, _ = bm25.postings(df.filter("doc_id > 0"), "doc_id", "text")
+    assert "Exchange" not in terms._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in terms._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, terms.collect())) == [("a", 4, 300), ("strasse", 3, 2)]

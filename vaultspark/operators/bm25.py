@@ -17,16 +17,30 @@ K1, B = 1.2, 0.75
 DIGITS = 9  # scores are rounded, so that equal ones compare equal on every engine
 
 
+def _counted(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens: sorted, equal ones are neighbours, and a term's count is the way to where the next begins."""
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        both = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.size(words)), F.array(F.size(words))), lambda i, j: F.struct(F.get(words, i).alias("term"), (j - i).cast("long").alias("tf")))
+        return F.flatten(F.transform(F.array(starts), both))
+
+    # A lambda's argument is computed once, where a column that is used twice is computed twice.
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), lambda words: F.when(F.size(words) > 0, runs(words)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, length) of every document; lengths count repeats. Keys are taken to be unique.
 
-    A document's tokens are counted where they are made, before anything is shuffled, and a filter on terms goes
-    below the count.
+    A document's tokens are counted in its own row, so nothing is shuffled. Only where a key repeats, which a job
+    over the keys finds out while the plan is built, are the counts of its rows added.
     """
     own = dealt(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")), "id")
-    terms = own.select("id", F.explode(T.tokens(F.col("body"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    terms = own.select("id", F.explode(_counted(T.tokens(F.col("body")))).alias("c")).select("c.term", "id", "c.tf")
+    if not docs.groupBy(F.col(key).alias("id")).count().filter("count > 1").isEmpty():
+        terms = terms.groupBy("id", "term").agg(F.sum("tf").alias("tf")).select("term", "id", "tf")
     lengths = own.select("id", F.regexp_count(T.fold(F.col("body")), F.lit(T.WHOLE_TOKEN)).cast("long").alias("length"))
-    return terms.select("term", "id", "tf"), lengths
+    return terms, lengths
 
 
 def query_terms(queries: dict[str, str]) -> list[tuple[str, str]]:
