@@ -44,6 +44,15 @@ def test_postings_count_in_the_row_and_add_rows_of_one_key(spark, tmp_path):
     assert sorted(map(tuple, terms.collect())) == [("a", 4, 300), ("strasse", 3, 2)]
 
 
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK", 100)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    index.build(docs, str(tmp_path / "i"))
+    files = spark.read.parquet(str(tmp_path / "i/segments/*/postings")).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert max(r["count"] for r in files) < 2000 and sum(r["count"] for r in files) == 6000
+    assert index.search(docs, str(tmp_path / "i"), {"q": "same"}).count() == 2000 and index.verify(spark, str(tmp_path / "i"))
+
+
 def test_items_are_sent_to_the_documents(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x a b c d e"), (3, None), (4, "a b c"), (5, "b c d"), (6, "a b c d")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -2,7 +2,8 @@
 
 Layout below the index folder: `segments/<name>/{postings,lengths,gone}` as Parquet. Postings lie in buckets of
 terms, sorted by term in each file, so a query opens the buckets of its own terms and skips row groups by their
-bounds. `gone` names the documents whose rows in earlier segments no longer count. `manifests` holds one small JSON
+bounds. A bucket is written in slices of its documents, so that neither many documents nor a term that is in all of
+them make one task large. `gone` names the documents whose rows in earlier segments no longer count. `manifests` holds one small JSON
 file for each state of the index, read by the driver without a job; the highest number that is whole counts, so a
 reader sees the state before or after a change and never one between. A state is published by renaming its file to
 the number behind the one that it was made from; of two writers that began at the same state one gets Conflict and
@@ -28,6 +29,7 @@ from vaultspark.operators import bm25
 FORMAT = 3
 TOKENS = 20_000_000  # tokens in a bucket of terms, about
 FEWEST, MOST = 16, 4096  # buckets
+TASK = 2_000_000  # tokens that one task sorts and writes, about
 SEGMENTS = 8
 KEPT = 3  # states of the index
 REBUILD = 4  # an index of which more than a REBUILD-th has changed is built anew: patching costs a join with all of it
@@ -87,7 +89,9 @@ def _write_segment(spark: SparkSession, folder: str, postings: DataFrame, length
     gone.select("id").write.parquet(f"{at}/gone")
     size = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.sum(F.xxhash64("id", "length", "sig") % (1 << 40)).alias("sum")).first()
     buckets = min(MOST, max(FEWEST, -(-(size["total"] or 0) // TOKENS)))
-    postings.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
+    slices = max(1, -(-(size["total"] or 0) // (buckets * TASK)))
+    lot = F.col("bucket") * slices + F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    postings.withColumn("bucket", _bucket(buckets)).repartitionById(buckets * slices, lot).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
     return {"name": name, "buckets": buckets, "documents": size["n"], "sum": size["sum"]}
 
 
