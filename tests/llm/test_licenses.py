@@ -102,3 +102,14 @@ def test_ties_between_templates_go_to_the_first_name(spark):
     df = spark.createDataFrame([("a", both + "\n" + both, 1, 2), ("b", None, 1, 2)], "path string, text string, unit int, body int")
     r = {x.path: x for x in licenses.scan(df).collect()}
     assert (r["a"].own_line, r["a"].own_unit, r["a"].own_licence) == (0, "line", brute(both)) and r["b"].own_licence is None
+
+
+def test_units_out_of_reach_are_left_out_before_terms_are_exploded(spark):
+    """An anchor among other words is no candidate; whatever a template reaches is one, with other words and repeats around it."""
+    texts = ["The license of this code is another matter, as our neighbours often say over lunch", "license " + "other words around " * 9]
+    near = [t + " word" * n + f" {pad}" * m for _, t in licenses.TEMPLATES[::3] + licenses.WHOLE for n in (0, 1, 2, 5) for m, pad in ((0, ""), (3, "the"), (40_000, "license"))]
+    rows = [(f"{i:04}", t, False) for i, t in enumerate(texts + near)]
+    got = {r.id for r in licenses._units(spark.createDataFrame(rows, "id string, body string, is_file boolean"), licenses.THRESHOLD).select("id").collect()}
+    reached = {i for i, t, _ in rows if brute(t, "uw")}
+    assert not got & {"0000", "0001"} and len(reached) > 30
+    assert {i for i in reached if brute(rows[int(i)][1])} <= got

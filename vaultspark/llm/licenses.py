@@ -4,7 +4,8 @@ Headers are compared to templates as sparse TF-IDF vectors: every line, and ever
 are not blank, comment marks taken off and copyright lines left out, so that a header wrapped over lines is seen
 whole. The whole text of a licence file is compared too, to templates of whole licences among others. Units that
 hold none of the anchors are passed over: anchors are the heaviest terms of each template, enough that a unit
-without them stays below the threshold whatever else it holds. Files with no notice of their own take the licence
+without them stays below the threshold whatever else it holds. Nor are units compared whose own terms outweigh those
+of all templates so far that no cosine can reach the threshold. Files with no notice of their own take the licence
 of the nearest ancestor directory that has a licence file; that is settled once for each directory, and files then
 join their own directory only.
 """
@@ -145,10 +146,35 @@ def _scored(units: DataFrame, threshold: float) -> DataFrame:
     return scored.select(*by, F.substring_index("template", "#", 1).alias("licence"), "score")
 
 
+#: A term and its repeats in sorted terms joined by spaces; possessive, so that any number of repeats needs no stack.
+RUN = r"([^ ]+)(?: \1(?![^ ]))*+"
+
+
+def may_reach(body: Column, threshold: float) -> Column:
+    """False only for texts that reach the threshold with no template: a cosine is at most the share of a text's length that lies in terms of templates.
+
+    Told within the row, so that what is left out is neither exploded nor shuffled.
+    """
+    idf, other, _ = weights()
+    known = sorted(idf)
+    terms = F.sort_array(F.regexp_extract_all(F.lower(body), F.lit(f"({TOKEN})"), 1))
+    runs = F.regexp_extract_all(F.array_join(terms, " "), F.lit(RUN), 0)
+
+    def surplus(total: Column, run: Column) -> Column:
+        """Squares of known terms, times what they lack, less those of others."""
+        term = F.substring_index(run, " ", 1)
+        tf = (F.length(run) + 1) / (F.length(term) + 1)
+        own = F.element_at(F.array(*map(F.lit, (idf[t] for t in known))), F.array_position(F.array(*map(F.lit, known)), term).cast("int"))
+        least = threshold * threshold - 1e-6
+        return total + tf * tf * F.when(term.isin(known), own * own * (1 - least)).otherwise(-other * other * least)
+
+    return F.aggregate(runs, F.lit(0.0), surplus) >= 0
+
+
 def _units(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, unit, no, last, body) of (id, body, is_file): lines (unit 0) and blocks of several lines (1) that hold an anchor, whole texts of licence files (2).
 
-    Texts without an anchor are passed over before they are split.
+    Texts without an anchor are passed over before they are split, and units that may not reach the threshold after.
     """
     some = rf"(^|[^a-z0-9])({'|'.join(anchors(threshold))})($|[^a-z0-9])"
     held = lambda c: F.lower(c).rlike(some)
@@ -161,7 +187,7 @@ def _units(rows: DataFrame, threshold: float) -> DataFrame:
     whole = F.when(F.col("is_file"), F.array(F.struct(F.lit(2).alias("unit"), F.lit(0).alias("no"), F.lit(False).alias("last"), F.col("body").alias("body"))))
     found = F.when(held(F.col("body")), F.concat(lines, F.filter(F.transform(blocks, block), lambda u: held(u["body"]))))
     both = F.coalesce(F.concat(found, whole), found, whole)
-    return rows.select("id", F.explode(both).alias("u")).select("id", "u.unit", "u.no", "u.last", "u.body").filter("body <> ''")
+    return rows.select("id", F.explode(both).alias("u")).select("id", "u.unit", "u.no", "u.last", "u.body").filter("body <> ''").filter(may_reach(F.col("body"), threshold))
 
 
 def _dir(path: Column) -> Column:
