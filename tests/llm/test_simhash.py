@@ -3,6 +3,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -193,3 +194,19 @@ def test_columns_may_have_any_helper_s_name(spark):
     assert sorted(map(tuple, simhash.near_duplicates(wide).collect())) == sorted(map(tuple, simhash.near_duplicates(bare).collect()))
     renamed = wide.withColumnRenamed("id", "other").withColumnRenamed("doc_id", "id")
     assert sorted(x.id for x in simhash.keep_one(renamed, key="id").collect()) == [0, 3, 4]
+
+
+@pytest.mark.parametrize("crowd,wide", [(5, 40), (5, 2), (10**9, 2)])
+def test_pivots_are_broadcast_only_while_they_are_few(spark, monkeypatch, crowd, wide):
+    """However many keys have pivots, the driver gets WIDE of their bitmaps at most; members are linked alike by broadcast, by lots and by shuffle."""
+    monkeypatch.setattr(components_module, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(components_module, "WIDE", wide, raising=False)
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df.count() if "pn" in df.columns else 0), broadcast(df))[1])
+    members = [(k, k * 1000 + i) for k in range(30) for i in range(3 if k else 60)]
+    hot = components_module.cut(spark.createDataFrame([(k, i, (1, [i])) for k, i in members], "k long, id long, n struct<n int, bits array<long>>"))
+    near = components_module.cut(spark.createDataFrame([], "id long, component long"))
+    alike = F.col("a") % 2 == F.col("b") % 2
+    found = {r.id: r.component for r in components_module.pivoted(hot, near, lambda pairs: pairs.filter(alike), F.lit(True)).collect()}
+    assert [found.get(i, i) for _, i in members] == [k * 1000 + i % 2 for k, i in members]
+    assert max(sent, default=0) <= wide and (wide < 40 or max(sent) > 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import LOCAL, cut, discard, gathered, small
+from vaultspark.llm.common import LOCAL, cut, discard, gathered
 
 
 HUB, HUBS = 1000, 100_000  # links of a hub at least, and the share of all links that makes one
@@ -94,6 +94,8 @@ def contracted(named: DataFrame, edges: DataFrame) -> DataFrame:
 
 PIVOTS, MORE = 4, 8  # pivots of a key in the first round, and how many times as many in each further one
 AHEAD = 1  # rounds before those, in which a member meets one pivot of all its keys
+CROWD = 2000  # members of a key, about, from which its pivots are broadcast, so that no task gets all its members
+WIDE, SALTS = 20_000, 16  # rows with bitmaps that the driver broadcasts at most: some MB. Lots of a crowd where there are more
 
 
 def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
@@ -117,8 +119,23 @@ def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], Dat
 
     def pivots_of(now: DataFrame, lots: int) -> DataFrame:
         now = gathered(now)
-        first = now.groupBy("k", F.pmod("h", F.lit(lots)).alias("lot")).agg(F.min(F.struct("out", "h", "id", "n", "c")).alias("p"))
-        return cut(first.select("k", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.h").alias("ph")))
+        first = now.groupBy("k", F.pmod("h", F.lit(lots)).alias("lot")).agg(F.min(F.struct("out", "h", "id", "n", "c")).alias("p"), F.count("*").alias("many"))
+        return cut(first.select("k", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.h").alias("ph"), (F.col("many") * lots > CROWD).alias("crowd")))
+
+    def sided_with(now: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Members with each pivot of their keys, joined by shuffle. As rows multiply here, the members of crowds are spread over tasks.
+
+        The driver broadcasts WIDE pivots at most; of more than that, each of SALTS lots of members gets a copy by shuffle.
+        """
+        met, crowd = now.join(pivots.filter("not crowd"), "k"), pivots.filter("crowd")
+        count = crowd.count()
+        if count == 0:
+            return met
+        if count <= WIDE:
+            crowded = now.join(F.broadcast(crowd.select("k").distinct()), "k", "left_semi").repartition(F.col("id"))
+            return met.unionByName(crowded.join(F.broadcast(crowd), "k"))
+        copies = crowd.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        return met.unionByName(now.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["k", "salt"]).drop("salt"))
 
     def meet(pairs: DataFrame) -> DataFrame:
         return contracted(near, verified(pairs.select(F.greatest("p", "id").alias("a"), F.least("p", "id").alias("b")).distinct()))
@@ -135,8 +152,7 @@ def pivoted(hot: DataFrame, near: DataFrame, verified: Callable[[DataFrame], Dat
     while not hot.isEmpty():
         now = open_keys(AHEAD)
         pivots = pivots_of(now, lots)
-        # Here rows multiply, so members are spread over tasks.
-        near = meet(now.repartition(F.col("id")).join(small(pivots), "k").filter((F.col("pc") != F.col("c")) & fits))
+        near = meet(sided_with(now, pivots).filter((F.col("pc") != F.col("c")) & fits))
         hot = cut(gathered(now).select("k", "id", "n").join(pivots.select("k", F.col("p").alias("id")), ["k", "id"], "left_anti"))
         discard(now, pivots)
         lots *= MORE
